@@ -1,0 +1 @@
+"""Intentionally empty: every input of this library is bounded (see README, "Not built")."""
