@@ -72,10 +72,10 @@ def with_position(
     )
     inside = Window.partitionBy(*keys).orderBy(*order)
     return (
-        tagged.withColumn("_place", F.row_number().over(inside) - 1)
+        tagged.withColumn("_nth", F.row_number().over(inside) - 1)
         .join(starts, keys)
-        .withColumn(name, (F.col("_start") + F.col("_place")).cast("long"))
-        .drop("_bucket", "_place", "_start")
+        .withColumn(name, (F.col("_start") + F.col("_nth")).cast("long"))
+        .drop("_bucket", "_nth", "_start")
     )
 
 

@@ -21,16 +21,22 @@ def seed_ratios(
     positive, fails the job when ``strict``; otherwise its ratio is null.
     """
     by = list(by)
-    arms = mse.where(F.col("arm") != base)
-    bases = mse.where(F.col("arm") == base).select(*by, "seed", F.col("mse").alias("_base"))
-    names = arms.select(*by, "arm").distinct()
-    wanted = names.join(bases, by) if by else names.join(F.broadcast(bases), F.lit(True))
-    paired = wanted.join(arms.select(*by, "arm", "seed", "mse"), [*by, "arm", "seed"], "full_outer")
-    bad = F.col("mse").isNull() | F.col("_base").isNull() | ~(F.col("_base") > 0)
+    whole = Window.partitionBy(*(by or [F.lit(0)]))
+    bases = mse.where(F.col("arm") == base).select(
+        *by, "seed", F.col("mse").alias("_base"), F.count(F.lit(1)).over(whole).alias("_wanted")
+    )
+    arms = mse.where(F.col("arm") != base).withColumn(
+        "_held", F.count(F.lit(1)).over(Window.partitionBy(*by, "arm"))
+    )
+    paired = arms.join(bases, [*by, "seed"], "left")
+    bad = F.col("_base").isNull() | (F.col("_held") != F.col("_wanted")) | ~(F.col("_base") > 0)
     broken = F.raise_error(F.lit("seed sets differ or the base is not positive"))
     value = F.col("mse") / F.col("_base")
-    ratio = F.when(bad, broken if strict else F.lit(None)).otherwise(value).cast("double")
-    return paired.select(*by, "arm", "seed", ratio.alias("ratio"))
+    if strict:
+        ratio = F.when(bad, broken).otherwise(value)
+    else:
+        ratio = F.when(F.col("_base") > 0, value)
+    return paired.select(*by, "arm", "seed", ratio.cast("double").alias("ratio"))
 
 
 def quality_point(ratios: DataFrame, by: Sequence[str] = ("arm",)) -> DataFrame:
@@ -40,7 +46,10 @@ def quality_point(ratios: DataFrame, by: Sequence[str] = ("arm",)) -> DataFrame:
 
 def floor_point(floors: DataFrame, dense: DataFrame, by: Sequence[str] = ("arm",)) -> DataFrame:
     """Median over seeds of floor / dense; ``floors`` is ``(arm, floor)``, ``dense`` is ``(seed, mse)``."""
-    spread = floors.join(F.broadcast(dense.select("seed", F.col("mse").alias("_base"))), F.lit(True))
+    held = [r["mse"] for r in dense.select("mse").limit(10_001).collect()]
+    if not held or len(held) > 10_000:
+        raise ValueError("the dense table must hold one row per seed")
+    spread = floors.withColumn("_base", F.explode(F.array(*[F.lit(float(v)) for v in held])))
     return spread.groupBy(*by).agg(F.median(F.col("floor") / F.col("_base")).alias("point"))
 
 

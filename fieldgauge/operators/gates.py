@@ -11,7 +11,6 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql import Window
 
 from fieldgauge.functions.arrow import to_matrix
 from fieldgauge.functions.vectors import doubles, not_finite
@@ -191,9 +190,15 @@ def check_rows(
 def check_cells(traces: DataFrame, arms: DataFrame, seeds: DataFrame, by: Sequence[str] = ("arm", "seed")) -> DataFrame:
     """Cells of the arm × seed grid that are absent, unexpected, repeated or not good.
 
-    ``traces`` is ``(arm, seed, converged, finite, sha256)``. The grid is two short lists.
+    ``traces`` is ``(arm, seed, converged, finite, sha256)``. The arms are a short list and are
+    unrolled next to each seed.
     """
-    grid = arms.select("arm").join(F.broadcast(seeds.select("seed")), F.lit(True)).withColumn("want", F.lit(1))
+    names = [r["arm"] for r in arms.select("arm").distinct().limit(1001).collect()]
+    if len(names) > 1000:
+        raise ValueError("more than 1000 arms")
+    grid = seeds.select(
+        F.explode(F.array(*[F.lit(a) for a in names])).alias("arm"), "seed", F.lit(1).alias("want")
+    )
     have = traces.groupBy(*by).agg(
         F.count(F.lit(1)).alias("n"),
         F.bool_and("converged").alias("converged"),
@@ -325,18 +330,21 @@ def changed_after_seal(sealed: DataFrame, current: DataFrame, key: Sequence[str]
 def check_chain(stages: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Stages whose predecessor is absent, not complete, or ran under another protocol digest.
 
-    ``stages`` is ``(*by, position, stage, status, protocol_sha256)`` with positions from 0.
+    ``stages`` is ``(*by, position, stage, status, protocol_sha256)`` with positions from 0. Each
+    stage meets its predecessor by an equi-join on the position, so a long chain is not one task.
     """
-    order = Window.partitionBy(*(by or [F.lit(0)])).orderBy("position")
-    before = F.lag(F.struct("position", "status", "protocol_sha256")).over(order)
+    keys = [*by, "position"]
+    before = stages.select(
+        *by, (F.col("position") + 1).alias("position"), F.struct("status", "protocol_sha256").alias("_b")
+    )
     reason = F.when(
         F.col("position") > 0,
-        F.when(F.col("_b").isNull() | (F.col("_b.position") != F.col("position") - 1), "no_predecessor")
+        F.when(F.col("_b").isNull(), "no_predecessor")
         .when(F.col("_b.status") != "COMPLETE", "predecessor_not_complete")
         .when(F.col("_b.protocol_sha256") != F.col("protocol_sha256"), "protocol_differs"),
     )
-    return stages.withColumn("_b", before).withColumn("reason", reason).where("reason is not null").select(
-        *by, "position", "stage", "reason"
+    return stages.join(before, keys, "left").withColumn("reason", reason).where("reason is not null").select(
+        *keys, "stage", "reason"
     )
 
 

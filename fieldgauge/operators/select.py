@@ -124,10 +124,10 @@ def select_rung(
     on_rung = grid.join(tails.withColumnRenamed("k", "rung"), [*by, "rung"], "left").withColumn(
         "tail", F.when(F.col("rung") == F.col("width"), 0.0).otherwise(F.col("tail"))
     )
-    limits = thresholds.select(*keys, "threshold")
-    step = Window.partitionBy(*keys).orderBy("rung")
+    limits = thresholds.select(*keys, "threshold", F.lit(0).alias("_all"))
+    step = Window.partitionBy(*(keys or [F.lit(0)])).orderBy("rung")
     marked = (
-        (on_rung.join(limits, by) if by else on_rung.crossJoin(limits))
+        on_rung.withColumn("_all", F.lit(0)).join(limits, [*by, "_all"])
         .withColumn("ok", F.col("tail") <= F.col("threshold"))
         .withColumn("before", F.lag("tail").over(step))
     )

@@ -85,3 +85,13 @@ def qualify(
         decide.placement(F.col("quality_lo"), F.col("quality_hi")).alias("interval"),
         decide.verdict3(F.col("quality"), F.col("floor")).alias("verdict"),
     )
+
+
+def primary_set(predictions: DataFrame, walk, primary: int = 0, role: str = "selection") -> tuple[int, list[int]]:
+    """K and the ordered index set the primary seed proposes for a walk study."""
+    from fieldgauge.plans.walk import LADDER
+
+    selection, order = choose(predictions, walk.basis, walk.mean, walk.width, LADDER, role)
+    k = selection.where(F.col("seed") == primary).first()["selected_k"]
+    kept = order.where((F.col("seed") == primary) & (F.col("rank") < k)).orderBy("rank")
+    return k, [r["j"] for r in kept.select("j").collect()]
