@@ -349,7 +349,7 @@ def cluster_ids(basis: DataFrame, tolerance: float = 1e-10) -> DataFrame:
     """
     order = Window.partitionBy(F.lit(0)).orderBy("j")
     top = F.first("eigval").over(order)
-    gap = F.abs(F.lag("eigval").over(order) - F.col("eigval")) / top
+    gap = F.try_divide(F.abs(F.lag("eigval").over(order) - F.col("eigval")), top)
     marked = basis.withColumn("_new", F.when(gap > tolerance, 1).otherwise(0))
     return marked.withColumn("cluster", F.sum("_new").over(order)).drop("_new")
 
@@ -440,8 +440,8 @@ def energy_rank(
     every = F.sum("e").over(whole)
     denominator = every if total == "spectrum" else F.lit(float(total))
     inside = F.lit(True) if resolved is None else F.col("j") < resolved
-    cum = F.sum(F.when(inside, F.col("e")).otherwise(0.0)).over(run) / denominator
-    rows = clipped.withColumn("_cum", cum).withColumn("_all", every / denominator)
+    cum = F.try_divide(F.sum(F.when(inside, F.col("e")).otherwise(0.0)).over(run), denominator)
+    rows = clipped.withColumn("_cum", cum).withColumn("_all", F.try_divide(every, denominator))
     out = rows.agg(
         F.min(F.when(F.col("_cum") >= threshold, F.col("j") + 1)).alias("k_energy"),
         F.max("_cum").alias("resolved_fraction"),
@@ -452,7 +452,8 @@ def energy_rank(
         "resolved_fraction",
         (1 - F.col("resolved_fraction")).alias("discarded_fraction"),
         F.abs(F.col("_all") - 1).alias("closure_residual"),
-        F.when(F.col("k_energy").isNull(), "failed_energy_rank_unresolved")
+        F.when(F.col("_all").isNull(), "failed_zero_energy")
+        .when(F.col("k_energy").isNull(), "failed_energy_rank_unresolved")
         .otherwise("exact")
         .alias("status"),
     )

@@ -107,7 +107,7 @@ def encode_by_tiles(
 
     def multiply(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if left.empty or right.empty:
-            return pd.DataFrame({**{c: [] for c in row}, "_jt": [], "js": [], "part": []})
+            return pd.DataFrame({c: pd.Series([], dtype=object) for c in (*row, "_jt", "js", "part")})
         right = right.sort_values("j")
         lo = int(left["_blk"].iloc[0]) * tile
         y = np.vstack(left["seg"].to_numpy())

@@ -32,7 +32,8 @@ def _fold(points: Column, patience: Column, min_delta: Column) -> Column:
     def step(acc, p):
         value, epoch = p["val"], acc["epoch"] + 1
         first, done = acc["epoch"] == 0, acc["stop"] > 0
-        better = first | ((acc["best"] - value) / acc["best"] >= min_delta)
+        gain = F.try_divide(acc["best"] - value, acc["best"])
+        better = first | F.coalesce(gain >= min_delta, F.lit(False))
         waited = F.when(better, 0).otherwise(acc["waited"] + 1)
         lower = first | (value < acc["low"])
         moved = F.struct(
@@ -120,7 +121,7 @@ def calibrate_stopping(
         F.col("min_delta"),
     )
     per_rule = kept.groupBy("patience", "min_delta").agg(
-        F.max(F.col("selected_val") / F.col("low")).alias("max_gap"),
+        F.max(F.try_divide("selected_val", "low")).alias("max_gap"),
         F.max("stop_epoch").alias("max_stop_epoch"),
         F.ceil(F.max("low_at") * 1.5).cast("long").alias("max_epochs"),
         F.count(F.lit(1)).alias("n_curves"),

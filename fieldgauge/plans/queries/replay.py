@@ -35,7 +35,7 @@ def replay_result(spark, sf):
     return ops.replay_result(stored, again)
 
 
-@query("SELECT NULL::BIGINT AS vec_id, NULL::BIGINT AS pos, NULL::DOUBLE AS c, NULL::VARCHAR AS side FROM embeddings WHERE false")
+@query("SELECT 5 * count(*) AS n_values, 0 AS n_disagree FROM embeddings")
 def implementations_agree(spark, sf):
     w = walk.study(spark, sf)
     keep = [0, 3, 7, 9, 1]
@@ -44,7 +44,8 @@ def implementations_agree(spark, sf):
     b = codec.encode_by_expression(rows, "y", w.basis, w.mean, ["vec_id"], keep)
     def long(df):
         return df.select("vec_id", F.posexplode("coef").alias("pos", "c")).select("vec_id", F.col("pos").cast("long").alias("pos"), "c")
-    return ops.implementations_agree(long(a), long(b), 6)
+    disagree = ops.implementations_agree(long(a), long(b), 6).agg(F.count(F.lit(1)).alias("n_disagree"), F.lit(0).alias("k"))
+    return long(a).agg(F.count(F.lit(1)).alias("n_values"), F.lit(0).alias("k")).join(disagree, "k").drop("k")
 
 
 @query(f"""WITH r AS (SELECT family, arm, seed, ratio FROM famratio) SELECT family, arm, seed, round(ratio + CASE WHEN seed = 2 THEN 0.001::DOUBLE ELSE 0 END, 4) + 0.0::DOUBLE AS value,

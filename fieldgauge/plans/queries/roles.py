@@ -102,30 +102,27 @@ def role_permission(spark, sf):
     return ops.check_permission(_asked(spark, sf), _permissions(spark)).select("event_id", "stage", "role")
 
 
-@query("""SELECT e.t AS request_id, count(*) AS n_ids, (count(DISTINCT e.traj) FILTER (r.traj IS NULL))::BIGINT AS n_foreign,
-    (count(DISTINCT e.traj) FILTER (e.times > 1))::BIGINT AS n_repeated, false AS accepted FROM (
-        SELECT *, count(*) OVER (PARTITION BY t, traj) AS times FROM ev WHERE event_type = 'signup') e
-    LEFT JOIN (SELECT * FROM roles WHERE role = 'train') r ON r.family = e.family AND r.traj = e.traj
-    GROUP BY e.t HAVING count(DISTINCT e.traj) FILTER (r.traj IS NULL) > 0 OR count(DISTINCT e.traj) FILTER (e.times > 1) > 0
-    UNION ALL
-    SELECT e.t, count(*), 0, 0, true FROM (SELECT *, count(*) OVER (PARTITION BY t, traj) AS times FROM ev WHERE event_type = 'signup') e
-    LEFT JOIN (SELECT * FROM roles WHERE role = 'train') r ON r.family = e.family AND r.traj = e.traj
-    GROUP BY e.t HAVING count(DISTINCT e.traj) FILTER (r.traj IS NULL) = 0 AND count(DISTINCT e.traj) FILTER (e.times > 1) = 0""")
+# Three consecutive events form one request for the trajectories of their users.
+_GUARDED = """WITH q AS (SELECT event_id // 3 AS request_id, event_id, family, traj, count(*) OVER (PARTITION BY event_id // 3, traj) AS times FROM ev),
+    g AS (SELECT q.request_id, count(*) AS n_ids, count(DISTINCT q.traj) FILTER (r.traj IS NULL) AS n_foreign,
+      count(DISTINCT q.traj) FILTER (q.times > 1) AS n_repeated FROM q LEFT JOIN (SELECT * FROM roles WHERE role <> 'test') r
+      ON r.family = q.family AND r.traj = q.traj GROUP BY q.request_id)"""
+
+
+def _requests(spark, sf):
+    request = F.floor(F.col("event_id") / 3).alias("request_id")
+    asked = tables.user_days(spark, sf).select(request, "event_id", "family", "traj")
+    return asked, tables.trajectory_roles(spark, sf).where("role <> 'test'")
+
+
+@query(f"{_GUARDED} SELECT *, n_foreign = 0 AND n_repeated = 0 AS accepted FROM g")
 def request_guard(spark, sf):
-    asked = tables.user_days(spark, sf).where("event_type = 'signup'").withColumnRenamed("t", "request_id")
-    train = tables.trajectory_roles(spark, sf).where("role = 'train'")
-    return ops.guard_requests(asked, train)
+    return ops.guard_requests(*_requests(spark, sf))
 
 
-@query("""SELECT e.traj AS request_id, e.event_id FROM ev e WHERE NOT EXISTS (
-    SELECT 1 FROM ev f LEFT JOIN (SELECT DISTINCT t FROM ev WHERE event_type = 'signup' AND value > 250) d ON d.t = f.t
-    WHERE f.traj = e.traj AND d.t IS NULL) AND NOT EXISTS (
-    SELECT 1 FROM ev g WHERE g.traj = e.traj GROUP BY g.t HAVING count(*) > 1)""")
+@query(f"{_GUARDED} SELECT q.request_id, q.event_id FROM q JOIN g USING (request_id) WHERE n_foreign = 0 AND n_repeated = 0")
 def accepted_requests(spark, sf):
-    ev = tables.user_days(spark, sf)
-    allowed = ev.where("event_type = 'signup' and value > 250").select("t").distinct()
-    asked = ev.withColumnRenamed("traj", "request_id").select("request_id", "t", "event_id")
-    return ops.accepted_rows(asked, allowed, key=["t"]).select("request_id", "event_id")
+    return ops.accepted_rows(*_requests(spark, sf)).select("request_id", "event_id")
 
 
 _NAMED = """SELECT doc_id, source AS path, lang AS role, CASE WHEN contains(source, '0') THEN 'en'
