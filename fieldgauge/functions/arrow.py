@@ -45,3 +45,14 @@ def widened(schema: T.StructType, names, kind: T.DataType | None = None) -> T.St
     """The schema with one more column per name: a vector of doubles unless ``kind`` says otherwise."""
     kind = kind or T.ArrayType(T.DoubleType())
     return T.StructType([*schema.fields, *[T.StructField(n, kind) for n in names]])
+
+
+def group_codes(columns: list[pa.Array], rows: int) -> tuple[list[tuple], np.ndarray]:
+    """The distinct keys of a batch and the key number of every row, without a per-row loop."""
+    code = np.zeros(rows, dtype=np.int64)
+    for column in columns:
+        coded = column.dictionary_encode(null_encoding="encode")
+        code = code * len(coded.dictionary) + coded.indices.to_numpy(zero_copy_only=False)
+    _, first, codes = np.unique(code, return_index=True, return_inverse=True)
+    keys = list(zip(*[column.take(pa.array(first)).to_pylist() for column in columns])) or [()]
+    return keys, codes

@@ -16,7 +16,9 @@ from pyspark.sql import types as T
 from pyspark.sql import Window
 
 HEX_DIGITS = 3
-SPLITS = 1023
+SPLITS = 255
+# A table counted at no more rows than this is ranked without buckets.
+ONE_BUCKET = 100_000
 
 
 def hash_key(seed: int | Column, *cols: Column | str) -> Column:
@@ -33,13 +35,28 @@ def hash_bucket(key: Column, digits: int = HEX_DIGITS) -> Column:
     return F.substring(key, 1, digits)
 
 
-def ordered_bucket(df: DataFrame, col: str, splits: int = SPLITS) -> Column:
+def ordered_bucket(
+    df: DataFrame, col: str, splits: int | None = None, n: int | None = None
+) -> Column | None:
     """Buckets that follow the order of a numeric column, from approximate quantiles.
 
-    Only the balance depends on the quantiles; any splits give the same positions.
+    Only the balance depends on the quantiles; any splits give the same positions. There are at
+    least four buckets per core of the cluster. None means that the table was counted and one
+    bucket is enough.
     """
+    if splits is None:
+        if n is not None and n <= ONE_BUCKET:
+            return None
+        splits = max(SPLITS, 4 * df.sparkSession.sparkContext.defaultParallelism)
+        smallest = ONE_BUCKET
+    else:
+        smallest = 0
     at = [i / (splits + 1) for i in range(1, splits + 1)]
-    row = df.agg(F.percentile_approx(col, at, 10_000).alias("q")).first()
+    row = df.agg(
+        F.count(F.lit(1)).alias("n"), F.percentile_approx(col, at, 10_000).alias("q")
+    ).first()
+    if row["n"] <= smallest:
+        return None
     edges = np.unique(np.asarray(row["q"] or [], dtype=np.float64))
 
     @F.pandas_udf(T.IntegerType())
@@ -90,28 +107,37 @@ def hash_position(
 
 
 def ordered_position(
-    df: DataFrame, by: Sequence[str], col: str, name: str = "rank", splits: int = SPLITS
+    df: DataFrame, by: Sequence[str], col: str, name: str = "rank", splits: int | None = None,
+    n: int | None = None,
 ) -> DataFrame:
-    """Position by a numeric column inside each group."""
-    return with_position(df, by, ordered_bucket(df, col, splits), [col], name)
+    """Position by a numeric column inside each group; ``n`` is the row count where it is known."""
+    bucket = ordered_bucket(df, col, splits, n)
+    if bucket is None:
+        inside = Window.partitionBy(*(by or [F.lit(0)])).orderBy(col)
+        return df.withColumn(name, (F.row_number().over(inside) - 1).cast("long"))
+    return with_position(df, by, bucket, [col], name)
 
 
 def next_in_group(
-    df: DataFrame, by: Sequence[str], order: str, cols: Sequence[str], width: int = 4096
+    df: DataFrame, by: Sequence[str], order: str, cols: Sequence[str], width: int = 1024
 ) -> DataFrame:
     """Attach ``next_<col>`` from the following row of the group (null at the end).
 
-    Groups are cut into runs of ``width`` order values. The follower of a run's last row is the
-    head of the next run, so only one head per run travels between runs.
+    Groups are cut into runs of ``width`` order values, so a long group is many small windows. The
+    head of each later run is copied into the run before it; heads are found from the key columns
+    alone, and without any (all groups shorter than a run) the copy is empty.
     """
-    runs = df.withColumn("_run", F.floor(F.col(order) / F.lit(width)))
     keys = [*by, "_run"]
-    heads = (
-        runs.groupBy(*keys)
-        .agg(F.min_by(F.struct(*cols), F.col(order)).alias("_head"))
-        .withColumn("_head", F.lead("_head").over(Window.partitionBy(*by).orderBy("_run")))
+    runs = df.withColumn("_run", F.floor(F.col(order) / F.lit(width)))
+    heads = runs.groupBy(*keys).agg(F.min(order).alias("_head"))
+    following = F.lead("_head").over(Window.partitionBy(*by).orderBy("_run"))
+    ahead = (
+        heads.withColumn("_next", following)
+        .where(F.col("_next").isNotNull())
+        .select(*by, F.col("_next").alias(order), "_run")
     )
-    here = F.lead(F.struct(*cols)).over(Window.partitionBy(*keys).orderBy(order))
-    out = runs.withColumn("_next", here).join(heads, keys, "left")
-    follower = F.coalesce(F.col("_next"), F.col("_head"))
-    return out.select(*df.columns, *[follower[c].alias(f"next_{c}") for c in cols])
+    copies = df.join(ahead, [*by, order]).select(*df.columns, "_run", F.lit(True).alias("_copy"))
+    rows = runs.withColumn("_copy", F.lit(False)).unionByName(copies)
+    after = F.lead(F.struct(*cols)).over(Window.partitionBy(*keys).orderBy(order))
+    out = rows.withColumn("_after", after).where(~F.col("_copy"))
+    return out.select(*df.columns, *[F.col(f"_after.{c}").alias(f"next_{c}") for c in cols])

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fieldgauge.functions.arrow import to_lists, to_matrix
+from fieldgauge.functions.arrow import group_codes, to_lists, to_matrix
 
 GROUPS_PER_TASK = 1024
 
@@ -58,20 +58,15 @@ def vector_sums(
             results = fn(*mats)
             cols = [batch.column(batch.schema.get_field_index(c)) for c in by]
             template = [c.type for c in cols]
-            if by:
-                labels = list(zip(*[c.to_pylist() for c in cols]))
-                place: dict = {}
-                codes = np.fromiter(
-                    (place.setdefault(k, len(place)) for k in labels), dtype=np.int64
-                )
+            keys, codes = group_codes(cols, batch.num_rows)
+            counts = np.bincount(codes, minlength=len(keys))
+            if len(keys) > 1:
                 order = np.argsort(codes, kind="stable")
-                cuts = np.searchsorted(codes[order], np.arange(len(place)))
-                counts = np.bincount(codes, minlength=len(place))
+                cuts = np.searchsorted(codes[order], np.arange(len(keys)))
                 summed = [np.add.reduceat(m[order], cuts, axis=0) for m in results]
             else:
-                place, counts = {(): 0}, [batch.num_rows]
                 summed = [m.sum(axis=0, keepdims=True) for m in results]
-            for key, at in place.items():
+            for at, key in enumerate(keys):
                 vecs = [s[at] for s in summed]
                 if key in held:
                     old = held[key]

@@ -18,7 +18,7 @@ from pyspark.sql import Window
 
 from fieldgauge.functions.arrow import to_lists, to_matrix
 from fieldgauge.functions.sums import add_blocks, vector_sums
-from fieldgauge.functions.vectors import dot, doubles
+from fieldgauge.functions.vectors import doubles
 
 DRIVER_SIDE = 8192
 EPS64 = 2.0**-52
@@ -468,13 +468,38 @@ def total_energy(df: DataFrame, col: str, mean: np.ndarray) -> float:
 
 
 def orthonormality(basis: DataFrame, keep: Sequence[int] | None = None) -> DataFrame:
-    """``(max_abs)`` of BBᵀ − I over the basis or the kept rows."""
+    """``(max_abs)`` of BBᵀ − I over the basis or the kept rows.
+
+    Directions that fit a broadcast are compared by one matrix product per batch; more of them by
+    the sample-side Gram, whose column blocks are added by a shuffle.
+    """
+    from fieldgauge.operators.codec import kept_rows
+
     rows = basis if keep is None else basis.where(F.col("j").isin([int(j) for j in keep]))
-    left = rows.select(F.col("j").alias("a"), F.col("vec").alias("va"))
-    right = rows.select(F.col("j").alias("b"), F.col("vec").alias("vb"))
-    pairs = left.join(right, F.col("a") <= F.col("b"))
-    want = F.when(F.col("a") == F.col("b"), 1.0).otherwise(0.0)
-    return pairs.agg(F.max(F.abs(dot(F.col("va"), F.col("vb")) - want)).alias("max_abs"))
+    held = kept_rows(basis, keep)
+    if held is None:
+        order = Window.partitionBy(F.lit(0)).orderBy("j")
+        placed = rows.select((F.row_number().over(order) - 1).alias("pos"), "vec")
+        blocks = to_blocks(placed, "pos", "vec")
+        gram = row_gram(blocks, rows.count(), "pos")
+        cells = gram.select("r", F.posexplode("g").alias("k", "g"))
+        want = F.when(F.col("r") == F.col("k"), 1.0).otherwise(0.0)
+        return cells.agg(F.max(F.abs(F.col("g") - want)).alias("max_abs"))
+    index = sorted(r["j"] for r in rows.select("j").collect())
+    matrix = held if keep is None else held[np.argsort([int(j) for j in keep])]
+    share = basis.sparkSession.sparkContext.broadcast((np.asarray(index), matrix))
+
+    def gap(batches):
+        for batch in batches:
+            if batch.num_rows:
+                at, b = share.value
+                g = to_matrix(batch.column(1)) @ b.T
+                g[np.arange(len(g)), np.searchsorted(at, batch.column(0).to_numpy())] -= 1.0
+                yield pa.RecordBatch.from_arrays([pa.array([np.abs(g).max()])], names=["gap"])
+
+    return rows.select(F.col("j").cast("long"), doubles("vec")).mapInArrow(gap, "gap double").agg(
+        F.max("gap").alias("max_abs")
+    )
 
 
 def check_rank(ranks: DataFrame, largest_arm: int) -> DataFrame:

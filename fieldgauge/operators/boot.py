@@ -10,11 +10,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
+from fieldgauge.functions.ranking import ordered_position
+from fieldgauge.session import cut
+
 # Fixed values the results depend on.
 REPLICATES = 10_000
 SEED = 20260811
 
 PCG64_DRAWS = 2_000_000
+DRAWS_PER_TASK = 4_000_000
 CELLS = 2_000
 
 
@@ -27,11 +31,11 @@ def draws(
     NumPy's generator, for parity at small reps·n.
     """
     if draw == "hash":
-        base = spark.range(reps * n).select(
-            F.floor(F.col("id") / n).alias("rep"), (F.col("id") % n).alias("i")
-        )
+        tasks = max(spark.sparkContext.defaultParallelism, reps * n // DRAWS_PER_TASK)
+        base = spark.range(0, reps * n, 1, tasks).selectExpr(f"id div {n} AS rep", f"id % {n} AS i")
         text = F.concat_ws(":", F.lit(str(seed)), F.col("rep").cast("string"), F.col("i").cast("string"))
-        number = F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("long")
+        # never null, and saying so keeps the join from hashing every draw twice to test it
+        number = F.coalesce(F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("long"), F.lit(0))
         return base.select("rep", "i", (number % n).alias("idx"))
     if draw != "pcg64":
         raise ValueError(f"unknown draw {draw!r}")
@@ -76,25 +80,21 @@ def replicate_means(
 ) -> DataFrame:
     """``(rep, *by, mse)``: the mean error of the drawn clusters in every cell.
 
+    The error table is written once, since its cells, its clusters and its values are all read.
     Errors become one row per cluster position with a column per cell, so a draw costs one join for
     all cells. Spark ships that table whole while it is small and shuffles both sides on the
     position when it is not; sums are made before anything is grouped by replicate.
     """
     by = list(by)
     spark = errors.sparkSession
+    errors = cut(errors.select(*by, cluster, "err"), "errors")
     cells = errors.select(*by).distinct().limit(CELLS + 1).collect()
     if len(cells) > CELLS:
         raise ValueError(f"more than {CELLS} cells")
     cells = sorted(cells, key=lambda r: tuple(str(v) for v in r))
     ids = errors.select(cluster).distinct()
     n = ids.count()
-    place = Window.partitionBy(F.lit(0)).orderBy(cluster)
-    if n > 100_000:
-        from fieldgauge.functions.ranking import ordered_position
-
-        placed = ordered_position(ids, [], cluster, "idx")
-    else:
-        placed = ids.withColumn("idx", (F.row_number().over(place) - 1).cast("long"))
+    placed = ordered_position(ids, [], cluster, "idx", n=n)
     match = [
         F.max(F.when(_same(by, cell), F.col("err"))).alias(f"c{i}") for i, cell in enumerate(cells)
     ]

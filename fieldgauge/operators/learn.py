@@ -35,8 +35,10 @@ def score(df: DataFrame, col: str, model: Callable[[np.ndarray], np.ndarray], ou
 
 def in_subsample(seed: int, key: Sequence[str], fraction: float):
     """True for the rows a seed trains on: a stable hash rule, the same in every engine."""
-    bucket = F.conv(F.substring(hash_key(seed, *key), 1, 8), 16, 10).cast("double")
-    return bucket < fraction * 2.0**32
+    # eight lower-case hex digits compare as text in the order of their number
+    below = int(np.ceil(fraction * 2.0**32))
+    head = F.substring(hash_key(seed, *key), 1, 8)
+    return F.lit(True) if below >= 1 << 32 else head < F.lit(f"{below:08x}")
 
 
 class Linear(NamedTuple):
@@ -49,39 +51,39 @@ class Linear(NamedTuple):
         return x @ self.weights + self.bias
 
 
-def normal_equations(pairs: DataFrame, x: str, y: str, by: Sequence[str] = ("seed",)) -> DataFrame:
-    """Strips of Σ[x 1]ᵀ[x 1 y] per group: ``(*by, strip, n, seg)``, one record per task and strip."""
-    by = list(by)
-    types = ", ".join(f"`{c}` {pairs.schema[c].dataType.simpleString()}" for c in by)
+def normal_equations(pairs: DataFrame, x: str, y: str, groups: dict[int, object]) -> DataFrame:
+    """Strips of Σ[x 1]ᵀ[x 1 y] over the rows of each group: ``(grp, strip, n, seg)``.
+
+    ``groups`` maps a number to a row condition; a row may be in several groups and is read and
+    shipped once. Every task emits one record per group and strip.
+    """
+    numbers = list(groups)
 
     def run(batches):
         held: dict = {}
         for batch in batches:
             if not batch.num_rows:
                 continue
-            xs, ys = to_matrix(batch.column(len(by))), to_matrix(batch.column(len(by) + 1))
+            xs, ys = to_matrix(batch.column(0)), to_matrix(batch.column(1))
             design = np.hstack([xs, np.ones((len(xs), 1))])
             right = np.hstack([design, ys])
-            labels = list(zip(*[batch.column(i).to_pylist() for i in range(len(by))])) or [()] * len(xs)
-            for key in dict.fromkeys(labels):
-                at = np.fromiter((label == key for label in labels), dtype=bool, count=len(labels))
-                part = design[at].T @ right[at]
-                n, old = held.get(key, (0, 0.0))
-                held[key] = (n + int(at.sum()), old + part)
-        for key, (n, m) in held.items():
+            for i, number in enumerate(numbers):
+                at = batch.column(2 + i).to_numpy(zero_copy_only=False)
+                n, old = held.get(number, (0, 0.0))
+                held[number] = (n + int(at.sum()), old + design[at].T @ right[at])
+        for number, (n, m) in held.items():
             for s, lo in enumerate(range(0, len(m), STRIP)):
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([k], type=batch.column(i).type) for i, k in enumerate(key)]
-                    + [pa.array([s], pa.int32()), pa.array([n], pa.int64()),
-                       to_lists(m[lo : lo + STRIP].reshape(1, -1))],
-                    names=[*by, "strip", "n", "seg"],
+                    [pa.array([number], pa.int32()), pa.array([s], pa.int32()), pa.array([n], pa.int64()),
+                     to_lists(m[lo : lo + STRIP].reshape(1, -1))],
+                    names=["grp", "strip", "n", "seg"],
                 )
 
-    head = f"{types}, " if by else ""
-    parts = pairs.select(*by, doubles(x).alias("_x"), doubles(y).alias("_y")).mapInArrow(
-        run, f"{head}strip int, n bigint, seg array<double>"
+    marks = [groups[g].alias(f"_g{i}") for i, g in enumerate(numbers)]
+    parts = pairs.select(doubles(x).alias("_x"), doubles(y).alias("_y"), *marks).mapInArrow(
+        run, "grp int, strip int, n bigint, seg array<double>"
     )
-    return add_blocks(parts, [*by, "strip"], ["seg"])
+    return add_blocks(parts, ["grp", "strip"], ["seg"])
 
 
 def fit_linear(
@@ -92,21 +94,20 @@ def fit_linear(
 
     The bias is not penalised. Only (D+1)×(D+1+K) sums reach the driver.
     """
-    chosen = F.array_compact(
-        F.array(*[F.when(in_subsample(s, key, fraction), F.lit(int(s))) for s in seeds])
-    )
-    spread = pairs.select(F.explode(chosen).alias("seed"), x, y)
     first = pairs.select(F.size(x).alias("d"), F.size(y).alias("k")).first()
     d, k = first["d"], first["k"]
     if d + 1 > DRIVER_SIDE:
         raise ValueError(f"D={d} exceeds the driver bound {DRIVER_SIDE}")
     sums = {int(s): np.zeros((d + 1, d + 1 + k)) for s in seeds}
-    for r in normal_equations(spread, x, y).toLocalIterator():
+    groups = {int(s): in_subsample(s, key, fraction) for s in seeds}
+    for r in normal_equations(pairs, x, y, groups).toLocalIterator():
         seg = np.asarray(r["seg"]).reshape(-1, d + 1 + k)
-        sums[r["seed"]][r["strip"] * STRIP : r["strip"] * STRIP + len(seg)] = seg
+        sums[r["grp"]][r["strip"] * STRIP : r["strip"] * STRIP + len(seg)] = seg
     out = {}
     for s, m in sums.items():
         n = m[d, d]
+        if not n:
+            raise ValueError(f"seed {s} has no training rows")
         penalty = ridge * n * np.eye(d + 1)
         penalty[d, d] = 0.0
         solved = np.linalg.solve(m[:, : d + 1] + penalty, m[:, d + 1 :])

@@ -112,6 +112,25 @@ def floor_rows(
     return _scalars(df, (b, b @ b.T, np.asarray(mean)), [y], [output], outside)
 
 
+def arm_rows(
+    df: DataFrame, y: str, pred: str, basis: DataFrame, mean: np.ndarray, keep: Sequence[int]
+) -> DataFrame:
+    """Append the three row errors of a cell in one pass: ``dense``, ``reduced`` (the prediction
+    projected on the kept directions) and ``floor`` (the field itself projected)."""
+    b = _rows(basis, keep)
+
+    def errors(shared, truth, guess):
+        b, mu = shared
+        r, p = truth - mu, guess - mu
+        return [
+            ((truth - guess) ** 2).mean(axis=1),
+            ((r - (p @ b.T) @ b) ** 2).mean(axis=1),
+            ((r - (r @ b.T) @ b) ** 2).mean(axis=1),
+        ]
+
+    return _scalars(df, (b, np.asarray(mean)), [y, pred], ["dense", "reduced", "floor"], errors)
+
+
 def floor_perp(
     df: DataFrame, y: str, basis: DataFrame, mean: np.ndarray, keep: Sequence[int],
     by: Sequence[str] = (),

@@ -18,7 +18,7 @@ TRAJECTORY = ("family", "traj")
 
 
 def pair_next(
-    snapshots: DataFrame, field: str = "field", by: Sequence[str] = TRAJECTORY, width: int = 4096
+    snapshots: DataFrame, field: str = "field", by: Sequence[str] = TRAJECTORY, width: int = 1024
 ) -> DataFrame:
     """(x, y) from each frame and the following frame of the same trajectory."""
     return (
@@ -51,8 +51,8 @@ def pair_strided(
 
 def pair_roll(rows: DataFrame, order: str, field: str = "field", n: int | None = None) -> DataFrame:
     """The leaky comparator: x is the previous row of the whole table, the first row wraps around."""
-    ranked = ranking.ordered_position(rows, [], order, "pos")
     n = rows.count() if n is None else n
+    ranked = ranking.ordered_position(rows, [], order, "pos", n=n)
     previous = ranked.select(
         F.pmod(F.col("pos") + 1, F.lit(n)).alias("pos"),
         F.col(order).alias(f"from_{order}"),

@@ -79,7 +79,7 @@ def _pcg64_positions(keys: DataFrame, seed: int, by: list[str], key: str) -> Dat
 def split_contiguous(rows: DataFrame, order: str, fraction: float, n: int | None = None) -> DataFrame:
     """First int(fraction·n) rows by ``order`` are train, the rest test."""
     n = rows.count() if n is None else n
-    ranked = ranking.ordered_position(rows, [], order)
+    ranked = ranking.ordered_position(rows, [], order, n=n)
     cut = int(fraction * n)
     return ranked.withColumn("role", F.when(F.col("rank") < cut, "train").otherwise("test"))
 
@@ -99,7 +99,7 @@ def split_blocks(
         "selection": (a + embargo, b - embargo),
         "test": (b + embargo, n),
     }
-    ranked = ranking.ordered_position(rows, [], order)
+    ranked = ranking.ordered_position(rows, [], order, n=n)
     return ranked.withColumn("role", role_of_rank(ranges, F.col("rank"))).where("role is not null")
 
 

@@ -21,11 +21,12 @@ TAU = 0.05
 
 def direction_gain(
     rows: DataFrame, y: str, pred: str, basis: DataFrame, mean: np.ndarray,
-    by: Sequence[str] = ("seed",), row: Sequence[str] | None = None,
+    by: Sequence[str] = ("seed",), row: Sequence[str] | None = None, with_mse: bool = False,
 ) -> DataFrame:
     """``(*by, j, n, q, e, gain)``: mean c², mean (c−ĉ)² and their difference per direction.
 
     Coefficients are reduced to sums inside the task that computes them; they never shuffle.
+    ``with_mse`` adds ``mse``, the field error of the group, from the same reading of the rows.
     """
     by = list(by)
     b = kept_rows(basis)
@@ -36,15 +37,27 @@ def direction_gain(
             b, mu = share.value
             c = (truth - mu) @ b.T
             miss = (truth - guess) @ b.T
-            return c * c, miss * miss
+            if not with_mse:
+                return c * c, miss * miss
+            error = np.zeros_like(c)
+            error[:, 0] = ((truth - guess) ** 2).mean(axis=1)
+            return c * c, miss * miss, error
 
         typed = rows.withColumn(y, doubles(y)).withColumn(pred, doubles(pred))
-        sums = vector_sums(typed, [y, pred], by, ["q", "e"], squares)
+        outputs = ["q", "e", "mse"] if with_mse else ["q", "e"]
+        sums = vector_sums(typed, [y, pred], by, outputs, squares)
     else:
         coded = encode(rows, [y, pred], basis, mean, outputs=["_c", "_p"], row=row or by)
         sums = vector_sums(coded, ["_c", "_p"], by, ["q", "e"], lambda c, p: (c * c, (c - p) ** 2))
     q, e = F.col("q") / F.col("n"), F.col("e") / F.col("n")
-    return sums.select(*by, "j", "n", q.alias("q"), e.alias("e"), (q - e).alias("gain"))
+    out = [*by, "j", "n", q.alias("q"), e.alias("e"), (q - e).alias("gain")]
+    if with_mse and b is not None:
+        group = Window.partitionBy(*(by or [F.lit(0)]))
+        out.append((F.sum("mse").over(group) / F.col("n")).alias("mse"))
+    gains = sums.select(*out)
+    if with_mse and b is None:
+        gains = gains.join(overall_mse(rows, y, pred, by).drop("n_rows"), by)
+    return gains
 
 
 def gain_order(gains: DataFrame, by: Sequence[str] = ("seed",)) -> DataFrame:
@@ -77,6 +90,13 @@ def gain_threshold(
     )
 
 
+def thresholds_of(gains: DataFrame, width: int, tau: float = TAU, by: Sequence[str] = ("seed",)) -> DataFrame:
+    """The same thresholds from gains made ``with_mse``."""
+    return gains.groupBy(*by).agg(F.first("mse").alias("mse")).withColumn("tau", F.lit(float(tau))).withColumn(
+        "threshold", F.col("tau") * width * F.col("mse")
+    )
+
+
 def thresholds_by_tau(thresholds: DataFrame, taus: Sequence[float]) -> DataFrame:
     """One threshold row per tolerance."""
     scaled = thresholds.withColumn("_per", F.col("threshold") / F.col("tau")).drop("tau", "threshold")

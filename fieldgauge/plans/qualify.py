@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fieldgauge.operators import boot, codec, decide, metrics, select
+from fieldgauge.operators import boot, decide, metrics, select
 from fieldgauge.session import cut
 
 
@@ -16,10 +16,11 @@ def choose(
     predictions: DataFrame, basis: DataFrame, mean: np.ndarray, width: int, ladder: Sequence[int],
     role: str = "selection", policy: str = "full_dim", tau: float = select.TAU,
 ) -> tuple[DataFrame, DataFrame]:
-    """``(selection, order)`` from the selection rows, one row per seed."""
+    """``(selection, order)`` from one reading of the selection rows; both then follow from the gains."""
     rows = predictions.where(F.col("role") == role)
-    order = select.gain_order(select.direction_gain(rows, "y", "p", basis, mean))
-    limits = select.gain_threshold(rows, "y", "p", width, tau)
+    gains = cut(select.direction_gain(rows, "y", "p", basis, mean, with_mse=True), "gains")
+    order = select.gain_order(gains)
+    limits = select.thresholds_of(gains, width, tau)
     return select.select_rung(select.gain_tail(order), ladder, limits, policy), order
 
 
@@ -31,11 +32,8 @@ def cell_errors(
     One pass: the three row errors are made together and summed per trajectory.
     """
     rows = predictions.where(F.col("role") == role).select("seed", F.col("label").alias("cluster"), "y", "p")
-    shown = metrics.floor_rows(codec.project(rows, "p", basis, mean, keep, "r"), "y", basis, mean, keep)
-    sums = shown.select(
-        "seed", "cluster", metrics.row_mse("y", "p").alias("dense"), metrics.row_mse("y", "r").alias("reduced"),
-        F.col("perp").alias("floor"),
-    ).groupBy("seed", "cluster").agg(
+    shown = metrics.arm_rows(rows, "y", "p", basis, mean, keep)
+    sums = shown.groupBy("seed", "cluster").agg(
         F.count(F.lit(1)).alias("n_rows"), *[F.avg(c).alias(c) for c in ("dense", "reduced", "floor")]
     )
     return sums.unpivot(["seed", "cluster", "n_rows"], ["dense", "reduced", "floor"], "arm", "err")

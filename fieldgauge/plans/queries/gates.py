@@ -136,12 +136,21 @@ def index_set_gate(spark, sf):
     )
 
 
-@query()
+# The little-endian bytes of a 4-byte float from its sign, exponent and fraction.
+_BYTES = """SELECT vec_id, label, i, (CASE WHEN e < 0 THEN 2147483648 ELSE 0 END + CASE WHEN e = 0 THEN 0 ELSE (x + 127) * 8388608
+    + (abs(e) / pow(2.0::DOUBLE, x) * 8388608 - 8388608)::BIGINT END)::BIGINT AS b FROM (SELECT vec_id, label, i, e,
+    CASE WHEN e = 0 THEN 0 WHEN pow(2.0::DOUBLE, floor(log2(abs(e))) + 1) <= abs(e) THEN floor(log2(abs(e))) + 1
+         WHEN pow(2.0::DOUBLE, floor(log2(abs(e)))) > abs(e) THEN floor(log2(abs(e))) - 1 ELSE floor(log2(abs(e))) END::BIGINT AS x FROM el)"""
+_DIGESTS = f"""SELECT vec_id, label, sha256(unhex(string_agg(printf('%02x%02x%02x%02x', b & 255, (b >> 8) & 255, (b >> 16) & 255, (b >> 24) & 255), '' ORDER BY i))) AS sha256
+    FROM ({_BYTES}) GROUP BY vec_id, label"""
+
+
+@query(f"SELECT vec_id, sha256 FROM ({_DIGESTS})")
 def vector_digests(spark, sf):
     return ops.array_digest(tables.read(spark, sf, "embeddings"), "embedding").select("vec_id", "sha256")
 
 
-@query()
+@query(f"""SELECT label, count(*) AS n_keys, sha256(string_agg(sha256, chr(10) ORDER BY vec_id)) AS sha256 FROM ({_DIGESTS}) GROUP BY label""")
 def collection_digest(spark, sf):
     placed = ranking.ordered_position(tables.read(spark, sf, "embeddings"), ["label"], "vec_id", "pos")
     return ops.collection_digest(placed, "embedding", "pos", by=["label"])

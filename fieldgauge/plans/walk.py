@@ -18,6 +18,7 @@ from fieldgauge.functions import ranking
 from fieldgauge.functions.vectors import doubles
 from fieldgauge.operators import basis as bases
 from fieldgauge.operators.roles import role_of_rank
+from fieldgauge.session import cut
 
 SEEDS = (0, 1, 2)
 LADDER = (2, 4, 8, 16, 32, 48, 64)
@@ -43,7 +44,7 @@ def fields(spark: SparkSession, sf: str, holdout: bool = False) -> tuple[DataFra
     """
     raw = spark.read.parquet(f"{sf}/embeddings.parquet").select("vec_id", "label", "embedding")
     n = raw.count()
-    placed = ranking.ordered_position(raw, [], "vec_id", "pos")
+    placed = ranking.ordered_position(raw, [], "vec_id", "pos", n=n)
     a, b = int(n * 0.6), int(n * 0.8)
     ranges = {"train": (0, a), "holdout": (a, n)} if holdout else {
         "train": (0, a), "selection": (a, b), "test": (b, n)
@@ -57,6 +58,7 @@ def fields(spark: SparkSession, sf: str, holdout: bool = False) -> tuple[DataFra
 
 def study(spark: SparkSession, sf: str, holdout: bool = False) -> Walk:
     rows, n = fields(spark, sf, holdout)
+    rows = cut(rows, "fields")
     mean = bases.mean_vector(rows.where("role = 'train'"), "y")
     return Walk(rows, bases.dct_basis(spark, len(mean)), mean, n, len(mean))
 
