@@ -76,18 +76,20 @@ def resample_digest(drawn: DataFrame) -> DataFrame:
 
 def replicate_means(
     errors: DataFrame, reps: int = REPLICATES, seed: int = SEED, draw: str = "hash",
-    by: Sequence[str] = ("arm", "seed"), cluster: str = "cluster",
+    by: Sequence[str] = ("arm", "seed"), cluster: str = "cluster", stored: bool = False,
 ) -> DataFrame:
     """``(rep, *by, mse)``: the mean error of the drawn clusters in every cell.
 
-    The error table is written once, since its cells, its clusters and its values are all read.
+    The error table is written once unless it is ``stored`` already, since its cells, its clusters
+    and its values are all read.
     Errors become one row per cluster position with a column per cell, so a draw costs one join for
     all cells. Spark ships that table whole while it is small and shuffles both sides on the
     position when it is not; sums are made before anything is grouped by replicate.
     """
     by = list(by)
     spark = errors.sparkSession
-    errors = cut(errors.select(*by, cluster, "err"), "errors")
+    if not stored:
+        errors = cut(errors.select(*by, cluster, "err"), "errors")
     cells = errors.select(*by).distinct().limit(CELLS + 1).collect()
     if len(cells) > CELLS:
         raise ValueError(f"more than {CELLS} cells")
@@ -159,11 +161,11 @@ def replicate_stats(means: DataFrame, base: str = "dense", families: bool = Fals
 
 def paired_bootstrap(
     errors: DataFrame, base: str = "dense", reps: int = REPLICATES, seed: int = SEED,
-    draw: str = "hash", families: bool = False,
+    draw: str = "hash", families: bool = False, stored: bool = False,
 ) -> DataFrame:
     """``(arm, lo, hi, replicates)``; a floor is an arm whose error does not depend on the seed."""
     by = ["family", "arm", "seed"] if families else ["arm", "seed"]
-    means = replicate_means(errors, reps, seed, draw, by)
+    means = replicate_means(errors, reps, seed, draw, by, stored=stored)
     return interval(replicate_stats(means, base, families), "stat", ["arm"])
 
 

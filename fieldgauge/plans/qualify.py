@@ -24,6 +24,13 @@ def choose(
     return select.select_rung(select.gain_tail(order), ladder, limits, policy), order
 
 
+def kept_set(selection: DataFrame, order: DataFrame, primary: int) -> list:
+    """The ordered index set of the primary seed with its K and slack; as long as K."""
+    picked = selection.where(F.col("seed") == primary).select("seed", "selected_k", "slack")
+    rows = order.join(picked, "seed").where("rank < selected_k").orderBy("rank")
+    return rows.select("j", "selected_k", "slack").collect()
+
+
 def cell_errors(
     predictions: DataFrame, basis: DataFrame, mean: np.ndarray, keep: Sequence[int], role: str = "test"
 ) -> DataFrame:
@@ -57,15 +64,11 @@ def qualify(
     """
     predictions = cut(predictions)
     selection, order = choose(predictions, basis, mean, width, ladder, selection_role)
-    picked = selection.where(F.col("seed") == primary).first()
-    keep = [
-        r["j"]
-        for r in order.where((F.col("seed") == primary) & (F.col("rank") < picked["selected_k"]))
-        .orderBy("rank").select("j").collect()
-    ]
+    kept = kept_set(selection, order, primary)
+    picked, keep = kept[0], [r["j"] for r in kept]
     errors = cut(cell_errors(predictions, basis, mean, keep, test_role))
     points = decide.quality_point(decide.seed_ratios(overall(errors)))
-    limits = boot.paired_bootstrap(errors, reps=reps)
+    limits = boot.paired_bootstrap(errors, reps=reps, stored=True)
     both = points.join(limits, "arm").groupBy().agg(
         *[
             F.max(F.when(F.col("arm") == arm, F.col(c))).alias(name)
@@ -90,6 +93,5 @@ def primary_set(predictions: DataFrame, walk, primary: int = 0, role: str = "sel
     from fieldgauge.plans.walk import LADDER
 
     selection, order = choose(predictions, walk.basis, walk.mean, walk.width, LADDER, role)
-    k = selection.where(F.col("seed") == primary).first()["selected_k"]
-    kept = order.where((F.col("seed") == primary) & (F.col("rank") < k)).orderBy("rank")
-    return k, [r["j"] for r in kept.select("j").collect()]
+    kept = kept_set(selection, order, primary)
+    return kept[0]["selected_k"], [r["j"] for r in kept]

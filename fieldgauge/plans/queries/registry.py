@@ -143,7 +143,7 @@ FRAGMENTS: dict[str, str] = {
                     avg(l_tax * 100) AS m3 FROM lineitem)) GROUP BY i, k""",
     # one curve per user: mean value of each active day, epochs counted from 1
     "curve": """SELECT traj, family, row_number() OVER (PARTITION BY traj ORDER BY t) AS epoch, val FROM
-        (SELECT traj, family, t, round(avg(value), 4) + 1.0::DOUBLE AS val FROM ev GROUP BY ALL)""",
+        (SELECT traj, family, t, avg(value) + 1.0::DOUBLE AS val FROM ev GROUP BY ALL)""",
     # run grid at scale: a customer is a cluster, its order prices are the errors
     "runs": """SELECT unnest(['mix', 'step']) AS family, s.seed, o_custkey AS cluster, o_orderpriority AS priority, unnest([
         o_totalprice / 1000, o_totalprice / 1000]) AS dense, unnest([

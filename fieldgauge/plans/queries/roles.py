@@ -143,8 +143,8 @@ def _ledger(spark, sf):
     return _asked(spark, sf).select("stage", "role", kind.alias("event"), F.lit(1).alias("n"))
 
 
-@query(f"""SELECT stage, role, (sum(n) FILTER (event = 'field_read'))::BIGINT AS fields_read,
-    (sum(n) FILTER (event = 'bytes_hashed'))::BIGINT AS files_hashed, count(*) AS n_events
+@query(f"""SELECT stage, role, coalesce(sum(n) FILTER (event = 'field_read'), 0)::BIGINT AS fields_read,
+    coalesce(sum(n) FILTER (event = 'bytes_hashed'), 0)::BIGINT AS files_hashed, count(*) AS n_events
     FROM ({_LEDGER}) GROUP BY ROLLUP (stage, role)""")
 def ledger_summary(spark, sf):
     path = scratch(spark, "ledger")

@@ -72,7 +72,7 @@ def matrix(spark: SparkSession, sf: str) -> DataFrame:
 def curves(spark: SparkSession, sf: str) -> DataFrame:
     """``(traj, family, epoch, val_mse)``: a user's mean value per active day, one epoch per day."""
     daily = user_days(spark, sf).groupBy("traj", "family", "t").agg(
-        (F.round(F.avg("value"), 4) + 1.0).alias("val_mse")
+        (F.avg("value") + 1.0).alias("val_mse")
     )
     order = ranking.Window.partitionBy("traj").orderBy("t")
     return daily.select("traj", "family", F.row_number().over(order).alias("epoch"), "val_mse")
