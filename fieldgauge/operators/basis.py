@@ -66,6 +66,8 @@ def centred_scatter(df: DataFrame, col: str, block: int = 512) -> DataFrame:
             if not batch.num_rows:
                 continue
             y = to_matrix(batch.column(0))
+            if y.shape[1] > DRIVER_SIDE:
+                raise ValueError(f"D={y.shape[1]} exceeds {DRIVER_SIDE}; use the sample side or 'randomized'")
             k, mu = len(y), y.mean(axis=0)
             centred = y - mu
             scatter = centred.T @ centred

@@ -11,6 +11,8 @@ from pyspark.sql import DataFrame, SparkSession
 # Anything broadcast by this library is measured first and must stay below this size.
 BROADCAST_BYTES = 256 * 1024 * 1024
 
+_LOCAL_FOLDERS: dict[str, str] = {}
+
 
 def local_session(cores: int | str = "*", app: str = "fieldgauge", **conf: str) -> SparkSession:
     """A session for tests and the bench on one machine."""
@@ -43,9 +45,10 @@ def shared_folder(spark: SparkSession) -> str:
         return named
     if not spark.sparkContext.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
-    folder = tempfile.mkdtemp(prefix="fieldgauge-")
-    spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    app = spark.sparkContext.applicationId
+    if app not in _LOCAL_FOLDERS:
+        _LOCAL_FOLDERS[app] = tempfile.mkdtemp(prefix="fieldgauge-")
+    return _LOCAL_FOLDERS[app]
 
 
 def cut(df: DataFrame, name: str = "cut") -> DataFrame:

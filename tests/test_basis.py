@@ -142,3 +142,12 @@ def test_inherited_basis_is_validated(spark):
 def test_cosine_basis_is_orthonormal(spark):
     assert ops.orthonormality(ops.dct_basis(spark, 64)).first()["max_abs"] < 1e-12
     assert ops.orthonormality(ops.dct_basis(spark, 64), [0, 5, 9]).first()["max_abs"] < 1e-12
+
+
+def test_oversized_basis_goes_through_the_block_gram(spark, monkeypatch):
+    from fieldgauge.operators import codec
+
+    monkeypatch.setattr(codec, "BROADCAST_BYTES", 64)
+    skew = ops.dct_basis(spark, 16).withColumn("vec", F.transform("vec", lambda v: v * 1.5))
+    assert ops.orthonormality(skew, [1, 4, 9]).first()["max_abs"] == pytest.approx(1.25)
+    assert ops.orthonormality(ops.dct_basis(spark, 16)).first()["max_abs"] < 1e-12

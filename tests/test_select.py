@@ -101,3 +101,22 @@ def test_calibration_rules(spark):
         "ok": None, "empty": "empty_order", "twice": "repeated_direction", "negative": "negative_direction",
         "range": "k_pred_out_of_range", "head": "kept_is_not_the_order_head",
     }
+
+
+def test_gain_by_tiles_and_mse_in_the_same_pass(spark, monkeypatch):
+    from fieldgauge.operators import codec
+
+    rng = np.random.default_rng(8)
+    y, p, mean = rng.standard_normal((30, 8)), rng.standard_normal((30, 8)), rng.standard_normal(8)
+    rows = [(i, i % 2, y[i].tolist(), p[i].tolist()) for i in range(30)]
+    df = spark.createDataFrame(rows, "id int, seed int, y array<double>, p array<double>").repartition(4)
+    basis = dct_basis(spark, 8)
+    one = ops.direction_gain(df, "y", "p", basis, mean, with_mse=True).orderBy("seed", "j").collect()
+    monkeypatch.setattr(codec, "BROADCAST_BYTES", 64)
+    two = ops.direction_gain(df, "y", "p", basis, mean, row=["id"], with_mse=True).orderBy("seed", "j").collect()
+    for a, b in zip(one, two, strict=True):
+        assert (a["seed"], a["j"]) == (b["seed"], b["j"])
+        assert (a["gain"], a["mse"]) == pytest.approx((b["gain"], b["mse"]))
+    assert one[0]["mse"] == pytest.approx(((y - p)[::2] ** 2).mean())
+    limit = {r["seed"]: r["threshold"] for r in ops.thresholds_of(ops.direction_gain(df, "y", "p", basis, mean, row=["id"], with_mse=True), 8).collect()}
+    assert limit[1] == pytest.approx(0.05 * 8 * ((y - p)[1::2] ** 2).mean())
