@@ -9,7 +9,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldgauge.session import shared_folder
+from fieldgauge.session import shared_folder, ship_package
 
 TABLE: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -22,6 +22,7 @@ def query(sql: str | None = None, digits: int = 6):
         name = fn.__name__
 
         def run(spark: SparkSession, sf: str) -> DataFrame:
+            ship_package(spark)
             return tidy(fn(spark, sf), digits)
 
         TABLE[name] = run

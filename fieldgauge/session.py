@@ -5,6 +5,8 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -12,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 BROADCAST_BYTES = 256 * 1024 * 1024
 
 _LOCAL_FOLDERS: dict[str, str] = {}
+_SHIPPED: set[str] = set()
 
 
 def local_session(cores: int | str = "*", app: str = "fieldgauge", **conf: str) -> SparkSession:
@@ -34,6 +37,24 @@ def local_session(cores: int | str = "*", app: str = "fieldgauge", **conf: str)
     return builder.getOrCreate()
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Give the Python workers this package, once per application.
+
+    Functions that run in tasks are found by name there; an installed package or ``--py-files``
+    does the same.
+    """
+    sc = spark.sparkContext
+    if sc.applicationId in _SHIPPED:
+        return
+    root = Path(__file__).resolve().parent
+    archive = Path(tempfile.mkdtemp(prefix="fieldgauge-")) / "fieldgauge.zip"
+    with zipfile.ZipFile(archive, "w") as held:
+        for source in sorted(root.rglob("*.py")):
+            held.write(source, source.relative_to(root.parent))
+    sc.addPyFile(str(archive))
+    _SHIPPED.add(sc.applicationId)
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder for cut lineage and hand-over tables.
 
