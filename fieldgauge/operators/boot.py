@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
@@ -74,19 +74,17 @@ def resample_digest(drawn: DataFrame) -> DataFrame:
     )
 
 
-def replicate_means(
-    errors: DataFrame, reps: int = REPLICATES, seed: int = SEED, draw: str = "hash",
-    by: Sequence[str] = ("arm", "seed"), cluster: str = "cluster", stored: bool = False,
-) -> DataFrame:
-    """``(rep, *by, mse)``: the mean error of the drawn clusters in every cell.
+def _wide_means(
+    errors: DataFrame, reps: int, seed: int, draw: str, by: Sequence[str], cluster: str, stored: bool
+) -> tuple[DataFrame, list]:
+    """``(rep, c0, c1, …)`` with one column per cell, and the cells.
 
     The error table is written once unless it is ``stored`` already, since its cells, its clusters
-    and its values are all read.
-    Errors become one row per cluster position with a column per cell, so a draw costs one join for
-    all cells. Spark ships that table whole while it is small and shuffles both sides on the
-    position when it is not; sums are made before anything is grouped by replicate.
+    and its values are all read. Errors become one row per cluster position with a column per cell,
+    so a draw costs one join for all cells. Spark ships that table whole while it is small and
+    shuffles both sides on the position when it is not; sums are made before anything is grouped by
+    replicate.
     """
-    by = list(by)
     spark = errors.sparkSession
     if not stored:
         errors = cut(errors.select(*by, cluster, "err"), "errors")
@@ -112,6 +110,16 @@ def replicate_means(
     sums = drawn.join(wide, "idx").groupBy("rep").agg(
         *[(F.sum(f"c{i}") / n).alias(f"c{i}") for i in range(len(cells))]
     )
+    return sums, cells
+
+
+def replicate_means(
+    errors: DataFrame, reps: int = REPLICATES, seed: int = SEED, draw: str = "hash",
+    by: Sequence[str] = ("arm", "seed"), cluster: str = "cluster", stored: bool = False,
+) -> DataFrame:
+    """``(rep, *by, mse)``: the mean error of the drawn clusters in every cell."""
+    by = list(by)
+    sums, cells = _wide_means(errors, reps, seed, draw, by, cluster, stored)
     pairs = F.explode(
         F.array(
             *[
@@ -159,14 +167,45 @@ def replicate_stats(means: DataFrame, base: str = "dense", families: bool = Fals
     return medians.groupBy("rep", "arm").agg(F.max("stat").alias("stat"))
 
 
+def _middle(values: list) -> Column:
+    """Median of a fixed number of columns."""
+    ordered = F.array_sort(F.array(*values))
+    half = len(values) // 2
+    return ordered[half] if len(values) % 2 else (ordered[half - 1] + ordered[half]) / 2
+
+
 def paired_bootstrap(
     errors: DataFrame, base: str = "dense", reps: int = REPLICATES, seed: int = SEED,
     draw: str = "hash", families: bool = False, stored: bool = False,
 ) -> DataFrame:
-    """``(arm, lo, hi, replicates)``; a floor is an arm whose error does not depend on the seed."""
+    """``(arm, lo, hi, replicates)``; a floor is an arm whose error does not depend on the seed.
+
+    A replicate is one row with a column per cell, so its ratios, medians and the maximum over
+    families are plain expressions and only the interval is aggregated.
+    """
     by = ["family", "arm", "seed"] if families else ["arm", "seed"]
-    means = replicate_means(errors, reps, seed, draw, by, stored=stored)
-    return interval(replicate_stats(means, base, families), "stat", ["arm"])
+    means, cells = _wide_means(errors, reps, seed, draw, by, "cluster", stored)
+    at: dict = {}
+    for i, cell in enumerate(cells):
+        at.setdefault(cell["family"] if families else None, {}).setdefault(cell["arm"], {})[cell["seed"]] = F.col(f"c{i}")
+    arms = sorted({cell["arm"] for cell in cells} - {base})
+    stats = []
+    for i, arm in enumerate(arms):
+        medians = []
+        for held in at.values():
+            if arm not in held or set(held[arm]) != set(held.get(base, {})):
+                raise ValueError(f"{arm}: seed sets differ from {base}")
+            medians.append(_middle([held[arm][s] / held[base][s] for s in held[arm]]))
+        stat = F.greatest(*medians) if len(medians) > 1 else medians[0]
+        stats.append(F.percentile(stat, F.array(F.lit(0.025), F.lit(0.975))).alias(f"q{i}"))
+    limits = means.agg(*stats, F.count(F.lit(1)).alias("replicates"))
+    rows = F.array(
+        *[
+            F.struct(F.lit(arm).alias("arm"), F.col(f"q{i}")[0].alias("lo"), F.col(f"q{i}")[1].alias("hi"))
+            for i, arm in enumerate(arms)
+        ]
+    )
+    return limits.select(F.explode(rows).alias("_r"), "replicates").select("_r.*", "replicates")
 
 
 def seed_bootstrap(

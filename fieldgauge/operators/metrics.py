@@ -21,22 +21,27 @@ def row_mse(y: str, pred: str) -> Column:
 
 
 def _scalars(df: DataFrame, shared, sources: Sequence[str], outputs: Sequence[str], fn) -> DataFrame:
-    """Append one double per output, computed by matrix arithmetic per Arrow batch."""
+    """One double per output next to the other columns, by matrix arithmetic per Arrow batch.
+
+    The vectors go in and do not come back.
+    """
     share = df.sparkSession.sparkContext.broadcast(shared)
-    schema = widened(df.schema, outputs, T.DoubleType())
+    rest = [c for c in df.columns if c not in sources]
+    schema = widened(df.select(*rest).schema, outputs, T.DoubleType())
 
     def run(batches):
         for batch in batches:
             if not batch.num_rows:
                 continue
             mats = [to_matrix(batch.column(batch.schema.get_field_index(s))) for s in sources]
-            yield append(batch, {o: pa.array(v) for o, v in zip(outputs, fn(share.value, *mats))})
+            results = {o: pa.array(v) for o, v in zip(outputs, fn(share.value, *mats))}
+            yield append(batch.select(rest), results)
 
     return df.mapInArrow(run, schema)
 
 
 def row_mse_batch(df: DataFrame, y: str, pred: str, output: str = "mse") -> DataFrame:
-    """The same error by Arrow batches: the faster form for wide fields, and the second opinion."""
+    """The same error by Arrow batches instead of the two vectors: the second opinion."""
     return _scalars(df, None, [y, pred], [output], lambda _, a, b: [((a - b) ** 2).mean(axis=1)])
 
 
@@ -96,7 +101,7 @@ def coefficient_mse(df: DataFrame, coef: str, pred: str, by: Sequence[str] = ("s
 def floor_rows(
     df: DataFrame, y: str, basis: DataFrame, mean: np.ndarray, keep: Sequence[int], output: str = "perp"
 ) -> DataFrame:
-    """Append the row's mean energy outside the kept directions: (‖r‖² − 2c·c + cᵀGc)/D.
+    """Replace the field by its mean energy outside the kept directions: (‖r‖² − 2c·c + cᵀGc)/D.
 
     The kept set is used as given, never a prefix of the same size; no field is rebuilt.
     """
@@ -115,7 +120,7 @@ def floor_rows(
 def arm_rows(
     df: DataFrame, y: str, pred: str, basis: DataFrame, mean: np.ndarray, keep: Sequence[int]
 ) -> DataFrame:
-    """Append the three row errors of a cell in one pass: ``dense``, ``reduced`` (the prediction
+    """Replace both vectors by the three row errors of a cell: ``dense``, ``reduced`` (the prediction
     projected on the kept directions) and ``floor`` (the field itself projected)."""
     b = _rows(basis, keep)
 

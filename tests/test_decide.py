@@ -130,3 +130,17 @@ def test_replay_finds_a_changed_number(spark):
     assert replay.replay_result(again, again).where("not agrees").count() == 0
     bad = replay.replay_result(tampered, again).where("not agrees").collect()
     assert [r["metric"] for r in bad] == ["quality"]
+
+
+def test_two_bootstrap_forms_agree(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(2)
+    rows = [(f, a, s, c, float(rng.random() + 0.5)) for f in "xy" for a in ("dense", "a", "b") for s in range(4) for c in range(11)]
+    df = spark.createDataFrame(rows, "family string, arm string, seed int, cluster int, err double").repartition(3)
+    one = {r["arm"]: (r["lo"], r["hi"]) for r in boot.paired_bootstrap(df, reps=60, families=True).collect()}
+    means = boot.replicate_means(df, 60, by=["family", "arm", "seed"])
+    two = boot.interval(boot.replicate_stats(means, families=True), "stat", ["arm"]).collect()
+    assert one == {r["arm"]: pytest.approx((r["lo"], r["hi"])) for r in two}
+    with pytest.raises(ValueError, match="seed sets"):
+        boot.paired_bootstrap(df.where("not (arm = 'a' and seed = 2)"), reps=5, families=True)
