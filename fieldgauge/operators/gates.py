@@ -7,12 +7,10 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from fieldgauge.functions.arrow import to_matrix
 from fieldgauge.functions.vectors import doubles, not_finite
 from fieldgauge.operators.roles import split_digest
 

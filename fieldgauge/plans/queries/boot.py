@@ -1,7 +1,5 @@
 """Paired bootstrap with customers as clusters, and the seed bootstrap of cost ratios."""
 
-from pyspark.sql import functions as F
-
 from fieldgauge.operators import boot as ops
 from fieldgauge.plans import tables
 from fieldgauge.plans.queries.registry import query, rd

@@ -3,7 +3,6 @@
 from pyspark.sql import functions as F
 
 from fieldgauge.functions.vectors import doubles, flatten_masked
-from fieldgauge.operators import basis as bases
 from fieldgauge.operators import pairing as ops
 from fieldgauge.plans import tables, walk
 from fieldgauge.plans.queries.registry import query, rd

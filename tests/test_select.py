@@ -1,6 +1,5 @@
 import numpy as np
 import pytest
-from pyspark.sql import functions as F
 
 from fieldgauge.operators import select as ops
 from fieldgauge.operators.basis import dct_basis

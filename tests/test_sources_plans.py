@@ -2,7 +2,6 @@ import json
 
 import numpy as np
 import pytest
-from pyspark.sql import functions as F
 
 from __spark_entry__ import entry, oracle_sql, queries
 from fieldgauge.plans import qualify, walk
