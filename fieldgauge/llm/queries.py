@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldgauge.llm import chat, quality
+from fieldgauge.llm import chat, packing, quality, unigram, wordpiece
 from fieldgauge.session import ship_package
 
 TABLE: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -89,3 +89,26 @@ def op2_chat_formatting(spark, sf):
         F.length(trained).cast("bigint").alias("loss_chars"), F.sha2(trained, 256).alias("loss_sha256"),
         F.length("formatted").cast("bigint").alias("formatted_chars"), "valid",
     )
+
+
+def tokenizer_file(name: str) -> str:
+    """Where the public vocabulary files lie."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+@query()
+def op3_token_counts(spark, sf):
+    automaton = wordpiece.word_end_automaton(tokenizer_file("word_bpe_49k.json"))
+    return wordpiece.token_counts(read(spark, sf, "documents"), automaton)
+
+
+@query()
+def op7_packing(spark, sf):
+    return packing.pack(read(spark, sf, "documents"), tokenizer_file("word_bpe_49k.json"))
+
+
+@query()
+def op10_sentencepiece(spark, sf):
+    return unigram.digest(read(spark, sf, "documents"), unigram.from_model_file(tokenizer_file("piece_bpe_32k.model")))
