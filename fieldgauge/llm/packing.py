@@ -66,17 +66,18 @@ class Encoder:
     def _ids(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
 
-    def _many(self, strings: list[bytes]) -> list[np.ndarray]:
+    def _many(self, strings: list[bytes]) -> list[bytes]:
         """Pieces encoded as one text; each ends with a token that closes a word."""
-        out: list[np.ndarray] = []
+        out: list[bytes] = []
         for i in range(0, len(strings), 4096):
             some = strings[i : i + 4096]
             ids = self._ids(b" ".join(some).decode())
             cut_at = np.flatnonzero(self.last[ids]) + 1
             if len(cut_at) == len(some):
-                out += np.split(ids, cut_at[:-1])
+                packed, at = ids.tobytes(), [0, *(4 * cut_at).tolist()]
+                out += [packed[a:b] for a, b in zip(at, at[1:])]
             else:
-                out += [self._ids(s.decode()) for s in some]
+                out += [self._ids(s.decode()).tobytes() for s in some]
         return out
 
     def rows(self, array: pa.Array) -> Iterator[np.ndarray]:

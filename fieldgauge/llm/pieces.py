@@ -90,10 +90,14 @@ def _runs(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.
 
 
 class Memo:
-    """Values of distinct byte strings, kept from slice to slice up to a number of entries."""
+    """Values of distinct byte strings, kept from slice to slice in two generations of bounded size.
 
-    def __init__(self, many: Callable[[list[bytes]], Sequence], limit: int = 400_000):
-        self.many, self.limit, self.held = many, limit, {}
+    When the younger one is full it becomes the older one, and what the older one held is forgotten
+    unless it was asked for meanwhile.
+    """
+
+    def __init__(self, many: Callable[[list[bytes]], Sequence], limit: int = 300_000):
+        self.many, self.limit, self.held, self.older = many, limit, {}, {}
 
     def look(self, data: np.ndarray, begin: np.ndarray, end: np.ndarray) -> tuple[list, np.ndarray]:
         """Values of the distinct pieces, and which of them each piece is."""
@@ -106,19 +110,27 @@ class Memo:
         one = order[fresh]
         raw = data.tobytes()
         strings = [raw[b:e] for b, e in zip(begin[one].tolist(), end[one].tolist())]
-        missing = [s for s in strings if s not in self.held]
-        if len(self.held) + len(missing) > self.limit:
-            self.held, missing = {}, strings
-        self.held.update(zip(missing, self.many(missing)))
-        return [self.held[s] for s in strings], which
-
-
-def spread(values: list[np.ndarray], which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """All values of the pieces in order, and the number of them each piece has."""
-    sizes = np.fromiter(map(len, values), np.int64, len(values))
+        held, older = self.held, self.older
+        missing = []
+        for s in strings:
+            if s not in held:
+                if s in older:
+                    held[s] = older[s]
+                else:
+                    missing.append(s)
+        held.update(zip(missing, self.many(missing)))
+        out = [held[s] for s in strings]
+        if len(held) > self.limit:
+            self.held, self.older = {}, held
+        return out, which
+
+
+def spread(values: list[bytes], which: np.ndarray, width: type = np.uint32) -> tuple[np.ndarray, np.ndarray]:
+    """All values of the pieces in order, given as packed numbers, and how many of them each piece has."""
+    sizes = np.fromiter(map(len, values), np.int64, len(values)) // np.dtype(width).itemsize
     at = np.cumsum(sizes) - sizes
     n = sizes[which]
     total = np.cumsum(n)
-    joined = np.concatenate(values) if values else np.zeros(0, np.uint32)
+    joined = np.frombuffer(b"".join(values), width)
     place = np.repeat(at[which] - (total - n), n) + np.arange(int(total[-1]) if len(total) else 0)
     return joined[place], n

@@ -101,21 +101,34 @@ class Unigram:
 
     def best(self, word: bytes) -> tuple[list[int], float]:
         """Ids of the best split of one word, and its score."""
-        n = len(word)
+        n, trie, score = len(word), self.trie, self.score
+        base, check, value, slots = trie.base, trie.check, trie.value, len(trie.check)
         total, back = [-math.inf] * (n + 1), [(0, -1)] * (n + 1)
         total[0] = 0.0
         for i in range(n):
-            if total[i] == -math.inf:
+            here = total[i]
+            if here == -math.inf:
                 continue
             b = word[i]
             step = i + (1 if b < 0x80 else 2 if b < 0xE0 else 3 if b < 0xF0 else 4)
-            single = False
-            for end, w in self.trie.prefixes(word, i):
-                single |= end == step
-                if total[i] + self.score[w] > total[end]:
-                    total[end], back[end] = total[i] + self.score[w], (i, w)
-            if not single and total[i] + self.unknown > total[step]:
-                total[step], back[step] = total[i] + self.unknown, (i, -1)
+            single, state = False, 0
+            for end in range(i, n):
+                to = base[state] + word[end] + 1
+                if to >= slots or check[to] != state:
+                    break
+                state = to
+                w = value[to]
+                if w >= 0:
+                    end += 1
+                    if end == step:
+                        single = True
+                    if here + score[w] > total[end]:
+                        total[end] = here + score[w]
+                        back[end] = (i, w)
+                if base[to] < 0:
+                    break
+            if not single and here + self.unknown > total[step]:
+                total[step], back[step] = here + self.unknown, (i, -1)
         ids, at = [], n
         while at:
             i, w = back[at]
@@ -207,12 +220,11 @@ class Solver:
     """Encoding and decoding of slices in a task."""
 
     def __init__(self, model: Unigram):
-        self.memo = pieces.Memo(lambda many: [np.array(model.best(w)[0], np.int64) for w in many])
+        self.memo = pieces.Memo(lambda many: [np.array(model.best(w)[0], np.uint32).tobytes() for w in many])
         size = max(model.bytes_of) + 1
         self.is_byte = np.zeros(size, bool)
         self.is_byte[model.byte_ids] = True
-        strings = [model.bytes_of.get(i, b"") for i in range(size)]
-        self.letters = [np.frombuffer(s, np.uint8) for s in strings]
+        self.letters = [model.bytes_of.get(i, b"") for i in range(size)]
 
     def rows(self, array: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all rows and the n + 1 offsets between them."""
@@ -223,7 +235,7 @@ class Solver:
 
     def texts(self, ids: np.ndarray, at: np.ndarray) -> pa.Array:
         """Markers back to spaces, byte pieces to their bytes, the space in front taken off."""
-        data, n = pieces.spread(self.letters, ids)
+        data, n = pieces.spread(self.letters, ids, np.uint8)
         to = np.append(0, np.cumsum(n))[at]
         filled = to[:-1] < to[1:]
         data = np.delete(data, to[:-1][filled])
