@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldgauge.llm import chat, langid, packing, quality, unigram, wordpiece
+from fieldgauge.llm import chat, covertree, langid, packing, quality, unigram, wordpiece
 from fieldgauge.session import ship_package
 
 TABLE: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -119,3 +119,8 @@ def op4_language_id(spark, sf):
     docs = read(spark, sf, "documents")
     model = langid.fit(docs.where(~langid.held_out()))
     return langid.predict(docs, model).withColumn("held_out", langid.held_out())
+
+
+@query()
+def op5_embedding_near_dedup(spark, sf):
+    return covertree.near_duplicates(read(spark, sf, "embeddings"))
