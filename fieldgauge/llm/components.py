@@ -10,7 +10,7 @@ from fieldgauge.session import cut
 
 def _mark(edges: DataFrame) -> tuple:
     # two independent sums of hashes of the edges: the same table gives the same values
-    h = lambda seed: F.sum(F.xxhash64("u", "v", F.lit(seed)).cast("decimal(38,0)"))
+    h = lambda seed: F.sum(F.xxhash64(F.lit(seed), "u", "v").cast("decimal(38,0)"))
     return tuple(edges.agg(F.count(F.lit(1)), h(1), h(2)).first())
 
 

@@ -222,7 +222,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.9, key: str = "vec_
     )
     rows = vectors.select(
         F.col(key).cast("bigint").alias("id"), F.when(good, v).alias("embedding"),
-    ).withColumns({"h1": F.xxhash64("embedding"), "h2": F.xxhash64("embedding", F.lit(1))})
+    ).withColumns({"h1": F.xxhash64("embedding"), "h2": F.xxhash64(F.lit(1), "embedding")})
     valid = rows.where("embedding IS NOT NULL AND id IS NOT NULL")
     distinct = cut(
         valid.groupBy("h1", "h2").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("n"), F.min_by("embedding", "id").alias("embedding"))

@@ -159,7 +159,7 @@ def fit(docs: DataFrame, label: str = "lang", key: str = "doc_id", text: str = "
     for name in labels:
         share = F.when(F.col("l") == name, min(1.0, 0.9 * sample / len(labels) / sizes[name])).otherwise(share)
     draw = F.pmod(F.xxhash64("k"), F.lit(1 << 20)) / float(1 << 20)
-    taken = known.where(draw < share).select("l", "t", F.pmod(F.xxhash64("k", F.lit(1)), F.lit(CALIBRATE_EVERY)).alias("c")).limit(sample)
+    taken = known.where(draw < share).select("l", "t", F.pmod(F.xxhash64(F.lit(1), "k"), F.lit(CALIBRATE_EVERY)).alias("c")).limit(sample)
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldgauge.llm import chat, covertree, langid, packing, quality, unigram, wordpiece
+from fieldgauge.llm import chat, covertree, langid, packing, quality, unigram, wordpiece, wrapper
 from fieldgauge.session import ship_package
 
 TABLE: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -124,3 +124,8 @@ def op4_language_id(spark, sf):
 @query()
 def op5_embedding_near_dedup(spark, sf):
     return covertree.near_duplicates(read(spark, sf, "embeddings"))
+
+
+@query()
+def op6_html_extraction(spark, sf):
+    return wrapper.extract(read(spark, sf, "pages")).drop("wrapper")
