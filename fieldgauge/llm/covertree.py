@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fieldgauge.llm.components import components
+from fieldgauge.llm.components import components, hook
 from fieldgauge.session import cut
 
 BLOCK = 4096
@@ -124,20 +124,12 @@ class Tree:
 class Links:
     """Link counts of the rows of two blocks, and stars of what hangs together."""
 
-    def __init__(self, weight: np.ndarray, key: np.ndarray):
+    def __init__(self, weight: np.ndarray):
         self.weight, self.count, self.root = weight, np.zeros(len(weight), np.int64), np.arange(len(weight))
         self.sum = np.append(0, np.cumsum(weight))
 
     def join(self, i: np.ndarray, j: np.ndarray) -> None:
-        while True:
-            a, b = self.root[i], self.root[j]
-            apart = a != b
-            if not apart.any():
-                return
-            i, j, a, b = i[apart], j[apart], a[apart], b[apart]
-            np.minimum.at(self.root, np.maximum(a, b), np.minimum(a, b))
-            while (self.root[self.root] != self.root).any():
-                self.root = self.root[self.root]
+        self.root = hook(self.root, i, j)
 
 
 def traverse(left: Tree, right: Tree, threshold: float, links: Links, shift: int, same: bool) -> None:
@@ -200,7 +192,7 @@ def block_links(rows: pd.DataFrame, threshold: float) -> pd.DataFrame:
         sides.append((side, Tree(unit(np.stack(side["embedding"].to_numpy())), np.stack(side["near"].to_numpy()))))
     keys = np.concatenate([s["id"].to_numpy()[t.order] for s, t in sides])
     weight = np.concatenate([s["n"].to_numpy()[t.order] for s, t in sides])
-    links = Links(weight, keys)
+    links = Links(weight)
     same = len(sides) == 1
     traverse(sides[0][1], sides[-1][1], threshold, links, 0 if same else len(sides[0][0]), same)
     count = links.count - weight if same else links.count  # every row meets itself

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldgauge.llm import chat, covertree, langid, packing, quality, unigram, wordpiece, wrapper
+from fieldgauge.llm import chat, covertree, jaccard, langid, packing, quality, repeats, unigram, wordpiece, wrapper
 from fieldgauge.session import ship_package
 
 TABLE: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -129,3 +129,15 @@ def op5_embedding_near_dedup(spark, sf):
 @query()
 def op6_html_extraction(spark, sf):
     return wrapper.extract(read(spark, sf, "pages")).drop("wrapper")
+
+
+@query()
+def op9_suffix_array_dedup(spark, sf):
+    left = repeats.remove_repeats(read(spark, sf, "documents"), ["doc_id"])
+    return left.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("rest", 256).alias("kept_sha256"))
+
+
+@query()
+def op8_ngram_jaccard_join(spark, sf):
+    found = jaccard.join(read(spark, sf, "documents"))
+    return found.withColumn("kept", F.coalesce(F.col("class_id") == F.col("doc_id"), F.lit(True)))
