@@ -177,7 +177,7 @@ def _group_links(rows: pd.DataFrame, least: list[int], threshold: float) -> pd.D
     sign = np.frombuffer(b"".join(rows["signature"]), "<u4").reshape(-1, HASHES)
     block, n = rows["block"].to_numpy(), len(rows)
     i, j = np.triu_indices(n, 1)
-    if block[0] != block[-1]:
+    if rows["one"].iat[0] != rows["two"].iat[0]:  # one of the blocks may be empty
         apart = block[i] != block[j]
         i, j = i[apart], j[apart]
     live = survive(sign, sign, i, j, least)
@@ -202,7 +202,7 @@ def _bucket_pairs(rows: pd.DataFrame, least: list[int]) -> tuple[np.ndarray, np.
     group, block, ids, band = (rows[c].to_numpy() for c in ("group", "block", "id", "band"))
     i, j = np.triu_indices(len(rows), 1)
     apart = group[i] != group[j]
-    if block[0] != block[-1]:
+    if rows["one"].iat[0] != rows["two"].iat[0]:
         apart &= block[i] != block[j]
     i, j = i[apart], j[apart]
     # a pair belongs to the first band it shares

@@ -187,9 +187,9 @@ def fit(docs: DataFrame, label: str = "lang", key: str = "doc_id", text: str = "
     return Model(labels, w * (idf * SCALE)[None, :], bias, fit_temperature(z, y[held]))
 
 
-def predict(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``key, lang_pred, score`` of every row: one pass, no shuffle. Only the text is looked at."""
-    kind = docs.schema[key].dataType.simpleString()
+def predict(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
+    """``key``, the ``carry`` columns, ``lang_pred, score`` of every row: one pass, no shuffle. Only the text is looked at."""
+    own = {c: docs.schema[c].dataType.simpleString() for c in (key, *carry)}
     shared = docs.sparkSession.sparkContext.broadcast(model)  # labels × BUCKETS
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -209,11 +209,14 @@ def predict(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "tex
             return m.labels[best], float(p[best])
 
         for batch in batches:
-            found = [one(t.as_py()) for t in batch.column(1)]
+            found = [one(t.as_py()) for t in batch.column(0)]
             names, scores = [a for a, _ in found], [b for _, b in found]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(names, pa.string()), pa.array(scores, pa.float64())], names=[key, "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays(
+                [*batch.columns[1:], pa.array(names, pa.string()), pa.array(scores, pa.float64())], names=[*own, "lang_pred", "score"]
+            )
 
-    return docs.select(key, text).mapInArrow(run, f"`{key}` {kind}, lang_pred string, score double")
+    schema = ", ".join([f"`{c}` {kind}" for c, kind in own.items()] + ["lang_pred string", "score double"])
+    return docs.select(F.col(text).alias("_text"), *own).mapInArrow(run, schema)
 
 
 def held_out(key: str = "doc_id") -> Column:

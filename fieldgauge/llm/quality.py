@@ -110,18 +110,18 @@ def measure(texts: pa.Array) -> list[np.ndarray]:
     ]
 
 
-def ledger(docs: DataFrame, key: str = "doc_id", text: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """``key``, the measurements and ``failed_bits`` of every row: one pass, no shuffle."""
-    kind = docs.schema[key].dataType.simpleString()
+def ledger(docs: DataFrame, key: str = "doc_id", text: str = "text", rules: tuple[Rule, ...] = RULES, carry: tuple[str, ...] = ()) -> DataFrame:
+    """``key``, the ``carry`` columns, the measurements and ``failed_bits`` of every row: one pass, no shuffle."""
+    own = {c: docs.schema[c].dataType.simpleString() for c in (key, *carry)}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in flat.slices(batch, 1):
-                found = [pa.array(m.astype(np.int64)) for m in measure(part.column(1))]
-                yield pa.RecordBatch.from_arrays([part.column(0), *found], names=[key, *MEASURES])
+            for part in flat.slices(batch, 0):
+                found = [pa.array(m.astype(np.int64)) for m in measure(part.column(0))]
+                yield pa.RecordBatch.from_arrays([*part.columns[1:], *found], names=[*own, *MEASURES])
 
-    schema = f"`{key}` {kind}, " + ", ".join(f"{m} bigint" for m in MEASURES)
-    measured = docs.select(key, text).mapInArrow(run, schema)
+    schema = ", ".join([f"`{c}` {kind}" for c, kind in own.items()] + [f"{m} bigint" for m in MEASURES])
+    measured = docs.select(F.col(text).alias("_text"), *own).mapInArrow(run, schema)
     bits = sum((F.when(F.expr(r.fails), F.lit(1 << i)).otherwise(F.lit(0)).cast("bigint") for i, r in enumerate(rules)), F.lit(0).cast("bigint"))
     return measured.withColumn("failed_bits", bits)
 

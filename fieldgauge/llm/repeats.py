@@ -222,8 +222,11 @@ def merged(begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return begin[fresh], reach[np.append(np.flatnonzero(fresh)[1:] - 1, len(begin) - 1)]
 
 
-def remove_repeats(docs: DataFrame, keep: list[str], text: str = "text", length: int = LENGTH) -> DataFrame:
-    """``keep`` columns, ``rest`` (bytes left), ``n_bytes, n_removed, n_spans`` for every row."""
+def remove_repeats(docs: DataFrame, keep: list[str], text: str = "text", length: int = LENGTH, decoded: bool = False) -> DataFrame:
+    """``keep`` columns, ``rest`` (bytes left), ``n_bytes, n_removed, n_spans`` for every row.
+
+    With ``decoded`` the rest is a string; of a letter that lost some of its bytes nothing stays.
+    """
     spans = cut(repeated_spans(docs, text, length), "spans")
     own = [f"_k{i}" for i in range(len(keep))]
     rows = _texts(docs.select(*[F.col(f"`{c}`").alias(o) for c, o in zip(keep, own)], F.col(text).alias("_x")), "_x")
@@ -244,13 +247,14 @@ def remove_repeats(docs: DataFrame, keep: list[str], text: str = "text", length:
                 edges = np.concatenate([[0], np.stack([lo, hi], axis=1).ravel(), [len(raw)]]).tolist()
                 rest.append(b"".join(raw[a:b] for a, b in zip(edges[::2], edges[1::2])))
                 removed.append(int((hi - lo).sum())), count.append(len(lo))
+            left = pa.array([r.decode(errors="ignore") for r in rest], pa.string()) if decoded else pa.array(rest, pa.binary())
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns[:n], pa.array(rest, pa.binary()), batch.column(n + 1), pa.array(removed, pa.int64()), pa.array(count, pa.int64())],
+                [*batch.columns[:n], left, batch.column(n + 1), pa.array(removed, pa.int64()), pa.array(count, pa.int64())],
                 names=[*own, "rest", "n_bytes", "n_removed", "n_spans"],
             )
 
     kinds = ", ".join(f"{o} {docs.schema[c].dataType.simpleString()}" for c, o in zip(keep, own))
-    out = rows.select(*own, "_b", "n_bytes", "spans").mapInArrow(run, f"{kinds}, rest binary, n_bytes bigint, n_removed bigint, n_spans bigint")
+    out = rows.select(*own, "_b", "n_bytes", "spans").mapInArrow(run, f"{kinds}, rest {'string' if decoded else 'binary'}, n_bytes bigint, n_removed bigint, n_spans bigint")
     return out.select(*[F.col(o).alias(c) for c, o in zip(keep, own)], "rest", "n_bytes", "n_removed", "n_spans")
 
 
