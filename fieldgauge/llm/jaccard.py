@@ -6,8 +6,9 @@ probability of about 5e-8. Candidates are compared a few MinHash values at a tim
 as the posterior probability (uniform prior) that their similarity reaches the threshold falls below
 ``TOLERANCE``. What remains is verified exactly on the shingles.
 
-No pair is written for a pair inside a group. Every class picks one mate, the least by hash among all
-in its buckets; mates that pass the pruning tie classes to groups, which are only units of work.
+No pair is written for a pair inside a group. Every bucket names its first class by hash, and every
+class picks as mates the ``MATES`` that most of its buckets name; mates that pass the pruning tie
+classes to groups, which are only units of work.
 Inside a group all pairs are compared, block by block, and give counts of links and roots of spanning
 stars. Pairs from a bucket that lie in different groups are pruned in blocks of the bucket and those
 that remain, few, are verified one by one. Groups and buckets are cut into blocks of ``BLOCK``
@@ -40,6 +41,7 @@ BANDS, ROWS = 32, 4
 HASHES = BANDS * ROWS
 STEP = 16
 TOLERANCE = 1e-6
+MATES = 3
 BLOCK = 256
 SHARD = 4096  # classes of small groups or buckets that share a task's group
 CHUNK = 1 << 14
@@ -250,7 +252,9 @@ def join(docs: DataFrame, threshold: float = THRESHOLD, key: str = "doc_id", tex
     shared = every.groupBy("bucket").agg(F.count(F.lit(1)).alias("size"), F.min(order).alias("first")).where("size > 1")
     members = cut(every.join(shared, "bucket"), "members")
 
-    mates = members.groupBy("id").agg(F.min("first")["id"].alias("mate")).where("id <> mate")
+    told = members.groupBy("id", F.col("first.id").alias("mate"), F.col("first.h").alias("h")).agg(F.count(F.lit(1)).alias("times"))
+    ranked = F.sort_array(F.collect_list(F.struct("times", "h", "mate")), asc=False)  # at most one per band
+    mates = told.where("id <> mate").groupBy("id").agg(F.slice(ranked, 1, MATES).alias("m")).select("id", F.explode("m.mate").alias("mate"))
     signs = classes.select("id", "signature")
     both = mates.join(signs, "id").join(signs.select(F.col("id").alias("mate"), F.col("signature").alias("other")), "mate")
 
