@@ -248,15 +248,16 @@ def join(docs: DataFrame, threshold: float = THRESHOLD, key: str = "doc_id", tex
         lambda b: F.struct(b.alias("band"), F.xxhash64(b, F.substring("signature", b * (4 * ROWS) + 1, F.lit(4 * ROWS))).alias("bucket")),
     )
     every = classes.select("id", F.inline(bands))
-    order = F.struct(F.xxhash64(F.lit(7), "id").alias("h"), F.col("id").alias("id"))
+    order = F.xxhash64(F.lit(7), "id")
     shared = every.groupBy("bucket").agg(F.count(F.lit(1)).alias("size"), F.min(order).alias("first")).where("size > 1")
     members = cut(every.join(shared, "bucket"), "members")
 
-    told = members.groupBy("id", F.col("first.id").alias("mate"), F.col("first.h").alias("h")).agg(F.count(F.lit(1)).alias("times"))
-    ranked = F.sort_array(F.collect_list(F.struct("times", "h", "mate")), asc=False)  # at most one per band
-    mates = told.where("id <> mate").groupBy("id").agg(F.slice(ranked, 1, MATES).alias("m")).select("id", F.explode("m.mate").alias("mate"))
+    told = members.groupBy("id", "first").agg(F.count(F.lit(1)).alias("times")).where(F.col("first") != order)
+    ranked = F.sort_array(F.collect_list(F.struct("times", "first")), asc=False)  # at most one per band
+    mates = told.groupBy("id").agg(F.slice(ranked, 1, MATES).alias("m")).select("id", F.explode("m.first").alias("first"))
     signs = classes.select("id", "signature")
-    both = mates.join(signs, "id").join(signs.select(F.col("id").alias("mate"), F.col("signature").alias("other")), "mate")
+    others = signs.select(order.alias("first"), F.col("id").alias("mate"), F.col("signature").alias("other"))
+    both = mates.join(signs, "id").join(others, "first")
 
     def prune(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
