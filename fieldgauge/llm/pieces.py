@@ -96,7 +96,7 @@ class Memo:
     unless it was asked for meanwhile.
     """
 
-    def __init__(self, many: Callable[[list[bytes]], Sequence], limit: int = 300_000):
+    def __init__(self, many: Callable[[list[bytes]], Sequence], limit: int = 150_000):
         self.many, self.limit, self.held, self.older = many, limit, {}, {}
 
     def look(self, data: np.ndarray, begin: np.ndarray, end: np.ndarray) -> tuple[list, np.ndarray]:

@@ -36,7 +36,7 @@ from fieldgauge.session import cut
 LENGTH = 200
 GRAM = 24
 CROWD = 4096
-SHARD_BYTES = 2 << 20
+SHARD_BYTES = 1 << 20
 ALPHABET = 256
 SEPARATOR = 0xFF  # in no UTF-8 text
 
