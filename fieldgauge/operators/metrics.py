@@ -176,11 +176,14 @@ def persistence(pairs: DataFrame, by: Sequence[str] = ()) -> DataFrame:
 def qualify_dense(dense: DataFrame, baseline: DataFrame, family: str = "family") -> DataFrame:
     """Per family: is every dense seed, and is the seed median, strictly below persistence?
 
-    ``dense`` is ``(family, seed, mse)``, ``baseline`` is ``(family, mse)``.
+    ``dense`` is ``(family, seed, mse)``, ``baseline`` is ``(family, mse)``. A family without a
+    baseline fails.
     """
     base = baseline.select(family, F.col("mse").alias("persistence"))
+    missing = F.raise_error(F.concat(F.lit("no baseline for family "), F.col(family).cast("string"))).cast("double")
     return (
-        dense.join(base, family)
+        dense.join(base, family, "left")
+        .withColumn("persistence", F.coalesce("persistence", missing))
         .groupBy(family)
         .agg(
             F.first("persistence").alias("persistence"),

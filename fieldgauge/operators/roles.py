@@ -111,8 +111,10 @@ def split_ranges(ids: DataFrame, ranges: DataFrame, col: str) -> DataFrame:
     rows = ranges.select("role", "lo", "hi").limit(257).collect()
     if len(rows) > 256:
         raise ValueError("more than 256 id ranges")
-    bounds = {r["role"]: (r["lo"], r["hi"]) for r in rows}
-    return ids.withColumn("role", role_of_rank(bounds, F.col(col))).where("role is not null")
+    role = F.lit(None).cast("string")
+    for r in reversed(rows):  # a role may have several ranges; of overlapping ones the first counts
+        role = F.when((F.col(col) >= r["lo"]) & (F.col(col) < r["hi"]), r["role"]).otherwise(role)
+    return ids.withColumn("role", role).where("role is not null")
 
 
 def split_digest(

@@ -27,6 +27,7 @@ def direction_gain(
 
     Coefficients are reduced to sums inside the task that computes them; they never shuffle.
     ``with_mse`` adds ``mse``, the field error of the group, from the same reading of the rows.
+    ``row`` names columns that tell the rows apart; a basis too large to share cannot do without.
     """
     by = list(by)
     b = kept_rows(basis)
@@ -47,7 +48,7 @@ def direction_gain(
         outputs = ["q", "e", "mse"] if with_mse else ["q", "e"]
         sums = vector_sums(typed, [y, pred], by, outputs, squares)
     else:
-        coded = encode(rows, [y, pred], basis, mean, outputs=["_c", "_p"], row=row or by)
+        coded = encode(rows, [y, pred], basis, mean, outputs=["_c", "_p"], row=row)
         sums = vector_sums(coded, ["_c", "_p"], by, ["q", "e"], lambda c, p: (c * c, (c - p) ** 2))
     q, e = F.col("q") / F.col("n"), F.col("e") / F.col("n")
     out = [*by, "j", "n", q.alias("q"), e.alias("e"), (q - e).alias("gain")]
@@ -61,8 +62,13 @@ def direction_gain(
 
 
 def gain_order(gains: DataFrame, by: Sequence[str] = ("seed",)) -> DataFrame:
-    """Add ``gpos`` (gain clipped at 0) and ``rank``: descending, the lower index first on a tie."""
-    clipped = gains.withColumn("gpos", F.greatest(F.col("gain"), F.lit(0.0)))
+    """Add ``gpos`` (gain clipped at 0) and ``rank``: descending, the lower index first on a tie.
+
+    A gain that is null, NaN or infinite fails: it has no place in the order.
+    """
+    finite = F.abs("gain") < float("inf")  # false for NaN, null for null
+    gain = F.when(finite, F.col("gain")).otherwise(F.raise_error(F.lit("a gain is not finite")).cast("double"))
+    clipped = gains.withColumn("gpos", F.greatest(gain, F.lit(0.0)))
     order = Window.partitionBy(*(by or [F.lit(0)])).orderBy(F.col("gpos").desc(), F.col("j"))
     return clipped.withColumn("rank", (F.row_number().over(order) - 1).cast("int"))
 

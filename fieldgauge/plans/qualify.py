@@ -15,10 +15,11 @@ from fieldgauge.session import cut
 def choose(
     predictions: DataFrame, basis: DataFrame, mean: np.ndarray, width: int, ladder: Sequence[int],
     role: str = "selection", policy: str = "full_dim", tau: float = select.TAU,
+    row: Sequence[str] = ("seed", "vec_id"),
 ) -> tuple[DataFrame, DataFrame]:
     """``(selection, order)`` from one reading of the selection rows; both then follow from the gains."""
     rows = predictions.where(F.col("role") == role)
-    gains = cut(select.direction_gain(rows, "y", "p", basis, mean, with_mse=True), "gains")
+    gains = cut(select.direction_gain(rows, "y", "p", basis, mean, row=list(row), with_mse=True), "gains")
     order = select.gain_order(gains)
     limits = select.thresholds_of(gains, width, tau)
     return select.select_rung(select.gain_tail(order), ladder, limits, policy), order

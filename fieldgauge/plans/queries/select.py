@@ -14,13 +14,13 @@ def _rows(spark, sf):
 
 def _order(spark, sf):
     w, rows = _rows(spark, sf)
-    return w, rows, ops.gain_order(ops.direction_gain(rows, "y", "p", w.basis, w.mean))
+    return w, rows, ops.gain_order(ops.direction_gain(rows, "y", "p", w.basis, w.mean, row=["seed", "vec_id"]))
 
 
 @query(f"SELECT seed, j, n, {rd('q', 'q')}, {rd('e', 'e')}, {rd('gain', 'gain')} FROM gains")
 def direction_gain(spark, sf):
     w, rows = _rows(spark, sf)
-    return ops.direction_gain(rows, "y", "p", w.basis, w.mean)
+    return ops.direction_gain(rows, "y", "p", w.basis, w.mean, row=["seed", "vec_id"])
 
 
 @query(f"SELECT seed, j, {rd('gpos', 'gpos')}, rank FROM ord")
@@ -111,7 +111,7 @@ def selection_stability(spark, sf):
 @query("SELECT seed, count(DISTINCT j) AS width, 63 AS rank FROM gains GROUP BY seed")
 def gain_width(spark, sf):
     w, rows = _rows(spark, sf)
-    return ops.gain_width(ops.direction_gain(rows, "y", "p", w.basis, w.mean), w.width - 1)
+    return ops.gain_width(ops.direction_gain(rows, "y", "p", w.basis, w.mean, row=["seed", "vec_id"]), w.width - 1)
 
 
 _CALIBRATION = """SELECT label AS target, list(j ORDER BY s DESC, j) AS gain_order FROM (
