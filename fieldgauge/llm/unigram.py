@@ -29,6 +29,8 @@ from fieldgauge.llm import flat, pieces
 
 MARKER = "▁"
 UNKNOWN_COST = 10.0
+LONG_WORD = 256  # bytes; the longest word sets the number of steps that words take side by side
+SIDE_BYTES = 1 << 17
 
 
 class DoubleArray:
@@ -97,6 +99,11 @@ class Unigram:
         self.byte_ids = list(byte_ids)
         self.trie = DoubleArray(self.words)
         self.unknown = min(self.score, default=0.0) - UNKNOWN_COST
+        t = self.trie
+        self.arrays = (
+            np.array(t.base, np.int64), np.append(t.check, np.full(257, -1)), np.array(t.value, np.int64),
+            np.array([*self.score, self.unknown]), np.array(self.id, np.int64), np.array(self.byte_ids, np.int64),
+        )
         self.bytes_of = {i: w for i, w in zip(self.id, self.words)} | {b: bytes([v]) for v, b in enumerate(byte_ids)}
 
     def best(self, word: bytes) -> tuple[list[int], float]:
@@ -136,6 +143,79 @@ class Unigram:
             at = i
         return ids[::-1], total[n]
 
+    def best_many(self, words: Sequence[bytes]) -> list[bytes]:
+        """Ids as ``best`` finds them, as packed 32-bit numbers: words side by side, longer ones one by one."""
+        sizes = np.fromiter(map(len, words), np.int64, len(words))
+        out = [b""] * len(words)
+        for i in np.flatnonzero(sizes > LONG_WORD).tolist():
+            out[i] = np.array(self.best(words[i])[0], np.uint32).tobytes()
+        short = np.flatnonzero(sizes <= LONG_WORD)
+        stop = np.cumsum(sizes[short])
+        for some in np.split(short, np.searchsorted(stop, np.arange(SIDE_BYTES, int(stop[-1]) if len(stop) else 0, SIDE_BYTES))):
+            for i, ids in zip(some.tolist(), self._side_by_side([words[i] for i in some.tolist()])):
+                out[i] = ids
+        return out
+
+    def _side_by_side(self, words: list[bytes]) -> list[bytes]:
+        data = np.frombuffer(b"".join(words), np.uint8).astype(np.int64)
+        size = np.fromiter(map(len, words), np.int64, len(words))
+        stop = np.cumsum(size)
+        word = np.repeat(np.arange(len(words)), size)
+        # edges of the lattice: the pieces that begin at each character, found by one walk down the trie for all
+        base, check, value, score, ids, byte_ids = self.arrays
+        letters = np.flatnonzero((data & 0xC0) != 0x80)
+        width = np.diff(np.append(letters, len(data)))
+        step, alone = np.zeros(len(data), np.int64), np.zeros(len(data), bool)
+        step[letters], alone[letters] = letters + width, True
+        found, begin, at, state = [], letters, letters, np.zeros(len(letters), np.int64)
+        while len(begin):
+            to = base[state] + data[at] + 1
+            on = check[to] == state
+            begin, at, state = begin[on], at[on] + 1, to[on]
+            hit = value[state] >= 0
+            found.append((begin[hit], at[hit], value[state[hit]]))
+            on = at < stop[word[begin]]
+            begin, at, state = begin[on], at[on], state[on]
+        for b, e, _ in found:
+            alone[b[e == step[b]]] = False
+        lone = np.flatnonzero(alone)
+        found.append((lone, step[lone], np.full(len(lone), -1)))
+        begin, end, piece = (np.concatenate(x) for x in zip(*found))
+        gain = score[piece]  # the last one is that of an unknown character
+        # relax by place in the word; edges that begin at one place end at different ones
+        place = begin - (stop - size)[word[begin]]
+        order = np.argsort(place, kind="stable")
+        begin, end, piece, gain = begin[order], end[order], piece[order], gain[order]
+        source, target = begin + word[begin], end + word[begin]
+        first, last = stop - size + np.arange(len(words)), stop + np.arange(len(words))
+        total, back = np.full(len(data) + len(words), -np.inf), np.full(len(data) + len(words), -1)
+        total[first] = 0.0
+        bounds = np.append(0, np.cumsum(np.bincount(place))).tolist()
+        for a, b in zip(bounds, bounds[1:]):
+            sums, to = total[source[a:b]] + gain[a:b], target[a:b]
+            better = np.flatnonzero(sums > total[to])
+            total[to[better]], back[to[better]] = sums[better], a + better
+        chosen, node = [], last[size > 0]
+        while len(node):
+            edge = back[node]
+            chosen.append(edge)
+            node = source[edge]
+            node = node[node != first[word[begin[edge]]]]
+        edge = np.concatenate(chosen) if chosen else np.zeros(0, np.int64)
+        # an id stands where its piece begins, byte pieces stand on their bytes
+        placed = np.full(len(data), -1, np.int64)
+        known = edge[piece[edge] >= 0]
+        placed[begin[known]] = ids[piece[known]]
+        other = edge[piece[edge] < 0]
+        for k in range(4):
+            spot = begin[other] + k
+            spot = spot[spot < end[other]]
+            placed[spot] = byte_ids[data[spot]]
+        kept = placed >= 0
+        packed = placed[kept].astype(np.uint32).tobytes()
+        to = 4 * np.append(0, np.cumsum(np.bincount(word[kept], minlength=len(words))))
+        return [packed[a:b] for a, b in zip(to.tolist(), to[1:].tolist())]
+
     def encode(self, text: str) -> list[int]:
         data, at = flat.texts(pa.array([text]))
         raw, begin, end, _ = words(data, at)
@@ -220,7 +300,7 @@ class Solver:
     """Encoding and decoding of slices in a task."""
 
     def __init__(self, model: Unigram):
-        self.memo = pieces.Memo(lambda many: [np.array(model.best(w)[0], np.uint32).tobytes() for w in many])
+        self.memo = pieces.Memo(model.best_many)
         size = max(model.bytes_of) + 1
         self.is_byte = np.zeros(size, bool)
         self.is_byte[model.byte_ids] = True

@@ -293,6 +293,10 @@ def test_unigram():
     for _ in range(200):
         word = (" " + "".join(r.choice("abéxz日") for _ in range(r.randint(0, 8)))).encode()
         assert math.isclose(model.best(word)[1], best(word), abs_tol=1e-9)
+    many = [(" " + "".join(r.choice("abéxz日🙂 ▁") for _ in range(r.randint(0, 12)))).encode() for _ in range(300)]
+    many += [b"", b" " + b"ab" * unigram.LONG_WORD, "日".encode() * (unigram.LONG_WORD // 3)]
+    assert [np.frombuffer(x, np.uint32).tolist() for x in model.best_many(many)] == [model.best(w)[0] for w in many]
+    assert model.best_many([]) == []
     for text in ("", " ", "a  b ", "ab é▁x日\x00\n"):
         assert model.decode(model.encode(text)) == text
 
