@@ -347,47 +347,44 @@ def canonical_sign(basis: DataFrame) -> DataFrame:
 def cluster_ids(basis: DataFrame, tolerance: float = 1e-10) -> DataFrame:
     """Add ``cluster``: neighbours whose eigenvalue gap over the largest is within ``tolerance``.
 
-    The window runs over directions, never over data rows.
+    The window runs over the numbers of the directions only; the directions join it.
     """
     order = Window.partitionBy(F.lit(0)).orderBy("j")
-    top = F.first("eigval").over(order)
-    gap = F.try_divide(F.abs(F.lag("eigval").over(order) - F.col("eigval")), top)
-    marked = basis.withColumn("_new", F.when(gap > tolerance, 1).otherwise(0))
-    return marked.withColumn("cluster", F.sum("_new").over(order)).drop("_new")
+    gap = F.try_divide(F.abs(F.lag("eigval").over(order) - F.col("eigval")), F.first("eigval").over(order))
+    marked = basis.select("j", F.when(gap > tolerance, 1).otherwise(0).alias("_new"))
+    numbered = marked.select("j", F.sum("_new").over(order).alias("cluster"))
+    return basis.join(numbered, "j").select(*basis.columns, "cluster")
 
 
-def canonical_clusters(
-    basis: DataFrame, tolerance: float = 1e-10, tie: float = 1e-10
-) -> DataFrame:
-    """Rotation-free directions: inside a degenerate cluster the pivoted Gram–Schmidt form.
+def projector_rows(b: np.ndarray, tie: float) -> np.ndarray:
+    """The pivoted Cholesky factor of the projector bᵀb, row by row; the projector is never formed.
 
-    The pivot of each step is the field position where the part of the cluster's space not yet
-    used is largest; the unit coefficient vectors found that way give rows that do not depend on
-    how the eigensolver rotated the cluster.
+    The factor follows from the space alone. Diagonal entries within ``tie`` of the largest count as
+    equal, and the first one is the pivot.
     """
+    left = np.einsum("ij,ij->j", b, b)
+    rows = np.zeros_like(b)
+    for k in range(len(b)):
+        pivot = np.flatnonzero(left >= left.max() - tie)[0]
+        if left[pivot] <= tie:
+            raise ValueError("the directions of a cluster depend on each other")
+        row = b[:, pivot] @ b - rows[:k, pivot] @ rows[:k]
+        rows[k] = row / np.sqrt(row[pivot])
+        left = left - rows[k] ** 2
+    return rows
+
+
+def canonical_clusters(basis: DataFrame, tolerance: float = 1e-10, tie: float = 1e-10) -> DataFrame:
+    """Directions that do not depend on how the eigensolver turned a degenerate cluster."""
     tagged = cluster_ids(basis, tolerance)
 
     def fix(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("j").reset_index(drop=True)
-        b = np.vstack(pdf["vec"].to_numpy())
-        size = len(b)
-        if size > 1:
-            used = np.zeros((0, size))
-            for _ in range(size):
-                free = b - used.T @ (used @ b)
-                weight = (free * free).sum(axis=0)
-                peak = weight.max()
-                if not peak > 0:
-                    raise ValueError("a degenerate cluster lost rank")
-                at = int(np.argmax(weight >= peak - tie * max(peak, 1.0)))
-                q = free[:, at] / np.linalg.norm(free[:, at])
-                q -= used.T @ (used @ q)
-                used = np.vstack([used, q / np.linalg.norm(q)])
-            pdf["vec"] = list(used @ b)
-        return pdf
-
-    schema = tagged.schema
-    return canonical_sign_singletons(tagged.groupBy("cluster").applyInPandas(fix, schema))
+        if len(pdf) == 1:
+            return pdf
+        pdf = pdf.sort_values("j")
+        return pdf.assign(vec=list(projector_rows(np.vstack(pdf["vec"].to_numpy()), tie)))
+
+    return canonical_sign_singletons(tagged.groupBy("cluster").applyInPandas(fix, tagged.schema))
 
 
 def canonical_sign_singletons(tagged: DataFrame) -> DataFrame:

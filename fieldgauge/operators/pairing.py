@@ -113,6 +113,15 @@ def sliding_pairs(
     )
 
 
+def training_windows(
+    steps: int, train_fraction: float, look_back: int, horizon: int, stride: int = 1, n_windows: int | None = None
+) -> list[tuple[int, int]]:
+    """First row and stop row of each window before the split; none if the split leaves a side empty."""
+    starts = list(window_starts(steps, look_back, horizon, stride, n_windows))
+    before = starts[: round(train_fraction * len(starts))]
+    return [(s, s + look_back + horizon) for s in before] if len(before) < len(starts) else []
+
+
 def scaler_range(
     mode: str,
     steps: int,
@@ -122,20 +131,18 @@ def scaler_range(
     stride: int = 1,
     n_windows: int | None = None,
 ) -> tuple[int, int]:
-    """The half-open step range a scaler may be fitted on."""
-    if mode == "legacy_raw_fraction":
-        fit = (0, int(train_fraction * steps))
-    elif mode == "train_window_union":
-        starts = window_starts(steps, look_back, horizon, stride, n_windows)
-        used = int(round(train_fraction * len(starts)))
-        if not 0 < used < len(starts):
-            raise ValueError(f"{used} training windows of {len(starts)}")
-        fit = (starts[0], starts[used - 1] + look_back + horizon)
-    else:
-        raise ValueError(f"unknown scaling mode {mode!r}")
-    if not 0 <= fit[0] < fit[1] <= steps:
-        raise ValueError(f"scaler range {fit} outside {steps} steps")
-    return fit
+    """The half-open step range a scaler may be fitted on: from the first to the last row its windows use."""
+    tables = {
+        "legacy_raw_fraction": lambda: [(0, int(train_fraction * steps))],
+        "train_window_union": lambda: training_windows(steps, train_fraction, look_back, horizon, stride, n_windows),
+    }
+    if mode not in tables:
+        raise ValueError(f"no scaler mode {mode!r}")
+    rows = tables[mode]()
+    first, stop = min((a for a, _ in rows), default=0), max((b for _, b in rows), default=0)
+    if first >= stop or first < 0 or stop > steps:
+        raise ValueError(f"rows {first} to {stop} of {steps} cannot fit a scaler")
+    return first, stop
 
 
 def fit_scaler(series: DataFrame, fit: tuple[int, int]) -> DataFrame:
