@@ -38,11 +38,11 @@ def hash_bucket(key: Column, digits: int = HEX_DIGITS) -> Column:
 def ordered_bucket(
     df: DataFrame, col: str, splits: int | None = None, n: int | None = None
 ) -> Column | None:
-    """Buckets that follow the order of a numeric column, from approximate quantiles.
+    """Buckets that follow the order of a column, from approximate quantiles of its image as a number.
 
-    Only the balance depends on the quantiles; any splits give the same positions. There are at
-    least four buckets per core of the cluster. None means that the table was counted and one
-    bucket is enough.
+    Only the balance depends on the quantiles; any splits give the same positions. Nulls come first.
+    There are at least four buckets per core of the cluster. None means that the table was counted
+    and one bucket is enough.
     """
     if splits is None:
         if n is not None and n <= ONE_BUCKET:
@@ -52,8 +52,9 @@ def ordered_bucket(
     else:
         smallest = 0
     at = [i / (splits + 1) for i in range(1, splits + 1)]
+    image = _as_number(df, col)
     row = df.agg(
-        F.count(F.lit(1)).alias("n"), F.percentile_approx(col, at, 10_000).alias("q")
+        F.count(F.lit(1)).alias("n"), F.percentile_approx(image, at, 10_000).alias("q")
     ).first()
     if row["n"] <= smallest:
         return None
@@ -63,7 +64,18 @@ def ordered_bucket(
     def place(values: pd.Series) -> pd.Series:
         return pd.Series(np.searchsorted(edges, values.to_numpy(dtype=np.float64), side="right"))
 
-    return place(F.col(col).cast("double"))
+    return F.when(F.col(col).isNull(), F.lit(-1)).otherwise(place(image))
+
+
+def _as_number(df: DataFrame, col: str) -> Column:
+    """A double that never falls as the column rises; of a text its first six bytes."""
+    kind = df.schema[col].dataType
+    if isinstance(kind, (T.StringType, T.BinaryType)):
+        head = F.substring(F.col(col).cast("binary"), 1, 6)
+        return F.conv(F.rpad(F.hex(head), 12, "0"), 16, 10).cast("double")
+    if isinstance(kind, T.DateType):
+        return F.unix_date(col).cast("double")
+    return F.col(col).cast("double")
 
 
 def with_position(
@@ -110,7 +122,7 @@ def ordered_position(
     df: DataFrame, by: Sequence[str], col: str, name: str = "rank", splits: int | None = None,
     n: int | None = None,
 ) -> DataFrame:
-    """Position by a numeric column inside each group; ``n`` is the row count where it is known."""
+    """Position by a column inside each group, nulls first; ``n`` is the row count where it is known."""
     bucket = ordered_bucket(df, col, splits, n)
     if bucket is None:
         inside = Window.partitionBy(*(by or [F.lit(0)])).orderBy(col)
