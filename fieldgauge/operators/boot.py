@@ -27,7 +27,7 @@ def draws(
 ) -> DataFrame:
     """``(rep, i, idx)``: n cluster positions per replicate, made where they are used.
 
-    ``hash``: first 32 bits of md5("seed:rep:i") modulo n. ``pcg64``: the ``(reps, n)`` integers of
+    ``hash``: first 60 bits of md5("seed:rep:i") modulo n. ``pcg64``: the ``(reps, n)`` integers of
     NumPy's generator, for parity at small reps·n.
     """
     if draw == "hash":
@@ -35,7 +35,7 @@ def draws(
         base = spark.range(0, reps * n, 1, tasks).selectExpr(f"id div {n} AS rep", f"id % {n} AS i")
         text = F.concat_ws(":", F.lit(str(seed)), F.col("rep").cast("string"), F.col("i").cast("string"))
         # never null, and saying so keeps the join from hashing every draw twice to test it
-        number = F.coalesce(F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("long"), F.lit(0))
+        number = F.coalesce(F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("long"), F.lit(0))
         return base.select("rep", "i", (number % n).alias("idx"))
     if draw != "pcg64":
         raise ValueError(f"unknown draw {draw!r}")
