@@ -32,18 +32,25 @@ def pair_next(
 def pair_strided(
     snapshots: DataFrame,
     stride: int = 5,
-    horizon: int = 101,
+    horizon: int | None = 101,
     starts: Sequence[int] | None = None,
     field: str = "field",
     by: Sequence[str] = TRAJECTORY,
 ) -> DataFrame:
     """(x, y) = frames (t, t+1) for the given starts, or t = 0, stride, … below ``horizon - 1``.
 
-    The join key holds the frame index, so a long trajectory spreads over tasks.
+    Without a horizon every trajectory is paired to its end. The join key holds the frame index, so a
+    long trajectory spreads over tasks.
     """
-    chosen = list(starts) if starts is not None else list(range(0, horizon - 1, stride))
-    x = snapshots.where(F.col("t").isin(chosen)).withColumnRenamed(field, "x")
-    y = snapshots.where(F.col("t").isin([t + 1 for t in chosen])).select(
+
+    def chosen(t):
+        if starts is not None:
+            return t.isin(list(starts))
+        grid = (t >= 0) & (t % stride == 0)
+        return grid if horizon is None else grid & (t < horizon - 1)
+
+    x = snapshots.where(chosen(F.col("t"))).withColumnRenamed(field, "x")
+    y = snapshots.where(chosen(F.col("t") - 1)).select(
         *by, (F.col("t") - 1).alias("t"), F.col(field).alias("y")
     )
     return x.join(y, [*by, "t"])

@@ -30,24 +30,36 @@ def role_of_rank(ranges: Mapping[str, tuple[int, int]], rank):
 def split_by_trajectory(
     keys: DataFrame,
     seed: int,
-    ranges: Mapping[str, tuple[int, int]],
+    ranges: Mapping[str, tuple[int, int]] | None = None,
     method: str = "hash",
     by: Sequence[str] = ("family",),
     key: str = "traj",
+    weights: Mapping[str, int] | None = None,
 ) -> DataFrame:
     """``(family, traj, role, rank)``: a seeded shuffle per family cut into contiguous ranges.
 
-    ``hash`` orders by md5(seed, family, key) and works at any size. ``pcg64`` reproduces
-    ``numpy.random.Generator(PCG64(seed + j)).permutation`` for the j-th family in order.
+    ``ranges`` are rank ranges, and keys outside them get no role; ``weights`` are whole numbers that
+    cut every family in proportion, so each key has a role. ``hash`` orders by md5(seed, family, key)
+    and works at any size. ``pcg64`` reproduces ``numpy.random.Generator(PCG64(seed + j)).permutation``
+    for the j-th family in order.
     """
     by = list(by)
+    if (ranges is None) == (weights is None):
+        raise ValueError("give either ranges or weights")
     if method == "hash":
         ranked = ranking.hash_position(keys.select(*by, key), by, seed, [*by, key])
     elif method == "pcg64":
         ranked = _pcg64_positions(keys.select(*by, key), seed, by, key)
     else:
         raise ValueError(f"unknown method {method!r}")
-    return ranked.withColumn("role", role_of_rank(ranges, F.col("rank"))).where("role is not null")
+    if ranges is not None:
+        return ranked.withColumn("role", role_of_rank(ranges, F.col("rank"))).where("role is not null")
+    sizes = keys.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"))
+    role, edge, total = F.lit(None).cast("string"), sum(weights.values()), sum(weights.values())
+    for name, weight in reversed(weights.items()):
+        role = F.when(F.col("rank") * total < F.col("_n") * edge, F.lit(name)).otherwise(role)
+        edge -= weight
+    return ranked.join(sizes, by).withColumn("role", role).drop("_n")
 
 
 def _pcg64_positions(keys: DataFrame, seed: int, by: list[str], key: str) -> DataFrame:

@@ -112,13 +112,13 @@ _MOVES = """SELECT a.family, a.traj, a.t, avg((a.v - b.v) * (a.v - b.v)) AS e FR
 
 @query(f"SELECT family, {rd('avg(e) / 1000', 'mse')}, count(*) AS n_rows FROM ({_MOVES}) GROUP BY family")
 def persistence(spark, sf):
-    pairs = pairing.pair_strided(tables.frames(spark, sf), stride=1, horizon=31)
+    pairs = pairing.pair_strided(tables.frames(spark, sf), stride=1, horizon=None)
     return ops.persistence(pairs, ["family"]).withColumn("mse", F.col("mse") / 1000)
 
 
 @query(f"SELECT traj, {rd('avg(e) / 1000', 'mse')}, count(*) AS n_rows FROM ({_MOVES}) GROUP BY traj")
 def persistence_per_trajectory(spark, sf):
-    pairs = pairing.pair_strided(tables.frames(spark, sf), stride=1, horizon=31)
+    pairs = pairing.pair_strided(tables.frames(spark, sf), stride=1, horizon=None)
     return ops.persistence(pairs, ["traj"]).withColumn("mse", F.col("mse") / 1000)
 
 
@@ -131,7 +131,7 @@ _SHRUNK = """SELECT a.family, s.seed, avg(((0.2::DOUBLE + 0.3::DOUBLE * s.seed)
     bool_and(d.mse < p.mse) AS every_seed_better, median(d.mse) < max(p.mse) AS median_better FROM ({_SHRUNK}) d
     JOIN (SELECT family, avg(e) AS mse FROM ({_MOVES}) GROUP BY family) p USING (family) GROUP BY d.family""")
 def dense_qualification(spark, sf):
-    pairs = pairing.pair_strided(tables.frames(spark, sf), stride=1, horizon=31)
+    pairs = pairing.pair_strided(tables.frames(spark, sf), stride=1, horizon=None)
     spread = pairs.withColumn("seed", F.explode(F.array(F.lit(0), F.lit(1), F.lit(2))))
     guess = F.transform("x", lambda v: (F.lit(0.2) + F.lit(0.3) * F.col("seed")) * v)
     dense = ops.overall_mse(spread.withColumn("p", guess), "y", "p", ["family", "seed"])

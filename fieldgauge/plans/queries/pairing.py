@@ -19,16 +19,16 @@ def pair_next(spark, sf):
 
 
 _STRIDED = """SELECT a.family, a.traj, a.t, a.j, {x}, {y} FROM cell a
-    JOIN cell b ON b.family = a.family AND b.traj = a.traj AND b.t = a.t + 1 AND b.j = a.j WHERE a.t IN ({ts})"""
+    JOIN cell b ON b.family = a.family AND b.traj = a.traj AND b.t = a.t + 1 AND b.j = a.j WHERE {ts}"""
 
 
-@query(_STRIDED.format(x=rd("a.v", "x"), y=rd("b.v", "y"), ts="0, 5, 10, 15, 20, 25"))
+@query(_STRIDED.format(x=rd("a.v", "x"), y=rd("b.v", "y"), ts="a.t >= 0 AND a.t % 5 = 0"))
 def pair_strided(spark, sf):
-    pairs = ops.pair_strided(tables.frames(spark, sf), stride=5, horizon=30)
+    pairs = ops.pair_strided(tables.frames(spark, sf), stride=5, horizon=None)
     return tables.long_pairs(pairs, "family", "traj", "t")
 
 
-@query(_STRIDED.format(x=rd("a.v", "x"), y=rd("b.v", "y"), ts="0, 4, 8"))
+@query(_STRIDED.format(x=rd("a.v", "x"), y=rd("b.v", "y"), ts="a.t IN (0, 4, 8)"))
 def pair_starts(spark, sf):
     pairs = ops.pair_strided(tables.frames(spark, sf), starts=[0, 4, 8])
     return tables.long_pairs(pairs, "family", "traj", "t")
@@ -112,6 +112,13 @@ def assign_cluster(spark, sf):
     return ops.assign_cluster(frames, "traj").select("family", "traj", "t", "cluster")
 
 
+@query("SELECT name, family, dense_rank() OVER (ORDER BY family, name) - 1 AS cluster FROM file WHERE family IS NOT NULL")
+def assign_cluster_text(spark, sf):
+    """Names as text keys: ids follow the order of the text, not of the numbers in it."""
+    rows = tables.files(spark, sf).select("name", "family").where("family is not null")
+    return ops.assign_cluster(rows, "name").select("name", "family", "cluster")
+
+
 @query(f"SELECT w.vec_id, w.i AS j, {rd('w.y - m.m', 'y')} FROM walk w JOIN mu m USING (i)")
 def center_fields(spark, sf):
     w = walk.study(spark, sf)

@@ -58,7 +58,6 @@ def rd(expr: str, name: str, digits: int = 6) -> str:
 
 # ------------------------------------------------------------------------------ fragments
 
-KINDS = ("click", "error", "purchase", "signup", "view")
 LADDER = (2, 4, 8, 16, 32, 48, 64)
 
 FRAGMENTS: dict[str, str] = {
@@ -115,15 +114,17 @@ FRAGMENTS: dict[str, str] = {
     # frames of events: one vector of five sums per (user, day)
     "ev": """SELECT event_id, user_id AS traj, 'f' || (user_id % 4) AS family,
         date_diff('day', DATE '2024-01-01', CAST(ts AS DATE)) AS t, event_type, value FROM events""",
-    "kinds": "SELECT unnest(range(5)) AS j, unnest(['click', 'error', 'purchase', 'signup', 'view']) AS event_type",
+    "kinds": """SELECT row_number() OVER (ORDER BY event_type) - 1 AS j, event_type
+        FROM (SELECT DISTINCT event_type FROM events WHERE event_type IS NOT NULL)""",
     "fr": "SELECT DISTINCT family, traj, t FROM ev",
     "cell": """SELECT f.family, f.traj, f.t, k.j, coalesce(sum(e.value), 0.0) AS v FROM fr f CROSS JOIN kinds k
         LEFT JOIN ev e ON e.traj = f.traj AND e.t = f.t AND e.event_type = k.event_type GROUP BY ALL""",
     "keys": "SELECT DISTINCT family, traj FROM ev",
     "shuffled": """SELECT family, traj, row_number() OVER (PARTITION BY family
         ORDER BY md5('7:' || family || ':' || traj), family, traj) - 1 AS rank FROM keys""",
-    "roles": """SELECT family, traj, rank, CASE WHEN rank < 20 THEN 'train' WHEN rank < 27 THEN 'validation'
-        WHEN rank < 30 THEN 'unused' ELSE 'test' END AS role FROM shuffled WHERE rank < 36""",
+    "roles": """SELECT family, traj, rank, CASE WHEN rank * 20 < n * 11 THEN 'train' WHEN rank * 20 < n * 15 THEN 'validation'
+        WHEN rank * 20 < n * 17 THEN 'unused' ELSE 'test' END AS role
+        FROM (SELECT *, count(*) OVER (PARTITION BY family) AS n FROM shuffled)""",
     # daily series per event type
     "days": "SELECT unnest(range((SELECT min(t) FROM ev), (SELECT max(t) + 1 FROM ev))) AS t",
     "series": """SELECT k.event_type AS series_id, row_number() OVER (PARTITION BY k.event_type ORDER BY d.t) - 1 AS step,
@@ -154,7 +155,7 @@ FRAGMENTS: dict[str, str] = {
     "errgrid": """SELECT family, arm, seed, cluster, avg(v) AS err FROM (SELECT family, seed, cluster, unnest(['dense', 'reduced']) AS arm,
         unnest([dense, reduced]) AS v FROM runs) GROUP BY ALL""",
     "place": "SELECT cluster, row_number() OVER (ORDER BY cluster) - 1 AS idx, count(*) OVER () AS n FROM (SELECT DISTINCT o_custkey AS cluster FROM orders)",
-    "drawn": """SELECT r.rep, i.i, ('0x' || substr(md5('20260811:' || r.rep || ':' || i.i), 1, 8))::BIGINT % i.n AS idx
+    "drawn": """SELECT r.rep, i.i, ('0x' || substr(md5('20260811:' || r.rep || ':' || i.i), 1, 15))::BIGINT % i.n AS idx
         FROM (SELECT unnest(range(400)) AS rep) r CROSS JOIN (SELECT idx AS i, n FROM place) i""",
     "repmse": """SELECT d.rep, g.family, g.arm, g.seed, avg(g.err) AS mse FROM drawn d JOIN place p ON p.idx = d.idx
         JOIN errgrid g ON g.cluster = p.cluster GROUP BY ALL""",

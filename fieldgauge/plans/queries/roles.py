@@ -16,7 +16,7 @@ def split_by_trajectory(spark, sf):
 @query()
 def split_by_trajectory_pcg64(spark, sf):
     keys = tables.trajectory_keys(spark, sf)
-    return ops.split_by_trajectory(keys, 776131, tables.RANGES, method="pcg64").select(
+    return ops.split_by_trajectory(keys, 776131, method="pcg64", weights=tables.WEIGHTS).select(
         "family", "traj", "role", "rank"
     )
 
@@ -66,13 +66,17 @@ def role_overlap(spark, sf):
 
 
 @query("""SELECT coalesce(e.role, f.role) AS role, coalesce(e.n, 0) AS n_expected, coalesce(f.n, 0) AS n_found
-    FROM (SELECT unnest(['train', 'validation', 'unused', 'selection']) AS role, unnest([80, 28, 11, 40]) AS n) e
+    FROM (SELECT unnest(['train', 'validation', 'unused', 'selection']) AS role, unnest([n * 11 // 20, n * 4 // 20, n * 2 // 20, n // 4]) AS n
+      FROM (SELECT count(*) AS n FROM keys)) e
     FULL JOIN (SELECT role, count(*) AS n FROM roles GROUP BY role) f ON e.role = f.role
     WHERE coalesce(e.n, 0) <> coalesce(f.n, 0)""")
 def role_coverage(spark, sf):
+    """Roles against the shares of all users together; families round on their own, and no one has ``selection``."""
     roles = tables.trajectory_roles(spark, sf)
+    n = tables.trajectory_keys(spark, sf).count()
     expected = spark.createDataFrame(
-        [("train", 80), ("validation", 28), ("unused", 11), ("selection", 40)], "role string, n_expected bigint"
+        [("train", n * 11 // 20), ("validation", n * 4 // 20), ("unused", n * 2 // 20), ("selection", n // 4)],
+        "role string, n_expected bigint",
     )
     return ops.check_coverage(roles, expected).select("role", "n_expected", "n_found")
 
@@ -188,9 +192,11 @@ def shuffled_control(spark, sf):
     return out.select("vec_id", "role", F.posexplode("y").alias("j", "y"))
 
 
-@query("SELECT k.family, k.traj FROM keys k WHERE NOT EXISTS (SELECT 1 FROM roles r WHERE r.family = k.family AND r.traj = k.traj)")
+@query("SELECT k.family, k.traj FROM keys k WHERE NOT EXISTS (SELECT 1 FROM roles r WHERE r.family = k.family AND r.traj = k.traj AND r.role <> 'unused')")
 def reserve_pool(spark, sf):
-    return ops.reserve(tables.trajectory_keys(spark, sf), tables.trajectory_roles(spark, sf))
+    """The keys no role that is opened holds."""
+    opened = tables.trajectory_roles(spark, sf).where("role <> 'unused'")
+    return ops.reserve(tables.trajectory_keys(spark, sf), opened)
 
 
 @query("""SELECT o_custkey AS family, count(DISTINCT o_orderstatus) AS n_roles FROM orders

@@ -36,7 +36,7 @@ def wide_series_scan(spark, sf):
     daily = tables.daily_series(spark, sf)
     at = F.timestamp_seconds(F.lit(1704067200) + F.col("step") * 86400)
     wide = daily.groupBy(F.date_format(at, "yyyy-MM-dd HH:mm:ss").alias("time")).pivot(
-        "series_id", list(tables.KINDS)
+        "series_id", tables.kinds(spark, sf)
     ).agg(F.first("value"))
     wide.write.option("header", "true").csv(path)
     return series.read_wide_series(spark, path, "time")

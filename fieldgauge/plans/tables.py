@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from fieldgauge.functions import ranking
 from fieldgauge.operators import roles
 
-KINDS = ("click", "error", "purchase", "signup", "view")
-RANGES = {"train": (0, 20), "validation": (20, 27), "unused": (27, 30), "test": (30, 36)}
+# Twentieths of the users of each family.
+WEIGHTS = {"train": 11, "validation": 4, "unused": 2, "test": 3}
 SPLIT_SEED = 7
 
 
@@ -30,10 +30,16 @@ def user_days(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def kinds(spark: SparkSession, sf: str) -> list[str]:
+    """The event types there are, in order: the components of a field."""
+    found = read(spark, sf, "events").select("event_type").where("event_type is not null").distinct()
+    return sorted(r[0] for r in found.collect())
+
+
 def frames(spark: SparkSession, sf: str) -> DataFrame:
-    """One field of five sums per (user, day)."""
+    """One field per (user, day): the sum of each event type."""
     sums = [
-        F.coalesce(F.sum(F.when(F.col("event_type") == k, F.col("value"))), F.lit(0.0)) for k in KINDS
+        F.coalesce(F.sum(F.when(F.col("event_type") == k, F.col("value"))), F.lit(0.0)) for k in kinds(spark, sf)
     ]
     return user_days(spark, sf).groupBy("family", "traj", "t").agg(F.array(*sums).alias("field"))
 
@@ -44,7 +50,7 @@ def trajectory_keys(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def trajectory_roles(spark: SparkSession, sf: str) -> DataFrame:
-    return roles.split_by_trajectory(trajectory_keys(spark, sf), SPLIT_SEED, RANGES)
+    return roles.split_by_trajectory(trajectory_keys(spark, sf), SPLIT_SEED, weights=WEIGHTS)
 
 
 def daily_series(spark: SparkSession, sf: str) -> DataFrame:
@@ -53,7 +59,8 @@ def daily_series(spark: SparkSession, sf: str) -> DataFrame:
     sums = ev.groupBy("t", "event_type").agg(F.sum("value").alias("value"))
     lo, hi = ev.agg(F.min("t"), F.max("t")).first()
     grid = spark.range(lo, hi + 1).select(
-        F.col("id").cast("int").alias("t"), F.explode(F.array(*[F.lit(k) for k in KINDS])).alias("event_type")
+        F.col("id").cast("int").alias("t"),
+        F.explode(F.array(*[F.lit(k) for k in kinds(spark, sf)])).alias("event_type"),
     )
     return grid.join(sums, ["t", "event_type"], "left").select(
         F.col("event_type").alias("series_id"), (F.col("t") - lo).cast("long").alias("step"),

@@ -1,8 +1,11 @@
 """Cases that once gave wrong results."""
 
+import datetime
+
 import pytest
 
-from fieldgauge.operators import codec, metrics, roles, select
+from fieldgauge.functions import ranking
+from fieldgauge.operators import codec, metrics, pairing, roles, select
 from fieldgauge.plans import qualify, walk
 
 
@@ -41,3 +44,41 @@ def test_role_with_two_ranges(spark):
     ranges = spark.createDataFrame([("train", 0, 3), ("test", 3, 6), ("train", 6, 10)], "role string, lo long, hi long")
     got = {r["id"]: r["role"] for r in roles.split_ranges(spark.range(10), ranges, "id").collect()}
     assert got == {i: "test" if 3 <= i < 6 else "train" for i in range(10)}
+
+
+@pytest.mark.parametrize("method", ["hash", "pcg64"])
+def test_weights_give_every_key_a_role(spark, method):
+    sizes = {"a": 7, "b": 40, "c": 1}
+    keys = spark.createDataFrame([(f, i) for f, n in sizes.items() for i in range(n)], "family string, traj int")
+    got = roles.split_by_trajectory(keys, 3, method=method, weights={"train": 11, "selection": 4, "test": 5}).collect()
+    assert {(r["family"], r["traj"]) for r in got} == {(f, i) for f, n in sizes.items() for i in range(n)}
+    for r in got:
+        at = r["rank"] * 20 / sizes[r["family"]]
+        assert r["role"] == ("train" if at < 11 else "selection" if at < 15 else "test")
+    with pytest.raises(ValueError, match="either"):
+        roles.split_by_trajectory(keys, 3)
+
+
+@pytest.mark.parametrize("kind, values", [
+    ("double", [3.0, None, -1.5, None, 2.5, float("nan"), 1e300, 0.0]),
+    ("string", ["10", "9", None, "", "doc-b", "doc-a", "é", "doc-abc", "Z"]),
+    ("date", [datetime.date(2024, 1, 2), None, datetime.date(1960, 5, 1)]),
+])
+def test_positions_do_not_depend_on_the_buckets(spark, kind, values):
+    rows = spark.createDataFrame([(i, v) for i, v in enumerate(values)], f"id int, v {kind}")
+
+    def order(splits):
+        ranked = ranking.ordered_position(rows, [], "v", splits=splits, n=len(values))
+        return [r["v"] for r in ranked.orderBy("rank").collect()]
+
+    whole = order(None)
+    assert whole[0] is None
+    for splits in (1, 3, 16):
+        assert list(map(repr, order(splits))) == list(map(repr, whole))
+
+
+def test_pairs_without_a_horizon_reach_the_end(spark):
+    frames = spark.range(300).selectExpr("'f' AS family", "1 AS traj", "int(id) AS t", "array(double(id)) AS field")
+    got = [r["t"] for r in pairing.pair_strided(frames, stride=7, horizon=None).orderBy("t").collect()]
+    assert got == list(range(0, 299, 7))
+    assert pairing.pair_strided(frames, stride=7).count() == len(range(0, 100, 7))
