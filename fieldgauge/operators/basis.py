@@ -470,7 +470,8 @@ def orthonormality(basis: DataFrame, keep: Sequence[int] | None = None) -> DataF
     """``(max_abs)`` of BBᵀ − I over the basis or the kept rows.
 
     Directions that fit a broadcast are compared by one matrix product per batch; more of them by
-    the sample-side Gram, whose column blocks are added by a shuffle.
+    the sample-side Gram, whose column blocks are added by a shuffle. Only their numbers are put in
+    order in one task.
     """
     from fieldgauge.operators.codec import kept_rows
 
@@ -478,7 +479,8 @@ def orthonormality(basis: DataFrame, keep: Sequence[int] | None = None) -> DataF
     held = kept_rows(basis, keep)
     if held is None:
         order = Window.partitionBy(F.lit(0)).orderBy("j")
-        placed = rows.select((F.row_number().over(order) - 1).alias("pos"), "vec")
+        places = rows.select("j", (F.row_number().over(order) - 1).alias("pos"))
+        placed = rows.select("j", "vec").join(places, "j").drop("j")
         blocks = to_blocks(placed, "pos", "vec")
         gram = row_gram(blocks, rows.count(), "pos")
         cells = gram.select("r", F.posexplode("g").alias("k", "g"))

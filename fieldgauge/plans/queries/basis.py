@@ -87,7 +87,7 @@ def lifted_directions(spark, sf):
         [(int(p), int(r), float(vectors[r, j] * sigma[j])) for p, j in enumerate(keep) for r in range(n)],
         "j int, r int, w double",
     )
-    cells = lifted.select("j", F.posexplode("vec").alias("col", "v")).join(F.broadcast(weights), "j")
+    cells = lifted.select("j", F.posexplode("vec").alias("col", "v")).join(weights, "j")
     return cells.groupBy("r", "col").agg(F.sum(F.col("w") * F.col("v")).alias("v"))
 
 
