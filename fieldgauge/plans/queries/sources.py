@@ -10,12 +10,13 @@ from fieldgauge.sources import arrays, records, series, snapshots, store
 
 
 @query(f"""SELECT c.family, c.traj, c.t, c.j, {rd("c.v::FLOAT", "v", 3)} FROM cell c JOIN roles r
-    ON r.family = c.family AND r.traj = c.traj WHERE r.role = 'train' AND c.t IN (0, 5, 10, 15, 20, 25)""", digits=3)
+    ON r.family = c.family AND r.traj = c.traj WHERE r.role = 'train' AND c.t >= 0 AND c.t % 5 = 0""", digits=3)
 def snapshot_scan(spark, sf):
     path = scratch(spark, "snapshots")
     frames = tables.frames(spark, sf).join(tables.trajectory_roles(spark, sf), ["family", "traj"])
     snapshots.write_snapshots(frames.withColumn("field", F.col("field").cast("array<float>")), path)
-    got = snapshots.read_snapshots(spark, path, roles=["train"], frames=range(0, 30, 5))
+    last = tables.user_days(spark, sf).agg(F.max("t")).first()[0]
+    got = snapshots.read_snapshots(spark, path, roles=["train"], frames=range(0, last + 1, 5))
     return got.select("family", "traj", "t", F.posexplode("field").alias("j", "v"))
 
 
