@@ -3,14 +3,16 @@
 A page becomes a stream of text blocks, each named by the path of block elements above it. Pages of a
 host are aligned one after another with the host's wrapper, a regular expression without unions over
 these names: a name, or a group of names, that repeats becomes ``+``, one that only some pages have
-becomes ``?``, and every name is a slot whose texts are counted. Wrappers are merged the same way, so
-tasks infer their own first and merge them by host in two rounds; a host with a third of all pages is
-never gathered.
+becomes ``?``. Different shapes of a host are aligned in shards in the order of their text, and the shards
+likewise, so the expression does not depend on tasks and a host with a third of all pages is never gathered.
 
-Slots are then told apart: those below menus, headers, footers, sidebars, notices, adverts, forms and
-comments are not read; of the rest, those in the article element, else in the main element, else in a
-container named as content, else in the container that holds most varying text outside links. A
-page reads the first of these readings that gives it any text.
+Every page is then matched against the expression of its host, and the place of a block in it is its
+slot, whose texts are counted over the host. Content are the slots with varying texts outside links,
+required, repeated or optional alike, as a section that only some articles have is text; slots with
+one text on three pages or more and slots of links are template. Those below menus, headers, footers,
+sidebars, notices, adverts, forms and comments are not read. Where an article element, else a main
+element, else a container named as content holds at least half of a page's content, only that is read;
+slots on fewer than three pages do not count against it.
 
 Defined cases: null or empty html gives an empty text; broken or cut markup is read as far as it goes;
 repeated rows give repeated rows; a null or unreadable url is a host of its own name; an empty table
@@ -23,8 +25,10 @@ import html
 import json
 import re
 import zlib
+from bisect import bisect_right
 from collections.abc import Iterator
 from difflib import SequenceMatcher
+from itertools import accumulate
 
 import pandas as pd
 import pyarrow as pa
@@ -205,66 +209,125 @@ def align(a: list, b: list) -> list:
     return kept
 
 
-class Wrapper:
-    """``expr``: groups of names with quantifiers; ``slots``: per name pages, letters, letters in links, a few text hashes."""
+def load(text: str) -> list:
+    return [(tuple(g), q) for g, q in json.loads(text)]
 
-    def __init__(self, expr=None, slots=None, pages: int = 0):
-        self.expr, self.slots, self.pages, self.seen = expr or [], slots or {}, pages, set()
 
-    def add(self, names: list[str], letters: list[int], links: list[int], marks: list[int]) -> None:
+def regex(expr: list) -> str:
+    """The expression in the usual notation."""
+    return " ".join((f"({' '.join(g)})" if len(g) > 1 else g[0]) + ("" if q == "1" else q) for g, q in expr)
+
+
+class Matcher:
+    """Finds the slot of an expression that each name of a stream stands in; slots are the names of all groups in order."""
+
+    def __init__(self, expr: list):
+        self.groups = [g for g, _ in expr]
+        self.many = [q in "+*" for _, q in expr]
+        self.slots = [n for g in self.groups for n in g]
+        self.base = [0, *accumulate(len(g) for g in self.groups)]
+        self.starts: dict[str, list[int]] = {}
+        for i, g in enumerate(self.groups):
+            self.starts.setdefault(g[0], []).append(i)
+        self.reach = [len(expr)] * (len(expr) + 1)  # the last group that may come next if groups before i are done
+        for i in range(len(expr) - 1, -1, -1):
+            self.reach[i] = i if expr[i][1] in "1+" else self.reach[i + 1]
+        self.known: dict[tuple[str, ...], list[int]] = {}
+
+    def match(self, names: list[str]) -> list[int]:
         shape = tuple(names)
-        if shape not in self.seen:
-            if len(self.seen) > 10_000:
-                self.seen.clear()
-            self.seen.add(shape)
-            self.expr = align(self.expr, fold(names)) if self.pages else fold(names)
-        found: dict = {}
-        for name, n, l, mark in zip(names, letters, links, marks):
-            slot = found.setdefault(name, [1, 0, 0, set()])
-            slot[1] += n
-            slot[2] += l
-            slot[3].add(mark)
-        self._count(found, 1)
-
-    def merge(self, other: Wrapper) -> None:
-        self.expr = align(self.expr, other.expr) if self.pages else other.expr
-        self._count(other.slots, other.pages)
-
-    def _count(self, slots: dict, pages: int) -> None:
-        self.pages += pages
-        for name, (n, letters, links, marks) in slots.items():
-            slot = self.slots.setdefault(name, [0, 0, 0, set()])
-            slot[0] += n
-            slot[1] += letters
-            slot[2] += links
-            slot[3] = set(sorted(slot[3] | set(marks))[:FEW])
-
-    def dump(self) -> str:
-        return json.dumps([self.expr, {k: [*v[:3], sorted(v[3])] for k, v in self.slots.items()}, self.pages])
-
-    @staticmethod
-    def load(text: str) -> Wrapper:
-        expr, slots, pages = json.loads(text)
-        return Wrapper([(tuple(g), q) for g, q in expr], {k: [*v[:3], set(v[3])] for k, v in slots.items()}, pages)
-
-    def regex(self) -> str:
-        """The expression in the usual notation."""
-        return " ".join((f"({' '.join(g)})" if len(g) > 1 else g[0]) + ("" if q == "1" else q) for g, q in self.expr)
-
-    def readings(self) -> list[list[str]]:
-        """Names that hold the main text, best reading first."""
-        steps = {n: [s.split(".")[0] for s in n.split("/")] for n in self.slots}
-        good = [n for n in self.slots if not any(s.endswith("!") for s in steps[n])]
-        out = [[n for n in good if any(s.endswith(flag) for s in steps[n])] for flag in "@%*"]
-        fixed = {n for n in good if self.slots[n][0] >= 3 and len(self.slots[n][3]) == 1}
-        prose = [n for n in good if n not in fixed and 2 * self.slots[n][2] < self.slots[n][1]]
-        weight: dict[str, int] = {}
-        for n in prose:
-            weight[n.rpartition("/")[0]] = weight.get(n.rpartition("/")[0], 0) + self.slots[n][1]
-        if weight:
-            best = max(sorted(weight), key=weight.get)
-            out.append([n for n in prose if n == best or n.startswith(best + "/") or not best])
-        return [r for r in out if r]
+        if shape not in self.known:
+            if len(self.known) > 1000:
+                self.known.clear()
+            self.known[shape] = self._match(names)
+        return self.known[shape]
+
+    def _match(self, names: list[str]) -> list[int]:
+        """States are (group, place in it); of several ways the one through the earliest groups is taken."""
+        trail: list[dict] = [{(-1, 0): None}]
+        for name in names:
+            to: dict = {}
+            for state in sorted(trail[-1]):
+                g, o = state
+                if g >= 0 and o + 1 < len(self.groups[g]):
+                    if self.groups[g][o + 1] == name:
+                        to.setdefault((g, o + 1), state)
+                    continue
+                if g >= 0 and self.many[g] and self.groups[g][0] == name:
+                    to.setdefault((g, 0), state)
+                starts = self.starts.get(name, [])
+                for h in starts[bisect_right(starts, g) : bisect_right(starts, self.reach[g + 1])]:
+                    to.setdefault((h, 0), state)
+            if not to:
+                raise ValueError("a page outside its host's expression")
+            trail.append(to)
+        ends = [(g, o) for g, o in sorted(trail[-1]) if g < 0 or (o + 1 == len(self.groups[g]) and self.reach[g + 1] == len(self.groups))]
+        if names and not ends:
+            raise ValueError("a page outside its host's expression")
+        state, out = ends[0] if names else None, []
+        for step in reversed(trail[1:]):
+            out.append(self.base[state[0]] + state[1])
+            state = step[state]
+        return out[::-1]
+
+
+def count(held: dict, slots: list[int], letters: list[int], links: list[int], marks: list[int]) -> None:
+    """Adds a page: per slot pages, letters, letters in links, a few text hashes."""
+    found: dict = {}
+    for slot, n, l, mark in zip(slots, letters, links, marks):
+        row = found.setdefault(slot, [1, 0, 0, set()])
+        row[1] += n
+        row[2] += l
+        row[3].add(mark)
+    add(held, found)
+
+
+def add(held: dict, more: dict) -> None:
+    for slot, (n, letters, links, marks) in more.items():
+        row = held.setdefault(int(slot), [0, 0, 0, set()])
+        row[0] += n
+        row[1] += letters
+        row[2] += links
+        row[3] = set(sorted(row[3] | set(marks))[:FEW])
+
+
+def dump(held: dict) -> str:
+    return json.dumps({k: [*v[:3], sorted(v[3])] for k, v in held.items()})
+
+
+class Reader:
+    """Which slots of a host hold main text: ``pick`` gives the text of a page."""
+
+    def __init__(self, expr: str, counts: str):
+        self.matcher = Matcher(load(expr))
+        held: dict = {}
+        add(held, json.loads(counts))
+        steps = [[s.split(".")[0][-1:] for s in n.split("/")] for n in self.matcher.slots]
+        free = {i for i in held if "!" not in steps[i]}
+        fixed = {i for i in free if held[i][0] >= 3 and len(held[i][3]) == 1}
+        linked = {i for i in free if 2 * held[i][2] >= held[i][1]}
+        self.content = free - fixed - linked
+        self.proven = {i for i in self.content if held[i][0] >= 3}
+        self.marked = [{i for i in free - fixed if flag in steps[i]} for flag in "@%*"]
+        self.last = [free - linked]
+
+    def pick(self, names: list[str], texts: list[str]) -> str:
+        slots = self.matcher.match(names)
+
+        def letters(wanted: set) -> int:
+            return sum(len(t) for s, t in zip(slots, texts) if s in wanted)
+
+        chosen = self.content
+        for part in self.marked:  # a mark only narrows what the slots say, and decides where they say nothing yet
+            inside = letters(part & self.content)
+            if inside and inside >= letters(self.proven - part):
+                chosen = part
+                break
+        for wanted in [chosen, *self.last]:
+            text = "\n\n".join(t for s, t in zip(slots, texts) if s in wanted)
+            if text:
+                return text
+        return ""
 
 
 # ------------------------------------------------------------------------------ on Spark
@@ -296,55 +359,117 @@ def page_blocks(pages: DataFrame) -> DataFrame:
     return pages.select("page_id", "url", host.alias("host"), "html").mapInArrow(run, schema)
 
 
-def infer(streams: DataFrame, salts: int = 64) -> DataFrame:
-    """``host, wrapper`` from block streams; tasks align their own pages, then their wrappers are aligned."""
+SALTS = 64
+
+
+def infer(streams: DataFrame) -> DataFrame:
+    """``host, expr`` from block streams: shapes of a host are aligned in the order of their text, whatever task they come from."""
+
+    def shapes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set = set()
+        for batch in batches:
+            out: list = []
+            for host, names in zip(*(c.to_pylist() for c in batch.columns)):
+                key = (host, tuple(names))
+                if key not in seen:
+                    if len(seen) > 10_000:
+                        seen.clear()
+                    seen.add(key)
+                    out.append((host, json.dumps(fold(names))))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([h for h, _ in out], pa.string()), pa.array([zlib.crc32(x.encode()) % SALTS for _, x in out], pa.int64()), pa.array([x for _, x in out], pa.string())],
+                names=["host", "salt", "expr"],
+            )
+
+    def aligned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, last, expr = None, None, []
+
+        def row() -> pa.RecordBatch:
+            return pa.RecordBatch.from_pydict({"host": pa.array([now[0]], pa.string()), "salt": pa.array([now[1]], pa.int64()), "expr": pa.array([json.dumps(expr)], pa.string())})
+
+        for batch in batches:
+            for host, salt, text in zip(*(c.to_pylist() for c in batch.columns)):
+                if (host, salt) != now:
+                    if now:
+                        yield row()
+                    now, last, expr = (host, salt), text, load(text)
+                elif text != last:
+                    last, expr = text, align(expr, load(text))
+        if now:
+            yield row()
+
+    def merged(rows: pd.DataFrame) -> pd.DataFrame:
+        whole: list = []
+        for text in sorted(rows["expr"]):
+            whole = align(whole, load(text))
+        return rows.iloc[:1].assign(expr=json.dumps(whole))
+
+    schema = "host string, salt bigint, expr string"
+    own = streams.select("host", "names").mapInArrow(shapes, schema)
+    ordered = own.repartition("host", "salt").sortWithinPartitions("host", "salt", "expr")
+    return ordered.mapInArrow(aligned, schema).groupBy("host").applyInPandas(merged, schema).drop("salt")
+
+
+def statistics(streams: DataFrame, exprs: DataFrame) -> DataFrame:
+    """``host, counts`` of the slots of each host's expression."""
 
     def begin(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[str, Wrapper] = {}
-        task = TaskContext.get().partitionId()
+        held: dict[str, tuple[Matcher, dict]] = {}
+        salt = TaskContext.get().partitionId() % SALTS
+
+        def rows() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays(
+                [pa.array(list(held), pa.string()), pa.array([salt] * len(held), pa.int64()), pa.array([dump(c) for _, c in held.values()], pa.string())],
+                names=["host", "salt", "counts"],
+            )
+
         for batch in batches:
-            host, *lists = (c.to_pylist() for c in batch.columns)
-            for h, *row in zip(host, *lists):
-                held.setdefault(h, Wrapper()).add(*row)
-            if len(held) > 20_000:  # bounded memory; the same host may give several rows
-                yield pa.RecordBatch.from_pydict({"host": list(held), "salt": [task % salts] * len(held), "wrapper": [w.dump() for w in held.values()]})
-                held = {}
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(list(held), pa.string()), pa.array([task % salts] * len(held), pa.int64()), pa.array([w.dump() for w in held.values()], pa.string())],
-            names=["host", "salt", "wrapper"],
-        )
+            host, expr = (batch.column(i).to_pylist() for i in (0, 1))
+            for h, x, *row in zip(host, expr, *(c.to_pylist() for c in batch.columns[2:])):
+                if h not in held:
+                    if len(held) > 5_000:  # bounded memory; the same host may give several rows
+                        yield rows()
+                        held.clear()
+                    held[h] = Matcher(load(x)), {}
+                matcher, counts = held[h]
+                count(counts, matcher.match(row[0]), *row[1:])
+        yield rows()
 
     def merged(rows: pd.DataFrame) -> pd.DataFrame:
-        whole = Wrapper()
-        for text in sorted(rows["wrapper"]):
-            whole.merge(Wrapper.load(text))
-        return rows.iloc[:1].assign(wrapper=whole.dump())
+        whole: dict = {}
+        for text in rows["counts"]:
+            add(whole, json.loads(text))
+        return rows.iloc[:1].assign(counts=dump(whole))
 
-    schema = "host string, salt bigint, wrapper string"
-    own = streams.select("host", "names", "letters", "links", "marks").mapInArrow(begin, schema)
+    schema = "host string, salt bigint, counts string"
+    own = streams.join(exprs, "host").select("host", "expr", "names", "letters", "links", "marks").mapInArrow(begin, schema)
     salted = own.groupBy("host", "salt").applyInPandas(merged, schema)
     return salted.groupBy("host").applyInPandas(merged, schema).drop("salt")
 
 
 def extract(pages: DataFrame) -> DataFrame:
     """``page_id, url, text, n_chars, wrapper`` for every page; ``wrapper`` is the expression of its host."""
+    kind = pages.schema["page_id"].dataType.simpleString()
     streams = cut(page_blocks(pages), "blocks")
+    exprs = cut(infer(streams), "expressions")
+    wrappers = cut(exprs.join(statistics(streams, exprs), "host"), "wrappers")
 
-    def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[str, Reader] = {}
         for batch in batches:
-            held = [Wrapper.load(w) for w in batch.column(1).to_pylist()]
+            host, names, texts, expr, counts = (batch.column(i).to_pylist() for i in range(2, 7))
+            out, made = [], []
+            for h, n, t, x, c in zip(host, names, texts, expr, counts):
+                if h not in held:
+                    if len(held) > 5_000:
+                        held.clear()
+                    held[h] = Reader(x, c)
+                out.append(held[h].pick(n, t))
+                made.append(regex(load(x)))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([w.readings() for w in held], pa.list_(pa.list_(pa.string()))), pa.array([w.regex() for w in held], pa.string())],
-                names=["host", "readings", "wrapper"],
+                [*batch.columns[:2], pa.array(out, pa.string()), pa.array(made, pa.string())], names=["page_id", "url", "text", "wrapper"]
             )
 
-    wrappers = cut(infer(streams).select("host", "wrapper").mapInArrow(label, "host string, readings array<array<string>>, wrapper string"), "wrappers")
-    rows = streams.select("page_id", "url", "host", F.arrays_zip("names", "texts").alias("b")).join(wrappers, "host", "left")
-    read = F.transform(
-        "readings",
-        lambda names: F.array_join(F.transform(F.filter("b", lambda x: F.array_contains(names, x["names"])), lambda x: x["texts"]), "\n\n"),
-    )
-    text = F.coalesce(F.get(F.filter(read, lambda t: t != ""), F.lit(0)), F.lit(""))
-    return rows.select("page_id", "url", text.alias("text"), "wrapper").select(
-        "page_id", "url", "text", F.length("text").cast("bigint").alias("n_chars"), "wrapper"
-    )
+    rows = streams.select("page_id", "url", "host", "names", "texts").join(wrappers, "host")
+    found = rows.select("page_id", "url", "host", "names", "texts", "expr", "counts").mapInArrow(read, f"page_id {kind}, url string, text string, wrapper string")
+    return found.select("page_id", "url", "text", F.length("text").cast("bigint").alias("n_chars"), "wrapper")

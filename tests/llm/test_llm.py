@@ -177,6 +177,23 @@ def test_wrappers(spark):
     assert merged == [(("a",), "1"), (("b",), "+"), (("c",), "?"), (("d",), "1")]
 
 
+def extracted(spark, pages):
+    ship_package(spark)
+    table = spark.createDataFrame([(i, f"http://{h}.example/{i}", html) for i, (h, html) in enumerate(pages)], "page_id bigint, url string, html string")
+    return [r.text for r in wrapper.extract(table.repartition(3)).orderBy("page_id").collect()]
+
+
+def test_wrapper_decides_by_slot(spark):
+    matcher = wrapper.Matcher([(("a",), "?"), (("p",), "+"), (("b", "c"), "*"), (("h",), "1"), (("p",), "1")])
+    assert matcher.match(list("pphp")) == [1, 1, 4, 5] and matcher.match(list("apbcbchp")) == [0, 1, 2, 3, 2, 3, 4, 5]
+    # one path, two slots: only the place in the expression tells the standing line below the rule from the text
+    flat = "<body><p>Text %d of the page<p>More %d of it<h4>Note</h4><p>All rights are kept by the house</body>"
+    assert extracted(spark, [("a", flat % (i, i)) for i in range(4)]) == [f"Text {i} of the page\n\nMore {i} of it" for i in range(4)]
+    # an article element with a standing line is not the text
+    other = "<body><article><p>Welcome to the house</article><div><p>Text %d of the page</div></body>"
+    assert extracted(spark, [("a", other % i) for i in range(4)]) == [f"Text {i} of the page" for i in range(4)]
+
+
 def test_packing(docs, nothing, monkeypatch):
     monkeypatch.setattr(packing, "GROUP", 2)
     rows = packing.pack(docs, VOCABULARY).collect()
