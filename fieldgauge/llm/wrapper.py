@@ -9,8 +9,11 @@ likewise, so the expression does not depend on tasks and a host with a third of
 Every page is then matched against the expression of its host, and the place of a block in it is its
 slot, whose texts are counted over the host. Content are the slots with varying texts outside links,
 required, repeated or optional alike, as a section that only some articles have is text; slots with
-one text on three pages or more and slots of links are template. Those below menus, headers, footers,
-sidebars, notices, adverts, forms and comments are not read. Where an article element, else a main
+one text on three pages or more and slots of links are template. Those below menus, headers, footers
+and hidden elements are not read. Those below a form or an element with a class word for sidebars,
+notices, adverts or comments are not read either, unless it holds more than half of the letters
+in varying slots outside links of the pages it is on (comments never do), or the page has no other text: then
+articles below it come first. Where an article element, else a main
 element, else a container named as content holds at least half of a page's content, only that is read;
 slots on fewer than three pages do not count against it.
 
@@ -46,7 +49,8 @@ BLOCKS = set(
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 RAW = set("script style textarea title noscript template iframe xmp noembed noframes".split())
 SILENT = RAW | set("head svg math canvas audio video object button select option datalist label".split())
-APART = set("nav header footer aside form menu search dialog fieldset".split())
+APART = set("nav header footer aside menu search dialog".split())
+FORMS = set("form fieldset".split())
 CLOSES = {  # a start tag that ends open elements of these names
     "li": {"li", "p"}, "dt": {"dt", "dd", "p"}, "dd": {"dt", "dd", "p"}, "tr": {"tr", "td", "th", "p"},
     "td": {"td", "th", "p"}, "th": {"td", "th", "p"}, "option": {"option"},
@@ -59,10 +63,12 @@ ASIDE_WORDS = set(
     "recommendations footer header masthead topbar login signup search form skip copyright legal".split()
 )
 COMMENT_WORDS = set("comment comments reply replies related teaser promo ad ads advert".split())
+TALK_WORDS = set("comment comments disqus reply replies respond discussion".split())
 CONTENT_WORDS = set("content main article post entry story articlebody maincontent".split())
 
 TOKEN = re.compile(r"<!--(?:.*?-->|.*\Z)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)|[^<]+|<", re.S)
 NAMES = re.compile(r"\b(class|id|role|itemprop|hidden|style|aria-hidden)\b(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?", re.I)
+VETOES = ("!", "~", "^")  # by element or hidden; by a class word or form; by a word for comments
 FEW = 6
 REPEAT = 4
 
@@ -79,9 +85,9 @@ def _step(tag: str, attributes: str) -> str:
     if hidden or tag in APART:
         flag = "!"
     elif tag in ("article", "main"):
-        flag = "!" if COMMENT_WORDS & set(names) else "@" if tag == "article" else "%"
-    elif tag not in ("html", "body") and not tag[1:].isdigit() and ASIDE_WORDS & set(names):
-        flag = "!"
+        flag = "^" if COMMENT_WORDS & set(names) else "@" if tag == "article" else "%"
+    elif tag in FORMS or tag not in ("html", "body") and not tag[1:].isdigit() and ASIDE_WORDS & set(names):
+        flag = "^" if TALK_WORDS & set(names) else "~"
     elif said.get("role") == "main" or "articlebody" in names:
         flag = "%"
     elif CONTENT_WORDS & set(names):
@@ -102,7 +108,7 @@ def blocks(page: str) -> Iterator[tuple[str, str, int]]:
         held.clear()
         linked, links = links, 0
         if text:
-            yield "/".join(s for t, s in open_ if t in BLOCKS or s[len(t) : len(t) + 1] == "!"), text, linked
+            yield "/".join(s for t, s in open_ if t in BLOCKS or s[len(t) : len(t) + 1] in VETOES), text, linked
 
     def drop(at: int) -> None:
         nonlocal silent, in_link
@@ -149,7 +155,7 @@ def blocks(page: str) -> Iterator[tuple[str, str, int]]:
             if open_[i][0] in SCOPES:
                 break
         step = _step(tag, m[3])
-        if not boundary and step[len(tag) : len(tag) + 1] == "!":
+        if not boundary and step[len(tag) : len(tag) + 1] in VETOES:
             yield from flush()
         if not m[3].rstrip().endswith("/") or tag in BLOCKS:
             open_.append((tag, step))
@@ -282,6 +288,27 @@ def count(held: dict, slots: list[int], letters: list[int], links: list[int], ma
     add(held, found)
 
 
+def count_vetoes(held: dict, slots: list[int], names: list[str], letters: list[int]) -> None:
+    """Adds a page: per path that ends in a class word, the letters of every slot of the page."""
+    paths = set()
+    for name in set(names):
+        if "~" in name:
+            steps = name.split("/")
+            paths |= {"/".join(steps[: i + 1]) for i, s in enumerate(steps) if s.split(".")[0][-1:] == "~"}
+    if paths:
+        found: dict = {}
+        for slot, n in zip(slots, letters):
+            found[slot] = found.get(slot, 0) + n
+        add_vetoes(held, dict.fromkeys(paths, found))
+
+
+def add_vetoes(held: dict, more: dict) -> None:
+    for path, found in more.items():
+        row = held.setdefault(path, {})
+        for slot, n in found.items():
+            row[int(slot)] = row.get(int(slot), 0) + n
+
+
 def add(held: dict, more: dict) -> None:
     for slot, (n, letters, links, marks) in more.items():
         row = held.setdefault(int(slot), [0, 0, 0, set()])
@@ -291,8 +318,8 @@ def add(held: dict, more: dict) -> None:
         row[3] = set(sorted(row[3] | set(marks))[:FEW])
 
 
-def dump(held: dict) -> str:
-    return json.dumps({k: [*v[:3], sorted(v[3])] for k, v in held.items()})
+def dump(held: dict, vetoes: dict) -> str:
+    return json.dumps([{k: [*v[:3], sorted(v[3])] for k, v in held.items()}, vetoes])
 
 
 class Reader:
@@ -301,15 +328,28 @@ class Reader:
     def __init__(self, expr: str, counts: str):
         self.matcher = Matcher(load(expr))
         held: dict = {}
-        add(held, json.loads(counts))
+        slots, vetoes = json.loads(counts)
+        add(held, slots)
         steps = [[s.split(".")[0][-1:] for s in n.split("/")] for n in self.matcher.slots]
-        free = {i for i in held if "!" not in steps[i]}
-        fixed = {i for i in free if held[i][0] >= 3 and len(held[i][3]) == 1}
-        linked = {i for i in free if 2 * held[i][2] >= held[i][1]}
+        open_ = {i for i in held if "!" not in steps[i]}
+        fixed = {i for i in open_ if held[i][0] >= 3 and len(held[i][3]) == 1}
+        linked = {i for i in open_ if 2 * held[i][2] >= held[i][1]}
+        stands = set()
+        for path, found in vetoes.items():  # a class word above most of the text of the pages it is on does not stand
+            text = {int(i): n for i, n in found.items() if int(i) in open_ - fixed - linked}
+            under = sum(n for i, n in text.items() if f"{self.matcher.slots[i]}/".startswith(f"{path}/"))
+            if 2 * under <= sum(text.values()):
+                stands.add(path)
+        free = {i for i in open_ if not self._vetoed(i, steps[i], stands)}
         self.content = free - fixed - linked
         self.proven = {i for i in self.content if held[i][0] >= 3}
         self.marked = [{i for i in free - fixed if flag in steps[i]} for flag in "@%*"]
-        self.last = [free - linked]
+        held_apart = open_ - free - fixed - linked
+        self.last = [{i for i in held_apart if "@" in steps[i] or "%" in steps[i]}, held_apart, free - linked, open_ - linked]
+
+    def _vetoed(self, slot: int, flags: list[str], stands: set) -> bool:
+        names = self.matcher.slots[slot].split("/")
+        return any(f == "^" or f == "~" and "/".join(names[: i + 1]) in stands for i, f in enumerate(flags))
 
     def pick(self, names: list[str], texts: list[str]) -> str:
         slots = self.matcher.match(names)
@@ -414,12 +454,12 @@ def statistics(streams: DataFrame, exprs: DataFrame) -> DataFrame:
     """``host, counts`` of the slots of each host's expression."""
 
     def begin(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[str, tuple[Matcher, dict]] = {}
+        held: dict[str, tuple[Matcher, dict, dict]] = {}
         salt = TaskContext.get().partitionId() % SALTS
 
         def rows() -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays(
-                [pa.array(list(held), pa.string()), pa.array([salt] * len(held), pa.int64()), pa.array([dump(c) for _, c in held.values()], pa.string())],
+                [pa.array(list(held), pa.string()), pa.array([salt] * len(held), pa.int64()), pa.array([dump(c, v) for _, c, v in held.values()], pa.string())],
                 names=["host", "salt", "counts"],
             )
 
@@ -430,16 +470,20 @@ def statistics(streams: DataFrame, exprs: DataFrame) -> DataFrame:
                     if len(held) > 5_000:  # bounded memory; the same host may give several rows
                         yield rows()
                         held.clear()
-                    held[h] = Matcher(load(x)), {}
-                matcher, counts = held[h]
-                count(counts, matcher.match(row[0]), *row[1:])
+                    held[h] = Matcher(load(x)), {}, {}
+                matcher, counts, vetoes = held[h]
+                slots = matcher.match(row[0])
+                count(counts, slots, *row[1:])
+                count_vetoes(vetoes, slots, *row[:2])
         yield rows()
 
     def merged(rows: pd.DataFrame) -> pd.DataFrame:
-        whole: dict = {}
+        slots, vetoes = {}, {}
         for text in rows["counts"]:
-            add(whole, json.loads(text))
-        return rows.iloc[:1].assign(counts=dump(whole))
+            more = json.loads(text)
+            add(slots, more[0])
+            add_vetoes(vetoes, more[1])
+        return rows.iloc[:1].assign(counts=dump(slots, vetoes))
 
     schema = "host string, salt bigint, counts string"
     own = streams.join(exprs, "host").select("host", "expr", "names", "letters", "links", "marks").mapInArrow(begin, schema)

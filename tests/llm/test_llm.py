@@ -194,6 +194,17 @@ def test_wrapper_decides_by_slot(spark):
     assert extracted(spark, [("a", other % i) for i in range(4)]) == [f"Text {i} of the page" for i in range(4)]
 
 
+@pytest.mark.parametrize("wrap", ['div class="layout has-sidebar"', 'div class="elementor-widget-container"', 'div id="form-wrapper"', 'div class="page with-banner"', "form", 'div class="with-comments"'])
+@pytest.mark.parametrize("inner", ["article", "div"])
+def test_wrapper_class_words(spark, wrap, inner):
+    html = f"<body><{wrap}><{inner}><p>The text %d of the page is the longest</{inner}><div class=sidebar><p>Short aside %d</div></{wrap.split()[0]}><div class=ad>Ad %d</div></body>"
+    got = extracted(spark, [("a", html % (i, i, i)) for i in range(4)])
+    if "comments" in wrap and inner == "div":  # nothing but class words: all that is there, rather than nothing
+        assert all(f"The text {i} of the page is the longest" in t for i, t in enumerate(got))
+    else:
+        assert got == [f"The text {i} of the page is the longest" for i in range(4)]
+
+
 def test_packing(docs, nothing, monkeypatch):
     monkeypatch.setattr(packing, "GROUP", 2)
     rows = packing.pack(docs, VOCABULARY).collect()
