@@ -7,9 +7,9 @@ becomes ``?``. Different shapes of a host are aligned in shards in the order of
 likewise, so the expression does not depend on tasks and a host with a third of all pages is never gathered.
 
 Every page is then matched against the expression of its host, and the place of a block in it is its
-slot, whose texts are counted over the host. Content are the slots with varying texts outside links,
+slot, whose texts are counted over the different pages of the host; copies count once. Content are the slots with varying texts outside links,
 required, repeated or optional alike, as a section that only some articles have is text; slots with
-one text on three pages or more and slots of links are template. Those below menus, headers, footers
+one text on three different pages or more and slots of links are template. Those below menus, headers, footers
 and hidden elements are not read. Those below a form or an element with a class word for sidebars,
 notices, adverts or comments are not read either, unless it holds more than half of the letters
 in varying slots outside links of the pages it is on (comments never do), or the page has no other text: then
@@ -31,6 +31,7 @@ import zlib
 from bisect import bisect_right
 from collections.abc import Iterator
 from difflib import SequenceMatcher
+from hashlib import blake2b
 from itertools import accumulate
 
 import pandas as pd
@@ -164,6 +165,17 @@ def blocks(page: str) -> Iterator[tuple[str, str, int]]:
     yield from flush()
 
 
+def keys(found: list[tuple[str, str, int]]) -> tuple[int, int]:
+    """A hash of what makes a page another one, and one of all blocks.
+
+    Menus, adverts and links do not make a copy another page, unless a page has little else.
+    """
+    own = [b for b in found if not any(v in b[0] for v in VETOES) and 2 * b[2] < len(b[1])]
+    if 2 * sum(len(b[1]) for b in own) < sum(len(b[1]) - b[2] for b in found if "!" not in b[0]):
+        own = found
+    return tuple(int.from_bytes(blake2b(repr(x).encode("utf-8", "replace"), digest_size=8).digest(), "big", signed=True) for x in (own, found))
+
+
 # ------------------------------------------------------------------------------ wrappers
 
 
@@ -374,14 +386,15 @@ class Reader:
 
 
 def page_blocks(pages: DataFrame) -> DataFrame:
-    """``page_id, url, host, names, texts, letters, links, marks``: pages as block streams."""
+    """``page_id, url, host, names, texts, letters, links, marks, page, whole``: pages as block streams, and their ``keys``."""
     kind = pages.schema["page_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            names, texts, letters, links, marks = [], [], [], [], []
+            names, texts, letters, links, marks, both = [], [], [], [], [], []
             for page in batch.column(3):
                 found = list(blocks(page.as_py() or ""))
+                both.append(keys(found))
                 names.append([b[0] for b in found])
                 texts.append([b[1] for b in found])
                 letters.append([len(b[1]) for b in found])
@@ -390,12 +403,13 @@ def page_blocks(pages: DataFrame) -> DataFrame:
             ints = pa.list_(pa.int64())
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns[:3], pa.array(names, pa.list_(pa.string())), pa.array(texts, pa.list_(pa.string())),
-                 pa.array(letters, ints), pa.array(links, ints), pa.array(marks, ints)],
-                names=["page_id", "url", "host", "names", "texts", "letters", "links", "marks"],
+                 pa.array(letters, ints), pa.array(links, ints), pa.array(marks, ints),
+                 pa.array([k for k, _ in both], pa.int64()), pa.array([k for _, k in both], pa.int64())],
+                names=["page_id", "url", "host", "names", "texts", "letters", "links", "marks", "page", "whole"],
             )
 
     host = F.lower(F.coalesce(F.regexp_extract("url", r"^[A-Za-z][\w+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1), F.lit("")))
-    schema = f"page_id {kind}, url string, host string, names array<string>, texts array<string>, letters array<bigint>, links array<bigint>, marks array<bigint>"
+    schema = f"page_id {kind}, url string, host string, names array<string>, texts array<string>, letters array<bigint>, links array<bigint>, marks array<bigint>, page bigint, whole bigint"
     return pages.select("page_id", "url", host.alias("host"), "html").mapInArrow(run, schema)
 
 
@@ -451,7 +465,7 @@ def infer(streams: DataFrame) -> DataFrame:
 
 
 def statistics(streams: DataFrame, exprs: DataFrame) -> DataFrame:
-    """``host, counts`` of the slots of each host's expression."""
+    """``host, counts`` of the slots of each host's expression; copies of a page count once."""
 
     def begin(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[str, tuple[Matcher, dict, dict]] = {}
@@ -486,7 +500,9 @@ def statistics(streams: DataFrame, exprs: DataFrame) -> DataFrame:
         return rows.iloc[:1].assign(counts=dump(slots, vetoes))
 
     schema = "host string, salt bigint, counts string"
-    own = streams.join(exprs, "host").select("host", "expr", "names", "letters", "links", "marks").mapInArrow(begin, schema)
+    one = F.min_by(F.struct("names", "letters", "links", "marks"), "whole")
+    pages = streams.groupBy("host", "page").agg(one.alias("_b")).select("host", "_b.*")
+    own = pages.join(exprs, "host").select("host", "expr", "names", "letters", "links", "marks").mapInArrow(begin, schema)
     salted = own.groupBy("host", "salt").applyInPandas(merged, schema)
     return salted.groupBy("host").applyInPandas(merged, schema).drop("salt")
 

@@ -205,6 +205,18 @@ def test_wrapper_class_words(spark, wrap, inner):
         assert got == [f"The text {i} of the page is the longest" for i in range(4)]
 
 
+def test_wrapper_copies_and_layouts(spark):
+    copy = "<body><nav><a href=x>Home %d</a></nav><div><h2>Kept title</h2><p>Kept text of all the copies</div><div class=ad>Ad %d</div></body>"
+    common = "<body><section class=intro><p>Intro %d</section><section class=body><p>Text %d of the page, which is longer<p>And on</section><div><p>Same line on all pages</div></body>"
+    rare = "<body><center><table><tr><td><p>Rare layout %d with its own text</td></tr></table></center></body>"
+    for n in (1, 2, 3, 6):
+        pages = [("c", copy % (i, i)) for i in range(n)] + [("s", common % (i, i)) for i in range(5)] + [("s", common % (0, 0))] * n + [("s", rare % n)]
+        got = extracted(spark, pages)
+        assert got[:n] == ["Kept title\n\nKept text of all the copies"] * n
+        assert got[n : n + 5] == [f"Intro {i}\n\nText {i} of the page, which is longer\n\nAnd on" for i in range(5)]
+        assert got[n + 5 :] == [got[n]] * n + [f"Rare layout {n} with its own text"]
+
+
 def test_packing(docs, nothing, monkeypatch):
     monkeypatch.setattr(packing, "GROUP", 2)
     rows = packing.pack(docs, VOCABULARY).collect()
