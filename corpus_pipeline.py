@@ -34,10 +34,18 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group that links tie together: the one with the smallest id."""
+    """One document of each group that links tie together: the one with the smallest id, a null id last.
+
+    Every row is a document of its own, so rows with a null id or with one id and different texts are
+    compared and kept like others; equal rows are copies. Rows without a word link with nothing and
+    stay, each of them. Nulls in other columns are values like any.
+    """
     ship_package(spark)
-    first = jaccard.join(docs).where("class_id = doc_id")
-    return docs.select(*COLUMNS).join(first.select("doc_id").distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    rows = cut(docs.select(*COLUMNS).withColumn("row", F.monotonically_increasing_id()), "rows")
+    rank = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", F.xxhash64(*COLUMNS[1:]).alias("rest"), "row")
+    found = jaccard.join(rows, key="row").join(rows.select("row", rank.alias("rank")), "row")
+    first = found.groupBy("class_id").agg(F.min("rank").alias("rank")).select(F.col("rank.row").alias("row"))
+    return rows.join(first, "row", "left_semi").select(*COLUMNS)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

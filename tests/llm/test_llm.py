@@ -373,3 +373,20 @@ def test_pipeline(spark, sf):
     assert pieces_.select("doc_id").distinct().count() == docs.count()
     rows = docs.collect()
     assert not pairs_by_force([]) and len({r.doc_id for r in rows}) == len(rows)
+
+
+def test_pipeline_near_duplicates_by_row(spark):
+    import corpus_pipeline as p
+
+    a, b, c, d, e = (prose(60 + i, 80) for i in range(5))
+    rows = [
+        (None, a, "en", "s", 1), (None, b, None, None, None), (None, a + " end", "en", "s", 1),  # null ids: two texts, and a near copy
+        (5, c, "en", "s", 1), (5, d, "en", "s", 1), (5, d, "en", "s", 1),  # an id of two texts, one of them twice
+        (9, e, "en", "s", 1), (7, e, None, "s", 1), (None, e, "en", None, 1),  # the smallest id stays
+        (1, None, None, None, None), (None, None, None, None, None), (None, "", None, None, 0), (None, None, None, None, None),
+    ]
+    table = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint").repartition(3)
+    got = Counter((r.doc_id, r.text) for r in p.near_duplicates(spark, table, "").collect())
+    kept_a = (None, a) if (None, a) in got else (None, a + " end")
+    assert got == Counter([kept_a, (None, b), (5, c), (5, d), (7, e), (1, None), (None, None), (None, ""), (None, None)])
+    assert p.near_duplicates(spark, table.limit(0), "").count() == 0
