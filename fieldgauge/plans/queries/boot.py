@@ -2,7 +2,7 @@
 
 from fieldgauge.operators import boot as ops
 from fieldgauge.plans import tables
-from fieldgauge.plans.queries.registry import query, rd
+from fieldgauge.plans.queries.registry import draw, query, rd
 
 REPS = 400
 
@@ -47,7 +47,7 @@ _SEED_METRICS = ("bytes_on_disk", "peak_memory", "steady_epoch_s", "input_s")
 @query(f"""WITH b AS (SELECT target, metric, seed, max(value) FILTER (scheme = 'dense') AS d, max(value) FILTER (scheme = 'budget') AS b FROM mlong
     WHERE metric <> 'heldout_error' GROUP BY ALL HAVING count(DISTINCT scheme) = 2),
     p AS (SELECT *, row_number() OVER (PARTITION BY target, metric ORDER BY seed) - 1 AS idx, count(*) OVER (PARTITION BY target, metric) AS n FROM b),
-    dw AS (SELECT k.n, r.rep, ('0x' || substr(md5('20260811:' || r.rep || ':' || i.i), 1, 15))::BIGINT % k.n AS idx FROM (SELECT DISTINCT n FROM p) k
+    dw AS (SELECT k.n, r.rep, {draw("r.rep", "i.i", "k.n")} AS idx FROM (SELECT DISTINCT n FROM p) k
       CROSS JOIN (SELECT unnest(range(1000)) AS rep) r JOIN (SELECT unnest(range(100)) AS i) i ON i.i < k.n),
     st AS (SELECT p.target, p.metric, dw.rep, median(p.d) / greatest(median(p.b), 1e-30) AS s FROM dw JOIN p ON p.n = dw.n AND p.idx = dw.idx GROUP BY ALL),
     ci AS (SELECT target, metric, quantile_cont(s, 0.025) AS lo, quantile_cont(s, 0.975) AS hi FROM st GROUP BY ALL)

@@ -56,6 +56,11 @@ def rd(expr: str, name: str, digits: int = 6) -> str:
     return f"round(({expr})::DOUBLE, {digits}) + 0.0::DOUBLE AS {name}"
 
 
+def draw(rep: str, i: str, n: str) -> str:
+    """The hash draw of a replicate as SQL."""
+    return f"('0x' || substr(md5('20260811:' || {rep} || ':' || {i}), 1, 15))::BIGINT % {n}"
+
+
 # ------------------------------------------------------------------------------ fragments
 
 LADDER = (2, 4, 8, 16, 32, 48, 64)
@@ -155,7 +160,7 @@ FRAGMENTS: dict[str, str] = {
     "errgrid": """SELECT family, arm, seed, cluster, avg(v) AS err FROM (SELECT family, seed, cluster, unnest(['dense', 'reduced']) AS arm,
         unnest([dense, reduced]) AS v FROM runs) GROUP BY ALL""",
     "place": "SELECT cluster, row_number() OVER (ORDER BY cluster) - 1 AS idx, count(*) OVER () AS n FROM (SELECT DISTINCT o_custkey AS cluster FROM orders)",
-    "drawn": """SELECT r.rep, i.i, ('0x' || substr(md5('20260811:' || r.rep || ':' || i.i), 1, 15))::BIGINT % i.n AS idx
+    "drawn": f"""SELECT r.rep, i.i, {draw("r.rep", "i.i", "i.n")} AS idx
         FROM (SELECT unnest(range(400)) AS rep) r CROSS JOIN (SELECT idx AS i, n FROM place) i""",
     "repmse": """SELECT d.rep, g.family, g.arm, g.seed, avg(g.err) AS mse FROM drawn d JOIN place p ON p.idx = d.idx
         JOIN errgrid g ON g.cluster = p.cluster GROUP BY ALL""",
