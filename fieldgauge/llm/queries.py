@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldgauge.llm import chat, covertree, jaccard, langid, packing, quality, repeats, unigram, wordpiece, wrapper
+from fieldgauge.llm import chat, covertree, jaccard, langid, merkle, packing, quality, repeats, unigram, wordpiece, wrapper
 from fieldgauge.session import ship_package
 
 TABLE: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -141,3 +141,46 @@ def op9_suffix_array_dedup(spark, sf):
 def op8_ngram_jaccard_join(spark, sf):
     found = jaccard.join(read(spark, sf, "documents"))
     return found.withColumn("kept", F.coalesce(F.col("class_id") == F.col("doc_id"), F.lit(True)))
+
+
+# crc32 of the decimal digits: each byte is one exclusive-or and eight shifts
+_CRC32 = """xor(4294967295, list_reduce(list_concat([4294967295::BIGINT], flatten([[ascii(x)::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1]
+    FOR x IN string_split(doc_id::VARCHAR, '')])), lambda c, x: CASE WHEN x >= 0 THEN xor(c, x) ELSE xor(c >> 1, 3988292384 * (c & 1)) END))"""
+
+
+def _field(value: str) -> str:
+    return f"coalesce(strlen(({value})::VARCHAR) || ':' || ({value})::VARCHAR, '-')"
+
+
+@query(f"""
+WITH RECURSIVE d AS (SELECT *, sha256({' || '.join(map(_field, merkle.FIELDS))}) AS leaf, {_field('doc_id')} || {_field('source')} || {_field('lang')} AS a,
+    CASE WHEN doc_id IS NOT NULL AND {_CRC32} % 7 = 0 THEN n_chars::HUGEINT + 1 ELSE n_chars END AS m FROM documents),
+l AS (SELECT doc_id, lang, leaf, sha256(a || {_field('m')} || {_field('text')}) AS claim,
+    row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos FROM d),
+t AS (SELECT lang, 0 AS lvl, pos, leaf AS h FROM l UNION ALL
+    SELECT lang, lvl + 1, pos // 2, sha256(string_agg(h, '' ORDER BY pos)) FROM (SELECT *, count(*) OVER (PARTITION BY lang) AS n FROM t) WHERE n > 1
+    GROUP BY lang, lvl, pos // 2),
+s AS (SELECT lang, arg_max(h, lvl) AS h, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS rank FROM t GROUP BY lang),
+u AS (SELECT 0 AS lvl, rank AS pos, h FROM s UNION ALL
+    SELECT lvl + 1, pos // 2, sha256(string_agg(h, '' ORDER BY pos)) FROM (SELECT *, count(*) OVER () AS n FROM u) WHERE n > 1 GROUP BY lvl, pos // 2),
+top AS (SELECT h AS root, lvl FROM u ORDER BY lvl DESC LIMIT 1),
+high AS (SELECT lang, max(lvl) AS lvl FROM t GROUP BY lang),
+p AS (SELECT l.lang, l.pos, g.lvl, (l.pos >> g.lvl) & 1 AS slot, coalesce(b.h, '') AS h FROM l JOIN high k ON k.lang IS NOT DISTINCT FROM l.lang
+    JOIN (SELECT DISTINCT lvl FROM t) g ON g.lvl < k.lvl LEFT JOIN t b ON b.lang IS NOT DISTINCT FROM l.lang AND b.lvl = g.lvl AND b.pos = xor(l.pos >> g.lvl, 1)
+  UNION ALL SELECT l.lang, l.pos, k.lvl + g.lvl, (s.rank >> g.lvl) & 1, coalesce(b.h, '') FROM l JOIN high k ON k.lang IS NOT DISTINCT FROM l.lang
+    JOIN s ON s.lang IS NOT DISTINCT FROM l.lang CROSS JOIN top JOIN (SELECT DISTINCT lvl FROM u) g ON g.lvl < top.lvl LEFT JOIN u b ON b.lvl = g.lvl AND b.pos = xor(s.rank >> g.lvl, 1)),
+q AS (SELECT lang, pos, list(slot ORDER BY lvl) AS slots, list(h ORDER BY lvl) AS hs, count(*) AS n FROM p GROUP BY lang, pos),
+f AS (SELECT l.lang, l.pos, 0 AS lvl, l.claim AS h, q.slots, q.hs, coalesce(q.n, 0) AS n FROM l LEFT JOIN q ON q.lang IS NOT DISTINCT FROM l.lang AND q.pos = l.pos UNION ALL
+    SELECT lang, pos, lvl + 1, sha256(CASE WHEN slots[lvl + 1] = 1 THEN hs[lvl + 1] || h ELSE h || hs[lvl + 1] END), slots, hs, n FROM f WHERE lvl < n)
+SELECT l.doc_id, l.leaf, s.h AS subroot, top.root, sha256(coalesce(array_to_string(f.hs, ''), '')) AS proof_sha256, f.h AS folded_root, f.h = top.root AS verified
+FROM l JOIN s ON s.lang IS NOT DISTINCT FROM l.lang CROSS JOIN top JOIN f ON f.lang IS NOT DISTINCT FROM l.lang AND f.pos = l.pos AND f.lvl = f.n
+""")
+def op13_merkle_manifest(spark, sf):
+    tampered = (F.crc32(F.col("doc_id").cast("string")) % 7 == 0) & F.col("n_chars").isNotNull()
+    told = F.when(tampered, F.col("n_chars").cast("decimal(20,0)") + 1).otherwise(F.col("n_chars"))
+    held = merkle.manifest(read(spark, sf, "documents"), claimed={"n_chars": told})
+    folded = held.withColumn("folded_root", merkle.fold(F.col("claim"), F.col("path")))
+    return folded.select(
+        "doc_id", "leaf", "subroot", "root", F.sha2(merkle.siblings(F.col("path")), 256).alias("proof_sha256"), "folded_root",
+        (F.col("folded_root") == F.col("root")).alias("verified"),
+    )
