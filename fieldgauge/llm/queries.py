@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldgauge.llm import chat, covertree, jaccard, langid, leaks, merkle, packing, quality, repeats, unigram, wordpiece, wrapper
+from fieldgauge.llm import chat, covertree, jaccard, langid, leaks, merkle, packing, quality, repeats, unigram, whitening, wordpiece, wrapper
 from fieldgauge.session import ship_package
 
 TABLE: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -204,3 +204,9 @@ def op12_benchmark_decontamination(spark, sf):
         "doc_id", "n_words", "n_hit", F.size("items").cast("bigint").alias("n_items"),
         F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated",
     )
+
+
+@query()
+def op11_embedding_whitening(spark, sf):
+    vectors = read(spark, sf, "embeddings")
+    return whitening.whiten(vectors, whitening.fit(vectors))
