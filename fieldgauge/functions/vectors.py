@@ -25,14 +25,6 @@ def minus(a: Column, b: Column) -> Column:
     return F.zip_with(a, b, lambda x, y: x - y)
 
 
-def plus(a: Column, b: Column) -> Column:
-    return F.zip_with(a, b, lambda x, y: x + y)
-
-
-def scale(a: Column, factor: Column) -> Column:
-    return F.transform(a, lambda x: x * factor)
-
-
 def energy(a: Column) -> Column:
     return F.aggregate(a, F.lit(0.0), lambda acc, v: acc + v * v)
 

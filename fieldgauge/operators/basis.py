@@ -1,7 +1,7 @@
 """Mean, covariance and Gram sums over Spark, and the bases built from them.
 
 A basis is a table ``(j, vec array<double>, eigval)``. Only matrices whose side is bounded by
-``DRIVER_SIDE`` reach the driver; beyond that the randomized fit keeps D×l matrices only.
+``DRIVER_SIDE`` reach the driver; beyond that the fit is iterated to a stated residual.
 """
 
 from __future__ import annotations
@@ -17,17 +17,30 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from fieldgauge.functions.arrow import to_lists, to_matrix
+from fieldgauge.functions.blocks import runs
 from fieldgauge.functions.sums import add_blocks, vector_sums
 from fieldgauge.functions.vectors import doubles
+from fieldgauge.operators.iterate import leading
 
 DRIVER_SIDE = 8192
 EPS64 = 2.0**-52
 
 
+class Fit(NamedTuple):
+    """How a basis came about: eigenvalues of the raw scatter, largest relative residual and passes of an iteration."""
+
+    side: str
+    width: int
+    values: np.ndarray
+    residual: float
+    passes: int
+
+
 class Basis(NamedTuple):
     directions: DataFrame
     mean: np.ndarray
     n: int
+    fit: Fit | None = None
 
 
 def width_of(df: DataFrame, col: str) -> int:
@@ -154,55 +167,164 @@ def to_blocks(df: DataFrame, row: str, col: str, block: int = 4096) -> DataFrame
     )
 
 
-def row_gram(blocks: DataFrame, n: int, row: str = "row", centered: str = "none") -> DataFrame:
+def _block_means(blocks: DataFrame, rows: int) -> dict[int, np.ndarray]:
+    """The mean segment of every column block over ``rows`` rows, absent ones as zeros: one vector of the field width."""
+
+    def run(batches):
+        held: dict = {}
+        for batch in batches:
+            for (blk,), part in runs(batch, 1):
+                y = to_matrix(part.column(1))
+                held[blk] = held.get(blk, 0.0) + y.sum(axis=0)
+        for blk, s in held.items():
+            yield pa.RecordBatch.from_arrays([pa.array([blk], pa.int32()), pa.array([1]), to_lists(s[None])], names=["blk", "n", "s"])
+
+    parts = blocks.select(F.col("blk").cast("int").alias("blk"), "seg").mapInArrow(run, "blk int, n bigint, s array<double>")
+    return {r["blk"]: np.asarray(r["s"]) / rows for r in add_blocks(parts, ["blk"], ["s"]).toLocalIterator()}
+
+
+def row_gram(
+    blocks: DataFrame, n: int, row: str = "row", centered: str = "none", side: int = 1024
+) -> DataFrame:
     """Sample-side Gram YYᵀ as rows ``(r, n, g array)`` with ``row`` = 0..n-1.
 
-    Column blocks are summed independently. ``centered="algebraic"`` removes the column means from
-    the Gram itself (G − r1ᵀ − 1rᵀ + ⟨μ,μ⟩) without a centred copy of the block; ``"direct"``
-    subtracts them first.
+    Rows are cut into blocks of ``side``. A task multiplies one pair of row blocks, the later with the
+    earlier, over a share of the column blocks, and holds two segments of them and one ``side`` square;
+    a row is copied once per row block. A row without some column block has zeros there. ``centered="algebraic"`` removes the column means from the Gram
+    itself (G − r1ᵀ − 1rᵀ + ⟨μ,μ⟩) without a centred copy of the block; ``"direct"`` subtracts them first.
     """
-    if n > DRIVER_SIDE:
-        raise ValueError(f"N={n} exceeds {DRIVER_SIDE}; use the D side or method='randomized'")
     if centered not in ("none", "algebraic", "direct"):
         raise ValueError(f"unknown centring {centered!r}")
+    spark = blocks.sparkSession
+    count = -(-n // side)
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    shares = max(1, tasks // (count * (count + 1) // 2))
+    means = _block_means(blocks, n) if centered != "none" else {}
+    every = float(sum(m @ m for m in means.values()))
+    mean = spark.sparkContext.broadcast(means)
+    own, other = F.floor(F.col(row) / side).cast("int"), F.col("_other")
+    dealt = (
+        blocks.select(own.alias("_own"), F.explode(F.sequence(F.lit(0), F.lit(count - 1))).alias("_other"), F.col(row).cast("int").alias("_at"), F.col("blk").cast("int").alias("blk"), "seg")
+        .select(F.least("_own", other).alias("i"), F.greatest("_own", other).alias("k"), F.pmod("blk", F.lit(shares)).alias("share"), "blk", "_at", "seg")
+    )
+    dealt = dealt.repartition(count * (count + 1) // 2 * shares, "i", "k", "share").sortWithinPartitions("i", "k", "share", "blk", "_at")
+
+    def multiply(batches):
+        cell, blk, held, total, seen = None, None, [], None, 0.0
+
+        def product():
+            nonlocal seen
+            seen += float(mean.value[blk] @ mean.value[blk]) if centered != "none" else 0.0
+            at, seg = np.concatenate([h[0] for h in held]), np.vstack([h[1] for h in held])
+            sides = []
+            for b in cell[:2]:
+                y = np.zeros((min(side, n - b * side), seg.shape[1]))
+                inside = at // side == b
+                y[at[inside] - b * side] = seg[inside]
+                sides.append(y)
+            a, c = sides
+            if centered == "direct":
+                a, c = a - mean.value[blk], c - mean.value[blk]
+            g = a @ c.T
+            if centered == "algebraic":
+                mu = mean.value[blk]
+                g += mu @ mu - (a @ mu)[:, None] - (c @ mu)[None, :]
+            return g
+
+        def record():
+            return pa.RecordBatch.from_arrays(
+                [pa.array([cell[0]], pa.int32()), pa.array([cell[1]], pa.int32()), pa.array([n]), to_lists(total.reshape(1, -1)), to_lists(np.array([[seen]]))],
+                names=["i", "k", "n", "g", "seen"],
+            )
 
-    def gram(pdf: pd.DataFrame) -> pd.DataFrame:
-        y = np.zeros((n, len(pdf["seg"].iloc[0])))
-        y[pdf[row].to_numpy()] = np.vstack(pdf["seg"].to_numpy())
-        if centered == "direct":
-            y -= y.mean(axis=0)
-        g = y @ y.T
-        if centered == "algebraic":
-            mu = y.mean(axis=0)
-            r = y @ mu
-            g += mu @ mu - r[:, None] - r[None, :]
-        return pd.DataFrame({"r": np.arange(n), "n": n, "g": list(g)})
-
-    parts = blocks.groupBy("blk").applyInPandas(gram, "r int, n bigint, g array<double>")
-
-    def same_rows(a, b):
-        return {"n": a["n"], "g": a["g"] + b["g"]}
+        for batch in batches:
+            for (i, k, share, b), part in runs(batch, 4):
+                if held and ((i, k, share) != cell or b != blk):
+                    total = product() if total is None else total + product()
+                    held = []
+                if (i, k, share) != cell:
+                    if total is not None:
+                        yield record()
+                    cell, total, seen = (i, k, share), None, 0.0
+                blk = b
+                held.append((part.column(4).to_numpy(), to_matrix(part.column(5))))
+        if held:
+            total = product() if total is None else total + product()
+            yield record()
+
+    squares = dealt.mapInArrow(multiply, "i int, k int, n bigint, g array<double>, seen array<double>")
+    if shares > 1:
+        squares = add_blocks(squares, ["i", "k"], ["g", "seen"])
+
+    def both_ways(batches):
+        for batch in batches:
+            for at in range(batch.num_rows):
+                i, k = (batch.column(c)[at].as_py() for c in (0, 1))
+                # column blocks that none of these rows have still count as minus their mean
+                g = batch.column(3)[at].values.to_numpy(zero_copy_only=False).reshape(min(side, n - i * side), -1)
+                g = g + (every - batch.column(4)[at].values.to_numpy(zero_copy_only=False)[0])
+                for first, second, m in ((i, k, g), (k, i, g.T))[: 1 if i == k else 2]:
+                    rows = first * side + np.arange(len(m))
+                    yield pa.RecordBatch.from_arrays([pa.array(rows, pa.int32()), pa.array(np.full(len(m), second, np.int32)), to_lists(m)], names=["r", "k", "seg"])
 
-    return add_blocks(parts, ["r"], ["g"], same_rows)
+    pieces = squares.mapInArrow(both_ways, "r int, k int, seg array<double>")
+    ordered = F.array_sort(F.collect_list(F.struct("k", "seg")))
+    return pieces.groupBy("r").agg(F.lit(n).cast("bigint").alias("n"), F.flatten(F.transform(ordered, lambda p: p["seg"])).alias("g"))
 
 
 def lift_directions(
-    blocks: DataFrame, vectors: np.ndarray, sigma: np.ndarray, row: str = "row", centered: bool = True
+    blocks: DataFrame, vectors: np.ndarray, sigma: np.ndarray, row: str = "row", centered: bool = True, strip: int = 512
 ) -> DataFrame:
-    """Directions ``(j, vec)`` = (YᵀU − μ(1ᵀU))/σ, one column block per group."""
-    share = blocks.sparkSession.sparkContext.broadcast((vectors, sigma))
-
-    def lift(pdf: pd.DataFrame) -> pd.DataFrame:
-        u, s = share.value
-        y = np.zeros((len(u), len(pdf["seg"].iloc[0])))
-        y[pdf[row].to_numpy()] = np.vstack(pdf["seg"].to_numpy())
-        v = y.T @ u
-        if centered:
-            v -= np.outer(y.mean(axis=0), u.sum(axis=0))
-        v /= s
-        return pd.DataFrame({"j": np.arange(len(s)), "blk": pdf["blk"].iloc[0], "seg": list(v.T)})
-
-    pieces = blocks.groupBy("blk").applyInPandas(lift, "j int, blk int, seg array<double>")
+    """Directions ``(j, vec)`` = (YᵀU − μ(1ᵀU))/σ.
+
+    The rows of U meet the rows of Y by a join, in strips of ``strip`` directions; a task holds the
+    products of one column block with one strip.
+    """
+    spark = blocks.sparkSession
+    count = -(-len(sigma) // strip)
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    u = spark.createDataFrame(pa.table({"_at": pa.array(np.arange(len(vectors)), pa.int64()), "_u": to_lists(vectors)}))
+    u = u.select("_at", F.explode(F.sequence(F.lit(0), F.lit(count - 1))).alias("strip"), "_u").withColumn("_u", F.slice("_u", F.col("strip") * strip + 1, strip))
+    lane = F.pmod(F.col(row), F.lit(max(1, tasks // count))).cast("int")
+    met = blocks.select(F.col(row).cast("long").alias("_at"), F.col("blk").cast("int").alias("blk"), "seg", lane.alias("lane")).join(u, "_at")
+    dealt = met.select("blk", "strip", "lane", "seg", "_u").repartition(tasks, "blk", "strip", "lane").sortWithinPartitions("blk", "strip", "lane")
+
+    def multiply(batches):
+        cell, held, total = None, None, None
+
+        def record():
+            return pa.RecordBatch.from_arrays(
+                [pa.array([cell[0]], pa.int32()), pa.array([cell[1]], pa.int32()), pa.array([1]), to_lists(held.reshape(1, -1)), to_lists(total[None])],
+                names=["blk", "strip", "n", "v", "y"],
+            )
+
+        for batch in batches:
+            for key, part in runs(batch, 3):
+                y, w = to_matrix(part.column(3)), to_matrix(part.column(4))
+                if key != cell:
+                    if cell is not None:
+                        yield record()
+                    cell, held, total = key, 0.0, 0.0
+                held, total = held + y.T @ w, total + y.sum(axis=0)
+        if cell is not None:
+            yield record()
+
+    parts = dealt.mapInArrow(multiply, "blk int, strip int, n bigint, v array<double>, y array<double>")
+    ones = vectors.sum(axis=0)
+
+    def finish(batches):
+        for batch in batches:
+            for at in range(batch.num_rows):
+                blk, s = (batch.column(c)[at].as_py() for c in range(2))
+                lo = s * strip
+                some = sigma[lo : lo + strip]
+                v = batch.column(3)[at].values.to_numpy(zero_copy_only=False).reshape(-1, len(some))
+                if centered:
+                    v = v - np.outer(batch.column(4)[at].values.to_numpy(zero_copy_only=False) / len(vectors), ones[lo : lo + strip])
+                js = lo + np.arange(len(some), dtype=np.int32)
+                yield pa.RecordBatch.from_arrays([pa.array(js), pa.array(np.full(len(js), blk, np.int32)), to_lists((v / some).T)], names=["j", "blk", "seg"])
+
+    pieces = add_blocks(parts, ["blk", "strip"], ["v", "y"]).mapInArrow(finish, "j int, blk int, seg array<double>")
     ordered = F.array_sort(F.collect_list(F.struct("blk", "seg")))
     return pieces.groupBy("j").agg(F.flatten(F.transform(ordered, lambda p: p["seg"])).alias("vec"))
 
@@ -211,7 +333,7 @@ def lift_directions(
 
 
 def choose_side(n: int, d: int) -> str:
-    """The smaller square side, or randomized when neither fits the driver."""
+    """The smaller square side, or the iteration when neither fits the driver."""
     if min(n, d) > DRIVER_SIDE:
         return "randomized"
     return "features" if d <= n else "samples"
@@ -237,29 +359,35 @@ def fit_basis(
     row: str | None = None,
     block: int = 512,
     oversample: int = 10,
-    passes: int = 6,
+    passes: int = 100,
     seed: int = 0,
+    tolerance: float = 1e-9,
 ) -> Basis:
-    """Directions of largest variance, descending, signs fixed.
+    """Directions of largest variance, descending, signs fixed; only those the sums can resolve.
 
     ``side``: ``features`` solves the D×D covariance, ``samples`` the N×N Gram (needs ``row``, the
-    0-based row position), ``randomized`` iterates a D×(k+p) subspace. Eigenvalues are those of the
-    covariance (``denom="n"``) or of the raw centred scatter (``denom="one"``).
+    0-based row position), ``randomized`` iterates a D×(k+p) space until every residual is below
+    ``tolerance`` of the largest eigenvalue, and fails if it is not after ``passes``. Whatever the side,
+    a direction stays if its singular value exceeds the largest by sqrt(max(N, D)·eps). Eigenvalues are
+    those of the covariance (``denom="n"``) or of the raw centred scatter (``denom="one"``). A sample side
+    that is too large for one machine is iterated as well.
     """
     spark = df.sparkSession
     d = width_of(df, col)
+    n = df.count() if side in ("auto", "samples") else None
     if side == "auto":
-        side = choose_side(df.count(), d)
+        side = choose_side(n, d)
+    residual, used = 0.0, 0
     if side == "features":
         scatter, mean, n = _assemble(centred_scatter(df, col, block), d, block)
         values, vectors = np.linalg.eigh(scatter)
-        order = np.argsort(-values, kind="stable")[:k]
-        values, rows = np.clip(values[order], 0.0, None), vectors[:, order].T
-        directions = _table(spark, rows, values / n if denom == "n" else values)
-    elif side == "samples":
+        order = np.argsort(-values, kind="stable")
+        values = np.clip(values[order], 0.0, None)
+        top = resolved(values, n, d)[:k]
+        directions = _table(spark, vectors[:, order[top]].T, values[top])
+    elif side == "samples" and n <= DRIVER_SIDE:
         if row is None:
             raise ValueError("the sample side needs the row position column")
-        n = df.count()
         pieces = to_blocks(df, row, col, max(block, 4096))
         gram = np.zeros((n, n))
         for r in row_gram(pieces, n, row, "direct").toLocalIterator():
@@ -267,70 +395,72 @@ def fit_basis(
         values, vectors = np.linalg.eigh((gram + gram.T) / 2)
         order = np.argsort(-values, kind="stable")
         values = np.clip(values[order], 0.0, None)
-        sigma = np.sqrt(values)
-        keep = sigma > sigma[0] * np.sqrt(max(n, d) * EPS64)
-        top = np.flatnonzero(keep)[: k or n]
-        lifted = lift_directions(pieces, vectors[:, order][:, top], sigma[top], row)
-        scaled = values[top] / n if denom == "n" else values[top]
-        eig = spark.createDataFrame(pd.DataFrame({"j": top.astype(np.int32), "eigval": scaled}))
+        top = resolved(values, n, d)[:k]
+        lifted = lift_directions(pieces, vectors[:, order[top]], np.sqrt(values[top]), row)
+        eig = spark.createDataFrame(pd.DataFrame({"j": top.astype(np.int32), "eigval": values[top]}))
         directions = lifted.join(F.broadcast(eig), "j").select("j", "vec", "eigval")
         mean = mean_vector(df, col)
-    elif side == "randomized":
+    elif side in ("randomized", "samples"):
         if k is None:
-            raise ValueError("the randomized fit needs k")
-        rows, values, mean, n = _subspace(df, col, d, k, oversample, passes, seed)
-        directions = _table(spark, rows, values / n if denom == "n" else values)
+            raise ValueError("a fit too large for one machine needs k")
+        mean = mean_vector(df, col)
+        n = df.count() if n is None else n
+        found = leading(df, col, mean, min(k, n), oversample, tolerance, passes, seed)
+        if not found.converged:
+            raise RuntimeError(f"residual {found.residuals.max()} above {tolerance} after {found.passes} passes")
+        top = resolved(found.values, n, d)
+        eig = spark.createDataFrame(pd.DataFrame({"j": top.astype(np.int32), "eigval": found.values[top]}))
+        directions = found.directions.join(F.broadcast(eig), "j").select("j", "vec", "eigval")
+        residual, used, values = float(found.residuals.max()), found.passes, found.values
     else:
         raise ValueError(f"unknown side {side!r}")
-    return Basis(canonical_sign(directions), mean, n)
+    if denom == "n":
+        directions = directions.withColumn("eigval", F.col("eigval") / n)
+    return Basis(canonical_sign(directions), mean, n, Fit(side, d, values[top], residual, used))
 
 
-def _subspace(df, col, d, k, oversample, passes, seed):
-    """Subspace iteration: each pass adds Σ (y−μ)((y−μ)ᵀQ) from per-task D×l partial sums."""
-    width = min(d, k + oversample)
-    if d * width * 8 > 512 * 1024 * 1024:
-        raise ValueError("D·(k+p) does not fit the driver; lower k")
-    sc = df.sparkSession.sparkContext
-    mean = mean_vector(df, col)
-    source = df.select(doubles(col).alias("y"))
-    q = np.linalg.qr(np.random.default_rng(seed).standard_normal((d, width)))[0]
-    strip = 4096
-
-    def apply(q):
-        share = sc.broadcast((q, mean))
-
-        def run(batches):
-            q, mu = share.value
-            z, n = np.zeros(q.shape), 0
-            for batch in batches:
-                if batch.num_rows:
-                    y = to_matrix(batch.column(0)) - mu
-                    z += y.T @ (y @ q)
-                    n += len(y)
-            for b, lo in enumerate(range(0, len(z), strip)):
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([b], pa.int32()), pa.array([n], pa.int64()),
-                     to_lists(z[lo : lo + strip].reshape(1, -1))],
-                    names=["b", "n", "seg"],
-                )
+def resolved(values: np.ndarray, n: int, d: int) -> np.ndarray:
+    """Numbers of the eigenvalues of a scatter, descending, that a sum in double precision tells from zero."""
+    sigma = np.sqrt(values)
+    return np.flatnonzero(sigma > (sigma[0] if len(sigma) else 0.0) * np.sqrt(max(n, d) * EPS64))
+
+
+class Complete(NamedTuple):
+    """``directions`` in canonical form with their ``cluster``, and one row of ``record``."""
 
-        parts = source.mapInArrow(run, "b int, n bigint, seg array<double>")
-        out, n = np.zeros(q.shape), 0
-        for r in add_blocks(parts, ["b"], ["seg"]).toLocalIterator():
-            lo = r["b"] * strip
-            out[lo : lo + strip] = np.asarray(r["seg"]).reshape(-1, width)
-            n = r["n"]
-        share.unpersist()
-        return out, n
-
-    for _ in range(passes):
-        z, n = apply(q)
-        q = np.linalg.qr(z)[0]
-    z, n = apply(q)
-    small = q.T @ z
-    values, vectors = np.linalg.eigh((small + small.T) / 2)
-    order = np.argsort(-values, kind="stable")[:k]
-    return (q @ vectors[:, order]).T, np.clip(values[order], 0.0, None), mean, n
+    directions: DataFrame
+    mean: np.ndarray
+    record: DataFrame
+
+
+def complete_basis(
+    df: DataFrame, col: str = "y", k: int | None = None, side: str = "auto", row: str | None = None,
+    denom: str = "n", threshold: float = 0.999, cluster_tolerance: float = 1e-10, tie: float = 1e-10, **fit,
+) -> Complete:
+    """Fit, cut at the resolved rank, turn clusters into their canonical form, and record how it went.
+
+    The energy rank is taken of the full energy Σ‖y−μ‖² of the rows, which no side of the fit changes, so
+    the record of the same rows is the same from every side. ``k_energy`` is null, with a status, where
+    the directions do not reach the threshold.
+    """
+    got = fit_basis(df, col, k, side, denom, row, **fit)
+    total = total_energy(df, col, got.mean)
+    directions = canonical_clusters(got.directions, cluster_tolerance, tie)
+    spectrum = df.sparkSession.createDataFrame(
+        pd.DataFrame({"j": np.arange(len(got.fit.values), dtype=np.int32), "eigval": got.fit.values})
+    )
+    tagged = cluster_ids(spectrum, cluster_tolerance).groupBy("cluster").agg(F.count(F.lit(1)).alias("m"))
+    sizes = tagged.agg(
+        F.count(F.lit(1)).alias("n_clusters"), F.max("m").alias("largest_cluster"), F.count_if(F.col("m") > 1).alias("n_degenerate")
+    )
+    record = energy_rank(spectrum, total, threshold).crossJoin(sizes).select(
+        F.lit(got.fit.side).alias("side"), F.lit(got.n).cast("long").alias("n"), F.lit(got.fit.width).cast("long").alias("d"),
+        F.lit(len(got.fit.values)).cast("long").alias("rank"), F.lit(float(np.sqrt(max(got.n, got.fit.width) * EPS64))).alias("rank_tolerance"),
+        F.lit(total).alias("total_energy"), F.lit(threshold).alias("threshold"), "k_energy", "resolved_fraction", "discarded_fraction",
+        "closure_residual", "status", F.lit(cluster_tolerance).alias("cluster_tolerance"), "n_clusters", "n_degenerate", "largest_cluster",
+        F.lit(got.fit.residual).alias("residual"), F.lit(got.fit.passes).cast("long").alias("passes"),
+    )
+    return Complete(directions, got.mean, record)
 
 
 # ------------------------------------------------------------------------ canonical form
@@ -530,7 +660,7 @@ def load_fixed_basis(
     if residual is None or not residual <= gate:
         raise ValueError(f"orthonormality residual {residual} above {gate}")
     if digest is not None:
-        found = collection_digest(basis, "vec", "j", "float64").first()["sha256"]
+        found = collection_digest(basis, "vec", "j", "float64").first()["root"]
         if found != digest:
             raise ValueError(f"basis digest {found} differs from {digest}")
     return basis

@@ -1,141 +1,246 @@
-"""Paired cluster bootstrap: one draw per replicate shared by every arm, seed and family."""
+"""Paired cluster bootstrap: one draw per replicate shared by every arm, seed and family.
+
+Clusters stand in blocks of ``BLOCK`` positions. A replicate first draws how many of its n draws fall
+into each block, then that many positions inside each: the same n equal chances, but a block needs
+nothing of the others. Every number is a function of (seed, replicate, block, counter), so a task makes
+the draws of its block where the errors of the block are, counts them into weights, and multiplies
+weights by errors. What is shuffled is replicates × blocks × cells, whatever the number of clusters.
+"""
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import hashlib
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
+from fieldgauge.functions.arrow import to_lists
 from fieldgauge.functions.ranking import ordered_position
 from fieldgauge.session import cut
 
 # Fixed values the results depend on.
 REPLICATES = 10_000
 SEED = 20260811
+BLOCK = 65_536
+# The counter-based generator Philox 2x32 of ten rounds: multiplier and key step.
+PHILOX, KEY_STEP, ROUNDS = 0xD256D193, 0x9E3779B9, 10
 
 PCG64_DRAWS = 2_000_000
-DRAWS_PER_TASK = 4_000_000
-CELLS = 2_000
+# Cells of one product, and replicates whose weights are held at once.
+CELLS = 16
+HELD = 32
+
+
+def key_of(seed: int, block: int) -> int:
+    return (seed * KEY_STEP + block + 1) % 2**32
+
+
+def numbers(seed: int, rep: int, block: int, m: int) -> np.ndarray:
+    """``m`` 64-bit numbers of one replicate and block, counters from 0; block -1 draws the blocks."""
+    low = np.uint64(0xFFFFFFFF)
+    c0, c1, key = np.arange(m, dtype=np.uint64), np.full(m, rep, np.uint64), key_of(seed, block)
+    for _ in range(ROUNDS):
+        product = c0 * np.uint64(PHILOX)
+        c0, c1 = (product >> np.uint64(32)) ^ np.uint64(key) ^ c1, product & low
+        key = (key + KEY_STEP) % 2**32
+    return (c0 << np.uint64(32)) | c1
+
+
+def block_counts(seed: int, rep: int, n: int, size: int = BLOCK) -> np.ndarray:
+    """How many of the n draws of a replicate fall into each block."""
+    count = -(-n // size)
+    if count == 1:
+        return np.array([n])
+    held = np.zeros(count, np.int64)
+    block = (numbers(seed, rep, -1, n) % np.uint64(n)).astype(np.int64) // size
+    return held + np.bincount(block, minlength=count)
+
+
+def block_draws(seed: int, rep: int, block: int, m: int, n: int, size: int = BLOCK) -> np.ndarray:
+    """``m`` positions inside a block, from 0."""
+    return (numbers(seed, rep, block, m) % np.uint64(min(size, n - block * size))).astype(np.int64)
+
+
+def _pcg64(seed: int, reps: int, n: int) -> np.ndarray:
+    if reps * n > PCG64_DRAWS:
+        raise ValueError("pcg64 serves parity checks; use draw='hash' at this size")
+    return np.random.Generator(np.random.PCG64(seed)).integers(0, n, size=(reps, n), dtype=np.int64)
+
+
+def _check_draw(draw: str, reps: int, n: int) -> None:
+    if draw not in ("hash", "pcg64"):
+        raise ValueError(f"unknown draw {draw!r}")
+    if draw == "pcg64" and reps * n > PCG64_DRAWS:
+        raise ValueError("pcg64 serves parity checks; use draw='hash' at this size")
+
+
+def _drawn(seed: int, reps: int, n: int, draw: str, size: int):
+    """A function of the replicate that yields its (block, positions from 0 over all clusters) in order."""
+    table: list = []
+
+    def of(rep: int) -> Iterator[tuple[int, np.ndarray]]:
+        if draw == "pcg64":
+            table[:] = table or [_pcg64(seed, reps, n)]
+            for lo in range(0, n, size):
+                yield lo // size, table[0][rep][lo : lo + size]
+            return
+        for block, m in enumerate(block_counts(seed, rep, n, size)):
+            yield block, block_draws(seed, rep, block, int(m), n, size) + block * size
+
+    return of
 
 
 def draws(
-    spark: SparkSession, n: int, reps: int = REPLICATES, seed: int = SEED, draw: str = "hash"
+    spark: SparkSession, n: int, reps: int = REPLICATES, seed: int = SEED, draw: str = "hash", size: int = BLOCK
 ) -> DataFrame:
     """``(rep, i, idx)``: n cluster positions per replicate, made where they are used.
 
-    ``hash``: first 60 bits of md5("seed:rep:i") modulo n. ``pcg64``: the ``(reps, n)`` integers of
-    NumPy's generator, for parity at small reps·n.
+    ``hash``: counter-based numbers per replicate and block, as the module says. ``pcg64``: the
+    ``(reps, n)`` integers of NumPy's generator, for parity at small reps·n.
     """
-    if draw == "hash":
-        tasks = max(spark.sparkContext.defaultParallelism, reps * n // DRAWS_PER_TASK)
-        base = spark.range(0, reps * n, 1, tasks).selectExpr(f"id div {n} AS rep", f"id % {n} AS i")
-        text = F.concat_ws(":", F.lit(str(seed)), F.col("rep").cast("string"), F.col("i").cast("string"))
-        # never null, and saying so keeps the join from hashing every draw twice to test it
-        number = F.coalesce(F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("long"), F.lit(0))
-        return base.select("rep", "i", (number % n).alias("idx"))
-    if draw != "pcg64":
-        raise ValueError(f"unknown draw {draw!r}")
-    if reps * n > PCG64_DRAWS:
-        raise ValueError("pcg64 serves parity checks; use draw='hash' at this size")
+    _check_draw(draw, reps, n)
+    of = _drawn(seed, reps, n, draw, size)
 
-    def make(frames):
-        table = None
-        for frame in frames:
-            if table is None:
-                stream = np.random.Generator(np.random.PCG64(seed))
-                table = stream.integers(0, n, size=(reps, n), dtype=np.int64)
-            rep = frame["id"].to_numpy()
-            yield pd.DataFrame(
-                {"rep": np.repeat(rep, n), "i": np.tile(np.arange(n), len(rep)), "idx": table[rep].ravel()}
-            )
-
-    return spark.range(reps).mapInPandas(make, "rep bigint, i bigint, idx bigint")
-
-
-def resample_digest(drawn: DataFrame) -> DataFrame:
-    """Digest of the ordered draws: one hash per replicate, then one over the replicates in order."""
-    from fieldgauge.operators.roles import split_digest
-
-    per_rep = drawn.groupBy("rep").agg(
-        F.sha2(
-            F.array_join(
-                F.transform(F.array_sort(F.collect_list(F.struct("i", "idx"))), lambda p: p["idx"].cast("string")),
-                ",",
-            ),
-            256,
-        ).alias("sha")
-    )
-    return split_digest(per_rep.withColumn("role", F.lit("draws")), "sha", ["role"], "rep").select(
-        F.col("n_keys").alias("replicates"), "sha256"
-    )
+    def make(batches):
+        for batch in batches:
+            for rep in batch.column(0).to_pylist():
+                at = 0
+                for _, idx in of(rep):
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(np.full(len(idx), rep)), pa.array(np.arange(at, at + len(idx))), pa.array(idx)], names=["rep", "i", "idx"]
+                    )
+                    at += len(idx)
+
+    tasks = min(reps, 4 * spark.sparkContext.defaultParallelism)
+    return spark.range(0, reps, 1, tasks).mapInArrow(make, "rep bigint, i bigint, idx bigint")
 
 
-def _wide_means(
-    errors: DataFrame, reps: int, seed: int, draw: str, by: Sequence[str], cluster: str, stored: bool
-) -> tuple[DataFrame, list]:
-    """``(rep, c0, c1, …)`` with one column per cell, and the cells.
+def resample_digest(
+    spark: SparkSession, n: int, reps: int = REPLICATES, seed: int = SEED, draw: str = "hash", size: int = BLOCK
+) -> DataFrame:
+    """Digest of the draws: a hash per block of a replicate, of the blocks of a replicate, of all replicates as a tree.
 
-    The error table is written once unless it is ``stored`` already, since its cells, its clusters
-    and its values are all read. Errors become one row per cluster position with a column per cell,
-    so a draw costs one join for all cells. Spark ships that table whole while it is small and
-    shuffles both sides on the position when it is not; sums are made before anything is grouped by
-    replicate.
+    Draws are hashed where they are made, so no array and no shuffle holds the draws of a replicate.
     """
-    spark = errors.sparkSession
-    if not stored:
-        errors = cut(errors.select(*by, cluster, "err"), "errors")
-    cells = errors.select(*by).distinct().limit(CELLS + 1).collect()
-    if len(cells) > CELLS:
-        raise ValueError(f"more than {CELLS} cells")
-    cells = sorted(cells, key=lambda r: tuple(str(v) for v in r))
-    ids = errors.select(cluster).distinct()
-    n = ids.count()
-    placed = ordered_position(ids, [], cluster, "idx", n=n)
-    match = [
-        F.max(F.when(_same(by, cell), F.col("err"))).alias(f"c{i}") for i, cell in enumerate(cells)
-    ]
-    wide = errors.groupBy(cluster).agg(*match, F.count(F.lit(1)).alias("_n"))
-    uneven = F.raise_error(F.lit("a cluster does not have exactly one error in every cell"))
-    wide = (
-        wide.withColumn("_ok", F.when(F.col("_n") != len(cells), uneven).otherwise(F.lit(True)))
-        .where("_ok")
-        .join(placed, cluster)
-        .drop(cluster, "_n", "_ok")
+    from fieldgauge.operators.roles import index_digest
+
+    _check_draw(draw, reps, n)
+    of = _drawn(seed, reps, n, draw, size)
+
+    def hashed(batches):
+        for batch in batches:
+            reps_ = batch.column(0).to_pylist()
+            whole = []
+            for rep in reps_:
+                blocks = [hashlib.sha256(",".join(map(str, idx.tolist())).encode()).hexdigest() for _, idx in of(rep)]
+                whole.append(hashlib.sha256("\n".join(blocks).encode()).hexdigest())
+            yield pa.RecordBatch.from_arrays([pa.array(reps_, pa.int64()), pa.array(whole, pa.string())], names=["rep", "sha"])
+
+    tasks = min(reps, 4 * spark.sparkContext.defaultParallelism)
+    per_rep = spark.range(0, reps, 1, tasks).mapInArrow(hashed, "rep bigint, sha string")
+    return index_digest(per_rep.withColumn("role", F.lit("draws")), "sha", ["role"], "rep").select(
+        F.col("n_keys").alias("replicates"), "root"
     )
-    drawn = draws(spark, n, reps, seed, draw).select("rep", "idx")
-    sums = drawn.join(wide, "idx").groupBy("rep").agg(
-        *[(F.sum(f"c{i}") / n).alias(f"c{i}") for i in range(len(cells))]
-    )
-    return sums, cells
 
 
 def replicate_means(
     errors: DataFrame, reps: int = REPLICATES, seed: int = SEED, draw: str = "hash",
-    by: Sequence[str] = ("arm", "seed"), cluster: str = "cluster", stored: bool = False,
+    by: Sequence[str] = ("arm", "seed"), cluster: str = "cluster", stored: bool = False, size: int = BLOCK,
 ) -> DataFrame:
-    """``(rep, *by, mse)``: the mean error of the drawn clusters in every cell."""
-    by = list(by)
-    sums, cells = _wide_means(errors, reps, seed, draw, by, cluster, stored)
-    pairs = F.explode(
-        F.array(
-            *[
-                F.struct(*[F.lit(cell[c]).alias(c) for c in by], F.col(f"c{i}").alias("mse"))
-                for i, cell in enumerate(cells)
-            ]
-        )
-    )
-    return sums.select("rep", pairs.alias("_p")).select("rep", "_p.*")
+    """``(rep, *by, mse)``: the mean error of the drawn clusters in every cell.
 
-
-def _same(by, cell):
-    out = F.lit(True)
+    The error table is written once unless it is ``stored`` already, since its cells, its clusters and
+    its values are all read. A task holds the errors of one block of clusters in up to ``CELLS`` cells and
+    goes through its share of the replicates.
+    """
+    spark, by = errors.sparkSession, list(by)
+    if not stored:
+        errors = cut(errors.select(*by, cluster, "err"), "errors")
+    order = Window.partitionBy(F.lit(0)).orderBy(*by)
+    cells = cut(errors.select(*by).distinct().withColumn("cell", (F.row_number().over(order) - 1).cast("long")), "cells")
+    m, ids = cells.count(), errors.select(cluster).distinct()
+    n = ids.count()
+    _check_draw(draw, reps, n)
+    if not n:
+        return cells.select(F.lit(None).cast("long").alias("rep"), *by, F.lit(None).cast("double").alias("mse"))
+    placed = ordered_position(ids, [], cluster, "idx", n=n)
+    named = cells.withColumnsRenamed({c: f"_{c}" for c in by})
+    same = F.lit(True)
     for c in by:
-        out = out & F.col(c).eqNullSafe(F.lit(cell[c]))
-    return out
+        same = same & F.col(c).eqNullSafe(F.col(f"_{c}"))
+    rows = errors.join(named, same).join(placed, cluster).select(
+        F.floor(F.col("idx") / size).cast("int").alias("block"), F.floor(F.col("cell") / CELLS).cast("int").alias("chunk"),
+        (F.col("idx") % size).cast("int").alias("at"), (F.col("cell") % CELLS).cast("int").alias("cell"), F.col("err").cast("double").alias("err"),
+    )
+
+    def pack(pdf: pd.DataFrame) -> pd.DataFrame:
+        block, chunk = int(pdf["block"].iloc[0]), int(pdf["chunk"].iloc[0])
+        shape = min(size, n - block * size), min(CELLS, m - chunk * CELLS)
+        slot = pdf["at"].to_numpy() * shape[1] + pdf["cell"].to_numpy()
+        if len(slot) != shape[0] * shape[1] or (np.bincount(slot, minlength=len(slot)) != 1).any():
+            raise ValueError("a cluster does not have exactly one error in every cell")
+        held = np.empty(len(slot))
+        held[slot] = pdf["err"].to_numpy()
+        return pd.DataFrame({"block": [block], "chunk": [chunk], "err": [held]})
+
+    packed = rows.groupBy("block", "chunk").applyInPandas(pack, "block int, chunk int, err array<double>")
+    blocks, chunks = -(-n // size), -(-m // CELLS)
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    lots = min(-(-reps // HELD), max(1, -(-2 * tasks // (blocks * chunks))))
+    per_lot = -(-reps // lots)
+    grid = packed.withColumn("lot", F.explode(F.sequence(F.lit(0), F.lit(lots - 1))))
+    if blocks > 1 and draw == "hash":
+
+        def count(batches):
+            for batch in batches:
+                for lot in batch.column(0).to_pylist():
+                    held = np.array([block_counts(seed, rep, n, size) for rep in range(lot * per_lot, min(reps, (lot + 1) * per_lot))])
+                    for block in range(blocks):
+                        yield pa.RecordBatch.from_arrays(
+                            [pa.array([lot], pa.int32()), pa.array([block], pa.int32()), pa.array([held[:, block].tolist()], pa.list_(pa.int64()))],
+                            names=["lot", "block", "counts"],
+                        )
+
+        counts = spark.range(0, lots, 1, lots).mapInArrow(count, "lot int, block int, counts array<bigint>")
+        grid = grid.join(counts, ["lot", "block"])
+    else:
+        grid = grid.withColumn("counts", F.lit(None).cast("array<bigint>"))
+    table: list = []
+
+    def product(batches):
+        for batch in batches:
+            for at in range(batch.num_rows):
+                lot, block, chunk = (batch.column(c)[at].as_py() for c in range(3))
+                width = min(size, n - block * size)
+                held = batch.column(3)[at].values.to_numpy(zero_copy_only=False).reshape(width, -1)
+                counts = batch.column(4)[at].as_py()
+                own = range(lot * per_lot, min(reps, (lot + 1) * per_lot))
+                for lo in range(0, len(own), HELD):
+                    some = own[lo : lo + HELD]
+                    weights = np.empty((len(some), width))
+                    for i, rep in enumerate(some):
+                        if draw == "pcg64":
+                            table[:] = table or [_pcg64(seed, reps, n)]
+                            idx = table[0][rep]
+                            idx = idx[idx // size == block] - block * size
+                        else:
+                            idx = block_draws(seed, rep, block, n if counts is None else counts[lo + i], n, size)
+                        weights[i] = np.bincount(idx, minlength=width)
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(np.asarray(some, np.int64)), pa.array(np.full(len(some), chunk, np.int32)), to_lists(weights @ held)], names=["rep", "chunk", "s"]
+                    )
+
+    dealt = grid.select("lot", "block", "chunk", "err", "counts").repartition(min(tasks, lots * blocks * chunks), "lot", "block", "chunk")
+    parts = dealt.mapInArrow(product, "rep bigint, chunk int, s array<double>")
+    each = parts.select("rep", "chunk", F.posexplode("s").alias("at", "s")).select("rep", (F.col("chunk") * CELLS + F.col("at")).cast("long").alias("cell"), "s")
+    if blocks > 1:
+        each = each.groupBy("rep", "cell").agg(F.sum("s").alias("s"))
+    return each.join(F.broadcast(cells) if m <= 10_000 else cells, "cell").select("rep", *by, (F.col("s") / n).alias("mse"))
 
 
 def interval(stats: DataFrame, col: str, by: Sequence[str], level: float = 0.95) -> DataFrame:
@@ -167,45 +272,25 @@ def replicate_stats(means: DataFrame, base: str = "dense", families: bool = Fals
     return medians.groupBy("rep", "arm").agg(F.max("stat").alias("stat"))
 
 
-def _middle(values: list) -> Column:
-    """Median of a fixed number of columns."""
-    ordered = F.array_sort(F.array(*values))
-    half = len(values) // 2
-    return ordered[half] if len(values) % 2 else (ordered[half - 1] + ordered[half]) / 2
-
-
 def paired_bootstrap(
     errors: DataFrame, base: str = "dense", reps: int = REPLICATES, seed: int = SEED,
-    draw: str = "hash", families: bool = False, stored: bool = False,
+    draw: str = "hash", families: bool = False, stored: bool = False, size: int = BLOCK,
 ) -> DataFrame:
-    """``(arm, lo, hi, replicates)``; a floor is an arm whose error does not depend on the seed.
-
-    A replicate is one row with a column per cell, so its ratios, medians and the maximum over
-    families are plain expressions and only the interval is aggregated.
-    """
-    by = ["family", "arm", "seed"] if families else ["arm", "seed"]
-    means, cells = _wide_means(errors, reps, seed, draw, by, "cluster", stored)
-    at: dict = {}
-    for i, cell in enumerate(cells):
-        at.setdefault(cell["family"] if families else None, {}).setdefault(cell["arm"], {})[cell["seed"]] = F.col(f"c{i}")
-    arms = sorted({cell["arm"] for cell in cells} - {base})
-    stats = []
-    for i, arm in enumerate(arms):
-        medians = []
-        for held in at.values():
-            if arm not in held or set(held[arm]) != set(held.get(base, {})):
-                raise ValueError(f"{arm}: seed sets differ from {base}")
-            medians.append(_middle([held[arm][s] / held[base][s] for s in held[arm]]))
-        stat = F.greatest(*medians) if len(medians) > 1 else medians[0]
-        stats.append(F.percentile(stat, F.array(F.lit(0.025), F.lit(0.975))).alias(f"q{i}"))
-    limits = means.agg(*stats, F.count(F.lit(1)).alias("replicates"))
-    rows = F.array(
-        *[
-            F.struct(F.lit(arm).alias("arm"), F.col(f"q{i}")[0].alias("lo"), F.col(f"q{i}")[1].alias("hi"))
-            for i, arm in enumerate(arms)
-        ]
-    )
-    return limits.select(F.explode(rows).alias("_r"), "replicates").select("_r.*", "replicates")
+    """``(arm, lo, hi, replicates)``; a floor is an arm whose error does not depend on the seed."""
+    family = ["family"] if families else []
+    by = [*family, "arm", "seed"]
+    if not stored:
+        errors, stored = cut(errors.select(*by, "cluster", "err"), "errors"), True
+    sets = errors.select(*by).distinct().groupBy(*family, "arm").agg(F.sort_array(F.collect_set("seed")).alias("seeds"))
+    of_base = sets.where(F.col("arm") == base).select(*family, F.col("seeds").alias("_base"))
+    beside = sets.join(of_base, family, "left") if families else sets.join(of_base, how="left")
+    uneven = beside.groupBy("arm").agg(F.bool_and(F.col("seeds").eqNullSafe(F.col("_base"))).alias("same"), F.count(F.lit(1)).alias("n"))
+    n = sets.select(*family, F.lit(1)).distinct().count()
+    bad = uneven.where(~F.col("same") | (F.col("n") != n)).first()
+    if bad is not None:
+        raise ValueError(f"{bad['arm']}: seed sets differ from {base}")
+    means = replicate_means(errors, reps, seed, draw, by, stored=True, size=size)
+    return interval(replicate_stats(means, base, families), "stat", ["arm"])
 
 
 def seed_bootstrap(

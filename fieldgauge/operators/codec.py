@@ -12,9 +12,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from fieldgauge.functions.arrow import append, to_lists, to_matrix, widened
+from fieldgauge.functions.blocks import add_runs, numbered, over_strips, strips
 from fieldgauge.functions.vectors import dot, doubles, minus
 from fieldgauge.session import BROADCAST_BYTES
 
+# Directions of one grid cell when all of them are too large to share.
+STRIP_BYTES = 64 * 1024 * 1024
+
 
 def kept_rows(basis: DataFrame, keep: Sequence[int] | None = None) -> np.ndarray | None:
     """The kept directions as a ``[K, D]`` matrix in the order of ``keep``, or None when too large.
@@ -58,17 +62,15 @@ def encode(
     outputs: Sequence[str] | None = None,
     row: Sequence[str] | None = None,
 ) -> DataFrame:
-    """Append c = (y−μ)B_Sᵀ for each column; a directions table too large to share goes by tiles."""
+    """Append c = (y−μ)B_Sᵀ for each column; directions too large to share go by strips.
+
+    ``row`` is not needed; rows are told apart by a number of their own.
+    """
     cols = [cols] if isinstance(cols, str) else list(cols)
     outputs = list(outputs or [f"c_{c}" if len(cols) > 1 else "coef" for c in cols])
     rows = kept_rows(basis, keep)
     if rows is None:
-        if row is None:
-            raise ValueError("the directions exceed the broadcast bound; name the row key columns")
-        out = df
-        for col, name in zip(cols, outputs):
-            out = encode_by_tiles(out, col, basis, mean, keep, name, row)
-        return out
+        return encode_by_strips(df, cols, basis, mean, keep, outputs)
     share = df.sparkSession.sparkContext.broadcast((rows, np.asarray(mean, dtype=np.float64)))
 
     def product(shared, *mats):
@@ -78,75 +80,77 @@ def encode(
     return _map(df, share, cols, outputs, product)
 
 
+# ------------------------------------------------------------ directions too large to share
+
+
+def _vectors(names: Sequence[str]) -> str:
+    return ", ".join(f"`{n}` array<double>" for n in names)
+
+
+def encode_by_strips(
+    df: DataFrame, cols: Sequence[str], basis: DataFrame, mean: np.ndarray,
+    keep: Sequence[int] | None = None, outputs: Sequence[str] = ("coef",), size: int | None = None,
+) -> DataFrame:
+    """``encode`` on the grid: each strip gives the coefficients of its directions, a row's strips are joined in order."""
+    held = numbered(df)
+    matrix = strips(basis, keep, STRIP_BYTES, size)
+    share = df.sparkSession.sparkContext.broadcast(np.asarray(mean, dtype=np.float64))
+
+    def product(s, b, own, *mats):
+        parts = [to_lists((m - share.value) @ b.T) for m in mats]
+        return pa.RecordBatch.from_arrays([own.column(0), pa.array(np.full(len(parts[0]), s, np.int32)), *parts], names=["_row", "_strip", *outputs])
+
+    parts = over_strips(held, ["_row"], cols, matrix, f"_row bigint, _strip int, {_vectors(outputs)}", product)
+    ordered = F.array_sort(F.collect_list(F.struct("_strip", *outputs)))
+    whole = parts.groupBy("_row").agg(ordered.alias("_p")).select(
+        "_row", *[F.flatten(F.col("_p").getField(o)).alias(o) for o in outputs]
+    )
+    return held.join(whole, "_row").select(*df.columns, *outputs)
+
+
 def encode_by_tiles(
     df: DataFrame, col: str, basis: DataFrame, mean: np.ndarray, keep: Sequence[int] | None,
-    output: str, row: Sequence[str], tile: int = 1024, rows_per_group: int = 8192,
+    output: str, row: Sequence[str] | None = None, tile: int = 1024,
 ) -> DataFrame:
-    """Encode when the directions cannot be broadcast: an equi-join of row groups and tiles.
+    """``encode_by_strips`` of one column by strips of ``tile`` directions."""
+    return encode_by_strips(df, [col], basis, mean, keep, [output], tile)
+
 
-    Field blocks of a bounded number of rows meet the matching column blocks of the directions;
-    partial coefficients of a row are added afterwards.
+def project_by_strips(
+    df: DataFrame, cols: Sequence[str], basis: DataFrame, mean: np.ndarray,
+    keep: Sequence[int] | None = None, outputs: Sequence[str] = ("projected",), size: int | None = None,
+    centred: bool = False,
+) -> DataFrame:
+    """``project`` on the grid: a cell encodes and decodes with its strip, a row's strips are added.
+
+    ``centred`` leaves the mean out of the result.
     """
-    row = list(row)
-    groups = max(1, -(-df.count() // rows_per_group))
+    held = numbered(df)
+    matrix = strips(basis, keep, STRIP_BYTES, size)
     share = df.sparkSession.sparkContext.broadcast(np.asarray(mean, dtype=np.float64))
-    positions = {int(j): p for p, j in enumerate(keep)} if keep is not None else None
-    dirs = basis if keep is None else basis.where(F.col("j").isin(list(positions)))
-    dirs = _cut(dirs.select("j", doubles("vec").alias("f")), tile).withColumn(
-        "_jt", F.floor(F.col("j") / tile).cast("int")
-    )
-    spread = F.explode(F.sequence(F.lit(0), F.lit(groups - 1)))
-    dirs = dirs.withColumn("_g", spread)
-    tiles = F.explode(F.array_distinct(F.array(*[F.lit(t) for t in _tiles(basis, tile)])))
-    fields = (
-        _cut(df.select(*row, doubles(col).alias("f")), tile)
-        .withColumn("_g", F.pmod(F.xxhash64(*row), F.lit(groups)).cast("int"))
-        .withColumn("_jt", tiles)
-    )
-    types = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in row)
-
-    def multiply(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        if left.empty or right.empty:
-            return pd.DataFrame({c: pd.Series([], dtype=object) for c in (*row, "_jt", "js", "part")})
-        right = right.sort_values("j")
-        lo = int(left["_blk"].iloc[0]) * tile
-        y = np.vstack(left["seg"].to_numpy())
-        y = y - share.value[lo : lo + y.shape[1]]
-        part = y @ np.vstack(right["seg"].to_numpy()).T
-        out = left[row].copy()
-        out["_jt"] = left["_jt"].to_numpy()
-        out["js"] = [right["j"].to_numpy()] * len(out)
-        out["part"] = list(part)
-        return out[[*row, "_jt", "js", "part"]]
-
-    keys = ["_g", "_blk", "_jt"]
-    parts = (
-        fields.groupBy(*keys)
-        .cogroup(dirs.groupBy(*keys))
-        .applyInPandas(multiply, f"{types}, _jt int, js array<int>, part array<double>")
-    )
-    cells = parts.select(*row, F.explode(F.arrays_zip("js", "part")).alias("_c")).groupBy(
-        *row, F.col("_c.js").alias("_j")
-    ).agg(F.sum("_c.part").alias("_v"))
-    at = F.col("_j") if positions is None else F.array_position(
-        F.array(*[F.lit(int(j)) for j in keep]), F.col("_j")
-    )
-    ordered = F.array_sort(F.collect_list(F.struct(at.alias("p"), F.col("_v").alias("v"))))
-    coef = cells.groupBy(*row).agg(F.transform(ordered, lambda p: p["v"]).alias(output))
-    return df.join(coef, row)
 
+    def lift(s, b, own, *mats):
+        parts = [to_lists(((m - share.value) @ b.T) @ b + (share.value if s == 0 and not centred else 0.0)) for m in mats]
+        return pa.RecordBatch.from_arrays([own.column(0), *parts], names=["_row", *outputs])
 
-def _cut(df: DataFrame, tile: int) -> DataFrame:
-    last = F.floor((F.size("f") - 1) / tile).cast("int")
-    others = [c for c in df.columns if c != "f"]
-    return df.withColumn("_blk", F.explode(F.sequence(F.lit(0), last))).select(
-        *others, "_blk", F.slice("f", F.col("_blk") * tile + 1, tile).alias("seg")
-    )
+    parts = over_strips(held, ["_row"], cols, matrix, f"_row bigint, {_vectors(outputs)}", lift)
+    return held.join(add_runs(parts, "_row", outputs), "_row").select(*df.columns, *outputs)
 
 
-def _tiles(basis: DataFrame, tile: int) -> list[int]:
-    top = basis.agg(F.max("j")).first()[0]
-    return list(range(top // tile + 1))
+def decode_by_strips(
+    df: DataFrame, col: str, basis: DataFrame, mean: np.ndarray, keep: Sequence[int] | None = None,
+    output: str = "field", size: int | None = None,
+) -> DataFrame:
+    """``decode`` on the grid: a cell gets only the coefficients of its strip."""
+    held = numbered(df)
+    matrix = strips(basis, keep, STRIP_BYTES, size)
+    share = df.sparkSession.sparkContext.broadcast(np.asarray(mean, dtype=np.float64))
+
+    def lift(s, b, own, c):
+        return pa.RecordBatch.from_arrays([own.column(0), to_lists(c @ b + (share.value if s == 0 else 0.0))], names=["_row", output])
+
+    parts = over_strips(held, ["_row"], [col], matrix, f"_row bigint, {_vectors([output])}", lift, part=True)
+    return held.join(add_runs(parts, "_row", [output]), "_row").select(*df.columns, output)
 
 
 def decode(
@@ -154,7 +158,9 @@ def decode(
     keep: Sequence[int] | None = None, output: str = "field",
 ) -> DataFrame:
     """Append ŷ = cB_S + μ."""
-    rows = _bounded(kept_rows(basis, keep))
+    rows = kept_rows(basis, keep)
+    if rows is None:
+        return decode_by_strips(df, col, basis, mean, keep, output)
     share = df.sparkSession.sparkContext.broadcast((rows, np.asarray(mean, dtype=np.float64)))
     return _map(df, share, [col], [output], lambda s, c: [c @ s[0] + s[1]])
 
@@ -164,7 +170,9 @@ def project(
     keep: Sequence[int] | None = None, output: str = "projected",
 ) -> DataFrame:
     """Append the projection of a field on the kept directions: encode and decode in one pass."""
-    rows = _bounded(kept_rows(basis, keep))
+    rows = kept_rows(basis, keep)
+    if rows is None:
+        return project_by_strips(df, [col], basis, mean, keep, [output])
     share = df.sparkSession.sparkContext.broadcast((rows, np.asarray(mean, dtype=np.float64)))
 
     def lift(shared, y):
@@ -174,19 +182,13 @@ def project(
     return _map(df, share, [col], [output], lift)
 
 
-def _bounded(rows: np.ndarray | None) -> np.ndarray:
-    if rows is None:
-        raise ValueError("the kept set exceeds the broadcast bound; decode it in parts of S")
-    return rows
-
-
 def encode_by_expression(
     df: DataFrame, col: str, basis: DataFrame, mean: np.ndarray, row: Sequence[str],
     keep: Sequence[int] | None = None, output: str = "coef",
 ) -> DataFrame:
     """The same coefficients by built-in array functions only; the second implementation in checks."""
-    rows = _bounded(kept_rows(basis, keep))
-    if rows.size > 65_536:
+    rows = kept_rows(basis, keep)
+    if rows is None or rows.size > 65_536:
         raise ValueError("the expression form serves small K·D")
     mu = F.lit(np.asarray(mean, dtype=np.float64))
     b = F.array(*[F.lit(r) for r in rows])
@@ -295,12 +297,3 @@ def store_sizes(spark: SparkSession, stores: Mapping[str, str]) -> DataFrame:
         )
         out = files if out is None else out.unionByName(files)
     return out
-
-
-def analytic_bytes(rows: Column | int, width: int, k: int) -> dict[str, Column]:
-    """Payload bytes of both forms with 4-byte floats and 4-byte indices."""
-    n = rows if isinstance(rows, Column) else F.lit(rows)
-    return {
-        "dense": n * width * 4,
-        "reduced": n * k * 4 + F.lit(k * width * 4 + width * 4 + k * 4),
-    }

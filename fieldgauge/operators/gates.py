@@ -6,13 +6,15 @@ import hashlib
 from collections.abc import Sequence
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from fieldgauge.functions.arrow import append
 from fieldgauge.functions.vectors import doubles, not_finite
-from fieldgauge.operators.roles import split_digest
+from fieldgauge.operators.roles import index_digest
 
 
 class GateFailed(RuntimeError):
@@ -246,25 +248,39 @@ _DTYPES = {"float32": "<f4", "float64": "<f8", "int32": "<i4", "int64": "<i8"}
 
 
 def array_digest(df: DataFrame, col: str, dtype: str = "float32", output: str = "sha256") -> DataFrame:
-    """Append the sha256 of a vector's little-endian bytes."""
-    code = _DTYPES[dtype]
+    """Append the sha256 of a vector's little-endian bytes; null for a null vector.
 
-    @F.pandas_udf(T.BinaryType())
-    def pack(values: pd.Series) -> pd.Series:
-        return values.map(lambda v: np.ascontiguousarray(v, dtype=code).tobytes())
-
-    return df.withColumn(output, F.sha2(pack(F.col(col)), 256))
+    The bytes of a batch are one buffer with the rows' offsets, hashed in the JVM.
+    """
+    code = np.dtype(_DTYPES[dtype])
+    schema = T.StructType([*df.schema.fields, T.StructField("_bytes", T.BinaryType())])
+
+    def pack(batches):
+        for batch in batches:
+            lists = batch.column(batch.schema.get_field_index(col))
+            flat = lists.flatten()
+            if flat.null_count:
+                raise ValueError("null element in a vector")
+            values = np.ascontiguousarray(flat.to_numpy(zero_copy_only=False), dtype=code)
+            sizes = np.nan_to_num(lists.value_lengths().to_numpy(zero_copy_only=False)).astype(np.int64)
+            at = np.append(0, np.cumsum(sizes)) * code.itemsize
+            held = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(lists), [None, pa.py_buffer(at.tobytes()), pa.py_buffer(values.tobytes())]).cast(pa.binary())
+            if lists.null_count:
+                held = pc.if_else(lists.is_valid(), held, pa.scalar(None, pa.binary()))
+            yield append(batch, {"_bytes": held})
+
+    return df.mapInArrow(pack, schema).withColumn(output, F.sha2("_bytes", 256)).drop("_bytes")
 
 
 def collection_digest(df: DataFrame, col: str, order: str, dtype: str = "float32", by: Sequence[str] = ()) -> DataFrame:
-    """A tree digest of all vectors in ``order``: hashes of rows, of chunks of rows, then of chunks.
+    """``(*by, n_keys, root)``: the index tree over the digests of all vectors, at the places ``order``.
 
     One hash over all bytes would be serial; this one is not, so the two differ in value.
     """
-    rows = array_digest(df, col, dtype, "_sha")
+    rows = array_digest(df.select(*by, order, col), col, dtype, "_sha")
     if not by:
         rows, by = rows.withColumn("role", F.lit("all")), ["role"]
-    return split_digest(rows, "_sha", by, order)
+    return index_digest(rows, "_sha", by, order)
 
 
 # ------------------------------------------------------------------------- record comparison

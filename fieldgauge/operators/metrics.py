@@ -11,8 +11,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from fieldgauge.functions.arrow import append, to_matrix, widened
-from fieldgauge.functions.vectors import doubles, squared_error
-from fieldgauge.operators.codec import kept_rows
+from fieldgauge.functions.blocks import strips
+from fieldgauge.functions.vectors import dot, doubles, minus, squared_error
+from fieldgauge.operators.codec import encode, kept_rows, project_by_strips
+from fieldgauge.session import cut
 
 
 def row_mse(y: str, pred: str) -> Column:
@@ -68,26 +70,46 @@ def mean_of_cluster_means(errors: DataFrame, by: Sequence[str] = ("arm", "seed")
     return errors.groupBy(*by).agg(F.avg("err").alias("mse"), F.count(F.lit(1)).alias("n_clusters"))
 
 
-def _rows(basis: DataFrame, keep) -> np.ndarray:
-    rows = kept_rows(basis, keep)
-    if rows is None:
-        raise ValueError("the kept set exceeds the broadcast bound")
-    return rows
+def _residuals(df: DataFrame, sources: Sequence[str], basis: DataFrame, mean: np.ndarray, keep: Sequence[int], outputs, fn) -> DataFrame:
+    """Row numbers from fields and their centred projections, made by strips of directions."""
+    inside = [f"_in{i}" for i in range(len(sources))]
+    wide = project_by_strips(df, sources, basis, mean, keep, inside, centred=True)
+    return _scalars(wide, np.asarray(mean), [*sources, *inside], outputs, fn)
+
+
+def _direction_gram(basis: DataFrame, keep: Sequence[int]) -> DataFrame:
+    """BBᵀ of the kept directions as a table ``(j, vec)`` of its rows, from pairs of row blocks."""
+    from fieldgauge.operators.basis import row_gram, to_blocks
+
+    matrix = strips(basis, keep)
+    rows = matrix.table.select(F.col("pos").cast("int").alias("row"), "vec")
+    gram = row_gram(to_blocks(rows, "row", "vec"), matrix.k)
+    return gram.select(F.col("r").alias("j"), F.col("g").alias("vec"))
 
 
 def coeff_loss(
     df: DataFrame, coef: str, pred: str, basis: DataFrame, keep: Sequence[int],
     by: Sequence[str] = ("seed",),
 ) -> DataFrame:
-    """Field MSE of the decoded error from coefficients alone: e·(BBᵀ)·eᵀ / (N·D)."""
-    b = _rows(basis, keep)
-    width = b.shape[1]
-
-    def form(gram, c, p):
-        e = c - p
-        return [((e @ gram) * e).sum(axis=1)]
+    """Field MSE of the decoded error from coefficients alone: e·(BBᵀ)·eᵀ / (N·D).
 
-    per_row = _scalars(df.select(*by, coef, pred), b @ b.T, [coef, pred], ["_q"], form)
+    Where the directions are too large to share only their K×K Gram meets the coefficients, by strips
+    if that is too large as well.
+    """
+    b = kept_rows(basis, keep)
+    if b is not None:
+        width = b.shape[1]
+
+        def form(gram, c, p):
+            e = c - p
+            return [((e @ gram) * e).sum(axis=1)]
+
+        per_row = _scalars(df.select(*by, coef, pred), b @ b.T, [coef, pred], ["_q"], form)
+    else:
+        width = basis.agg(F.max(F.size("vec"))).first()[0]
+        miss = df.select(*by, minus(doubles(coef), doubles(pred)).alias("_e"))
+        turned = encode(miss, "_e", cut(_direction_gram(basis, keep), "gram"), np.zeros(len(keep)), None, ["_ge"])
+        per_row = turned.select(*by, dot(F.col("_e"), F.col("_ge")).alias("_q"))
     return per_row.groupBy(*by).agg(
         (F.sum("_q") / (F.count(F.lit(1)) * width)).alias("mse"), F.count(F.lit(1)).alias("n_rows")
     )
@@ -105,7 +127,12 @@ def floor_rows(
 
     The kept set is used as given, never a prefix of the same size; no field is rebuilt.
     """
-    b = _rows(basis, keep)
+    b = kept_rows(basis, keep)
+    if b is None:
+        def rest(mu, field, inside):
+            return [((field - mu - inside) ** 2).mean(axis=1)]
+
+        return _residuals(df, [y], basis, mean, keep, [output], rest)
 
     def outside(shared, field):
         b, gram, mu = shared
@@ -122,7 +149,13 @@ def arm_rows(
 ) -> DataFrame:
     """Replace both vectors by the three row errors of a cell: ``dense``, ``reduced`` (the prediction
     projected on the kept directions) and ``floor`` (the field itself projected)."""
-    b = _rows(basis, keep)
+    b = kept_rows(basis, keep)
+    if b is None:
+        def by_parts(mu, truth, guess, inside, approx):
+            r = truth - mu
+            return [((truth - guess) ** 2).mean(axis=1), ((r - approx) ** 2).mean(axis=1), ((r - inside) ** 2).mean(axis=1)]
+
+        return _residuals(df, [y, pred], basis, mean, keep, ["dense", "reduced", "floor"], by_parts)
 
     def errors(shared, truth, guess):
         b, mu = shared
@@ -150,19 +183,27 @@ def decompose(
     by: Sequence[str] = ("seed",),
 ) -> DataFrame:
     """Error of the projected prediction = part outside the kept space + part inside; and the gap."""
-    b = _rows(basis, keep)
+    b = kept_rows(basis, keep)
 
-    def parts(shared, truth, guess):
-        b, mu = shared
-        r, p = truth - mu, guess - mu
-        inside, approx = (r @ b.T) @ b, (p @ b.T) @ b
+    def three(r, inside, approx):
         return [
             ((r - approx) ** 2).mean(axis=1),
             ((r - inside) ** 2).mean(axis=1),
             ((inside - approx) ** 2).mean(axis=1),
         ]
 
-    rows = _scalars(df.select(*by, y, pred), (b, np.asarray(mean)), [y, pred], ["_a", "_o", "_i"], parts)
+    def parts(shared, truth, guess):
+        b, mu = shared
+        r, p = truth - mu, guess - mu
+        return three(r, (r @ b.T) @ b, (p @ b.T) @ b)
+
+    if b is None:
+        rows = _residuals(
+            df.select(*by, y, pred), [y, pred], basis, mean, keep, ["_a", "_o", "_i"],
+            lambda mu, truth, guess, inside, approx: three(truth - mu, inside, approx),
+        )
+    else:
+        rows = _scalars(df.select(*by, y, pred), (b, np.asarray(mean)), [y, pred], ["_a", "_o", "_i"], parts)
     return rows.groupBy(*by).agg(
         F.avg("_a").alias("r_compact"), F.avg("_o").alias("r_perp"), F.avg("_i").alias("r_parallel")
     ).withColumn("closure", F.abs(F.col("r_compact") - F.col("r_perp") - F.col("r_parallel")))

@@ -5,13 +5,16 @@ from __future__ import annotations
 from collections.abc import Callable, Mapping, Sequence
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from fieldgauge.functions import ranking
+from fieldgauge.session import cut
 
-DIGEST_CHUNK = 65_536
+# Keys of a list that one row may hold for its published digest, and children of a node of an index tree.
+PLAIN_KEYS = 1_000_000
+FAN = 64
 PCG64_KEYS = 1_000_000
 
 
@@ -131,32 +134,105 @@ def split_ranges(ids: DataFrame, ranges: DataFrame, col: str) -> DataFrame:
 
 def split_digest(
     roles: DataFrame, key: str = "traj", by: Sequence[str] = ("role",), rank: str = "rank",
-    chunk: int = DIGEST_CHUNK,
+    form: str = "text", limit: int = PLAIN_KEYS,
 ) -> DataFrame:
-    """sha256 over the newline-joined keys in split order, without a trailing newline.
+    """The published digest of a key list in split order: one sha256 over the whole list.
 
-    A list longer than ``chunk`` is hashed chunk by chunk and the digests are hashed in order, so no
-    task holds the whole list.
+    ``form="text"`` hashes the newline-joined keys without a trailing newline, ``"int64"`` their 8-byte
+    little-endian integers. Either needs the list in one row, so a list above ``limit`` keys fails;
+    ``index_digest`` has no such bound.
     """
+    if form not in ("text", "int64"):
+        raise ValueError(f"form={form!r}: text or int64")
     by = list(by)
+    value = F.col(key).cast("string") if form == "text" else little_endian(F.col(key))
+    counted = roles.withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy(*by)))
+    long = F.raise_error(F.concat(F.lit(f"more than {limit} keys in one list; use index_digest: "), F.col("_n").cast("string")))
+    listed = counted.withColumn("_v", F.when(F.col("_n") > limit, long.cast("string")).otherwise(value))
+    ordered = F.array_sort(F.collect_list(F.struct(F.col(rank).alias("_at"), "_v")))
+    joined = F.array_join(F.transform(ordered, lambda p: p["_v"]), "\n" if form == "text" else "")
+    return listed.groupBy(*by).agg(
+        F.count(F.lit(1)).alias("n_keys"), F.sha2(joined if form == "text" else F.unhex(joined), 256).alias("sha256")
+    )
 
-    def joined(value):
-        ordered = F.array_sort(F.collect_list(F.struct(F.col("_at"), value.alias("_v"))))
-        return F.sha2(F.array_join(F.transform(ordered, lambda p: p["_v"]), "\n"), 256)
 
-    pieces = (
-        roles.withColumn("_at", F.col(rank))
-        .groupBy(*by, F.floor(F.col(rank) / chunk).alias("_chunk"))
-        .agg(joined(F.col(key).cast("string")).alias("_sha"), F.count(F.lit(1)).alias("_n"))
-    )
-    return (
-        pieces.withColumn("_at", F.col("_chunk"))
-        .groupBy(*by)
-        .agg(
-            F.sum("_n").alias("n_keys"),
-            F.when(F.count(F.lit(1)) == 1, F.first("_sha")).otherwise(joined(F.col("_sha"))).alias("sha256"),
+def little_endian(number) -> Column:
+    """The 8 bytes of a long, lowest first, as hex."""
+    digits = F.lpad(F.hex(number.cast("long")), 16, "0")
+    return F.concat(*[F.substring(digits, 2 * i + 1, 2) for i in range(7, -1, -1)])
+
+
+def _levels(roles: DataFrame, key: str, by: list[str], rank: str, fan: int) -> list[DataFrame]:
+    """The nodes ``(*by, _at, _h, _m)`` of each level, leaves first; ``_m`` counts the places of a list on that level."""
+    whole = Window.partitionBy(*by)
+    sizes = roles.groupBy(*by).agg((F.max(rank) + 1).cast("long").alias("_m"), F.min(rank).alias("_low"))
+    most = sizes.agg(F.max("_m").alias("most"), F.min("_low").alias("low")).first()
+    if most["low"] is not None and most["low"] < 0:
+        raise ValueError("places of a list count from 0")
+    nodes = roles.select(*by, F.col(rank).cast("long").alias("_at"), F.sha2(F.col(key).cast("string"), 256).alias("_h"))
+    nodes = nodes.withColumn("_m", F.max("_at").over(whole) + 1)
+    out, most = [nodes], most["most"] or 0
+    while most > 1:
+        run = F.when(F.col("_m") > 1, F.floor(F.col("_at") / fan)).otherwise(F.col("_at"))
+        ordered = F.array_sort(F.collect_list(F.struct("_at", "_h")))
+        joined = F.sha2(F.array_join(F.transform(F.col("_run"), lambda p: p["_h"]), "\n"), 256)
+        nodes = (
+            nodes.groupBy(*by, run.cast("long").alias("_up")).agg(ordered.alias("_run"), F.first("_m").alias("_m"))
+            .select(*by, F.col("_up").alias("_at"), F.when(F.col("_m") > 1, joined).otherwise(F.col("_run")[0]["_h"]).alias("_h"), F.ceil(F.col("_m") / fan).alias("_m"))
         )
-    )
+        out.append(nodes)
+        most = -(-most // fan)
+    return out
+
+
+def index_digest(roles: DataFrame, key: str = "traj", by: Sequence[str] = ("role",), rank: str = "rank", fan: int = FAN) -> DataFrame:
+    """``(*by, n_keys, root)``: the root of a tree over a list of any length, by one rule at every size.
+
+    A leaf is the sha256 of a key, at the place ``rank`` (from 0). Every ``fan`` neighbouring places have a
+    parent, the sha256 of their newline-joined digests; places without a key are left out. A list of one
+    key is its leaf. A task never holds more than ``fan`` digests.
+    """
+    by = list(by)
+    levels = _levels(roles, key, by, rank, fan)
+    counts = roles.groupBy(*by).agg(F.count(F.lit(1)).alias("n_keys"))
+    return counts.join(levels[-1].select(*by, F.col("_h").alias("root")), by)
+
+
+def index_proofs(
+    roles: DataFrame, key: str = "traj", by: Sequence[str] = ("role",), rank: str = "rank", fan: int = FAN, wanted: DataFrame | None = None,
+) -> DataFrame:
+    """``(*by, rank, path, root)``: what shows that a key is in the list whose root is published.
+
+    ``path`` has a step per level: the digests left and right of the node in its run, newline-joined.
+    ``wanted`` ``(*by, rank)`` asks for some of the keys only.
+    """
+    by = list(by)
+    levels = [cut(level, "levels") for level in _levels(roles, key, by, rank, fan)]
+    step = "struct<left:string,right:string>"
+    held = levels[-1].select(*by, "_at", F.array().cast(f"array<{step}>").alias("path"), F.col("_h").alias("root"))
+    for at in range(len(levels) - 2, -1, -1):
+        nodes = levels[at].withColumn("_up", F.when(F.col("_m") > 1, F.floor(F.col("_at") / fan)).otherwise(F.col("_at")).cast("long"))
+        if at == 0 and wanted is not None:
+            keys = wanted.select(*by, F.col(rank).cast("long").alias("_at"))
+            runs = nodes.join(keys, [*by, "_at"], "left_semi").select(*by, "_up").distinct()
+            nodes = nodes.join(runs, [*by, "_up"], "left_semi")
+        run = Window.partitionBy(*by, "_up").orderBy("_at")
+        near = lambda a, b: F.array_join(F.collect_list("_h").over(run.rowsBetween(a, b)), "\n")
+        beside = nodes.select(
+            *by, "_at", "_up", "_m", near(Window.unboundedPreceding, -1).alias("left"), near(1, Window.unboundedFollowing).alias("right")
+        )
+        if at == 0 and wanted is not None:
+            beside = beside.join(keys, [*by, "_at"], "left_semi")
+        own = F.when(F.col("_m") > 1, F.array(F.struct("left", "right"))).otherwise(F.array().cast(f"array<{step}>"))
+        above = held.withColumnsRenamed({"_at": "_up", "path": "_path"})
+        held = beside.join(above, [*by, "_up"]).select(*by, "_at", F.concat(own, "_path").alias("path"), "root")
+    return held.withColumnRenamed("_at", rank)
+
+
+def index_root(key: Column, path: Column) -> Column:
+    """The root a key and its path lead to."""
+    part = lambda text: F.when(text != "", text)
+    return F.aggregate(path, F.sha2(key.cast("string"), 256), lambda h, s: F.sha2(F.concat_ws("\n", part(s["left"]), h, part(s["right"])), 256))
 
 
 def check_disjoint(roles: DataFrame, key: Sequence[str] = ("family", "traj")) -> DataFrame:

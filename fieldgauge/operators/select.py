@@ -5,13 +5,17 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
+from fieldgauge.functions.arrow import to_lists, widened
+from fieldgauge.functions.blocks import numbered, over_strips, strips
 from fieldgauge.functions.sums import vector_sums
 from fieldgauge.functions.vectors import doubles
-from fieldgauge.operators.codec import encode, kept_rows
+from fieldgauge.operators import codec
+from fieldgauge.operators.codec import kept_rows
 from fieldgauge.operators.metrics import overall_mse
 
 # Fixed values the results depend on.
@@ -27,7 +31,8 @@ def direction_gain(
 
     Coefficients are reduced to sums inside the task that computes them; they never shuffle.
     ``with_mse`` adds ``mse``, the field error of the group, from the same reading of the rows.
-    ``row`` names columns that tell the rows apart; a basis too large to share cannot do without.
+    A basis too large to share goes by strips: a cell of the grid sums the squares of its directions, so
+    no coefficient leaves it. ``row`` is not needed for that.
     """
     by = list(by)
     b = kept_rows(basis)
@@ -48,8 +53,7 @@ def direction_gain(
         outputs = ["q", "e", "mse"] if with_mse else ["q", "e"]
         sums = vector_sums(typed, [y, pred], by, outputs, squares)
     else:
-        coded = encode(rows, [y, pred], basis, mean, outputs=["_c", "_p"], row=row)
-        sums = vector_sums(coded, ["_c", "_p"], by, ["q", "e"], lambda c, p: (c * c, (c - p) ** 2))
+        sums = _squares_by_strips(rows, y, pred, basis, mean, by)
     q, e = F.col("q") / F.col("n"), F.col("e") / F.col("n")
     out = [*by, "j", "n", q.alias("q"), e.alias("e"), (q - e).alias("gain")]
     if with_mse and b is not None:
@@ -61,6 +65,27 @@ def direction_gain(
     return gains
 
 
+def _squares_by_strips(rows: DataFrame, y: str, pred: str, basis: DataFrame, mean: np.ndarray, by: list) -> DataFrame:
+    """``(*by, j, n, q, e)`` sums on the grid of row lanes and strips of directions."""
+    held = numbered(rows.select(*by, y, pred))
+    matrix = strips(basis, limit=codec.STRIP_BYTES)
+    share, size = rows.sparkSession.sparkContext.broadcast(np.asarray(mean, dtype=np.float64)), matrix.size
+
+    def squares(s, b, own, truth, guess):
+        c, miss = (truth - share.value) @ b.T, (truth - guess) @ b.T
+        short = ((0, 0), (0, size - len(b)))  # the last strip may hold fewer directions
+        wide = [to_lists(np.pad(m * m, short)) for m in (c, miss)]
+        return pa.RecordBatch.from_arrays([*own.columns, pa.array(np.full(len(c), s, np.int32)), *wide], names=[*by, "_strip", "_q", "_e"])
+
+    schema = widened(held.select(*by).withColumn("_strip", F.lit(0)).schema, ["_q", "_e"])
+    cells = over_strips(held, by, [y, pred], matrix, schema, squares)
+    sums = vector_sums(cells, ["_q", "_e"], [*by, "_strip"], ["q", "e"], lambda q, e: (q, e))
+    place = (F.col("_strip") * size + F.col("j")).alias("_pos")
+    order = Window.partitionBy(F.lit(0)).orderBy("j")
+    names = basis.select("j", (F.row_number().over(order) - 1).cast("long").alias("_pos"))
+    return sums.select(*by, place.cast("long"), "n", "q", "e").join(names, "_pos").select(*by, "j", "n", "q", "e")
+
+
 def gain_order(gains: DataFrame, by: Sequence[str] = ("seed",)) -> DataFrame:
     """Add ``gpos`` (gain clipped at 0) and ``rank``: descending, the lower index first on a tie.
 

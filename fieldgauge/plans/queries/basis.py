@@ -8,6 +8,7 @@ from fieldgauge.functions.vectors import dot
 from fieldgauge.operators import basis as ops
 from fieldgauge.plans import tables, walk
 from fieldgauge.plans.queries.registry import query, rd
+from fieldgauge.session import cut
 
 
 @query(f"SELECT label, i AS j, count(*) AS n, {rd('avg(y)', 'mean')} FROM walk GROUP BY label, i")
@@ -104,11 +105,11 @@ def _moments(df, top="n"):
 
 
 # tr(C), tr(C²), tr(C³), tr(C⁴) determine the spectrum of a 4×4 covariance.
-_POWERS = f"""WITH c2 AS (SELECT a.i, b.k, sum(a.v * b.v) AS v FROM lic a JOIN lic b ON a.k = b.i GROUP BY a.i, b.k),
+_TRACES = """WITH c2 AS (SELECT a.i, b.k, sum(a.v * b.v) AS v FROM lic a JOIN lic b ON a.k = b.i GROUP BY a.i, b.k),
     c3 AS (SELECT a.i, b.k, sum(a.v * b.v) AS v FROM c2 a JOIN lic b ON a.k = b.i GROUP BY a.i, b.k),
     tr AS (SELECT (SELECT sum(v) FROM lic WHERE i = k) AS m1, (SELECT sum(v) FROM c2 WHERE i = k) AS m2,
-    (SELECT sum(v) FROM c3 WHERE i = k) AS m3, (SELECT sum(a.v * b.v) FROM c2 a JOIN c2 b ON a.i = b.k AND a.k = b.i) AS m4)
-    SELECT {rd("m1", "m1")}, {rd("m2 / m1 ** 2", "m2")}, {rd("m3 / m1 ** 3", "m3")}, {rd("m4 / m1 ** 4", "m4")} FROM tr"""
+    (SELECT sum(v) FROM c3 WHERE i = k) AS m3, (SELECT sum(a.v * b.v) FROM c2 a JOIN c2 b ON a.i = b.k AND a.k = b.i) AS m4)"""
+_POWERS = f"""{_TRACES} SELECT {rd("m1", "m1")}, {rd("m2 / m1 ** 2", "m2")}, {rd("m3 / m1 ** 3", "m3")}, {rd("m4 / m1 ** 4", "m4")} FROM tr"""
 
 
 @query(_POWERS)
@@ -118,7 +119,81 @@ def basis_spectrum(spark, sf):
 
 @query(_POWERS)
 def basis_spectrum_randomized(spark, sf):
-    return _moments(ops.fit_basis(tables.matrix(spark, sf), k=4, side="randomized", passes=3).directions)
+    return _moments(ops.fit_basis(tables.matrix(spark, sf), k=4, side="randomized").directions)
+
+
+# Two copies of the centred lineitem matrix side by side, one a little longer, and a faint third: pairs of close eigenvalues.
+_EPS = 1e-4
+
+
+@query(f"""{_TRACES}, w AS (SELECT m1, m2, m3, m4, 1 + (1 + {_EPS}) ** 2 AS a, 1 + (1 + {_EPS}) ** 4 AS b, 1 + (1 + {_EPS}) ** 6 AS c, 1 + (1 + {_EPS}) ** 8 AS d FROM tr)
+    SELECT {rd("m1 * a", "m1")}, {rd("m2 * b / (m1 * a) ** 2", "m2")}, {rd("m3 * c / (m1 * a) ** 3", "m3")}, {rd("m4 * d / (m1 * a) ** 4", "m4")},
+    8 AS rank, true AS within FROM w""")
+def basis_iterated(spark, sf):
+    """Eight of sixteen directions by iteration: every eigenvalue has a neighbour 2e-4 away."""
+    rows = tables.matrix(spark, sf)
+    mean = ops.mean_vector(rows, "y")
+    centre = F.zip_with("y", F.lit(mean), lambda a, b: a - b)
+
+    def placed(at, factor):
+        zeros = lambda m: F.array_repeat(F.lit(0.0), m)
+        return F.concat(zeros(4 * at), F.transform(F.col("c"), lambda v: v * F.lit(factor)), zeros(12 - 4 * at))
+
+    wide = rows.select(centre.alias("c")).select(F.explode(F.array(placed(0, 1.0), placed(1, 1.0 + _EPS), placed(2, 0.01))).alias("y"))
+    got = ops.fit_basis(wide, k=8, side="randomized", oversample=1, denom="one")
+    return _moments(got.directions.withColumn("eigval", F.col("eigval") * 3 / got.n)).select(
+        "*", F.lit(got.fit.values.size).cast("long").alias("rank"), F.lit(got.fit.residual <= 1e-9).alias("within")
+    )
+
+
+# Three order features on planes of their own: the scatter is V·1 on each plane, so every eigenvalue is double and the
+# eigensolver may turn its two directions at will; the canonical ones are the axes. Six of twelve entries stay empty.
+_FEATURES = """SELECT f, sum((v - m) * (v - m)) AS e, count(*) AS n FROM (SELECT f, v, avg(v) OVER (PARTITION BY f) AS m FROM (
+    SELECT unnest([0, 1, 2]) AS f, unnest([o_totalprice / 10000, (o_orderkey % 7)::DOUBLE, (o_custkey % 5)::DOUBLE]) AS v FROM orders)) GROUP BY f"""
+_SIDES = ("features", "samples", "randomized")
+
+
+def _planes(spark, sf):
+    orders = tables.read(spark, sf, "orders")
+    v = F.array((F.col("o_totalprice") / 10000).cast("double"), (F.col("o_orderkey") % 7).cast("double"), (F.col("o_custkey") % 5).cast("double"))
+    rows = orders.select(v.alias("y"))
+    mean = ops.mean_vector(rows, "y")
+    half = 0.5**0.5
+
+    def field(f, sign):
+        c = (F.col("y")[f] - float(mean[f])) * half
+        return F.array(*[c if i == f else sign * c if i == f + 4 else F.lit(0.0) for i in range(12)])
+
+    return rows.select(F.explode(F.array(*[field(f, sign) for f in range(3) for sign in (1.0, -1.0)])).alias("y"))
+
+
+@query(f"""WITH v AS MATERIALIZED ({_FEATURES}), d AS (SELECT e, f, unnest([0, 1]) AS t, n FROM v),
+    c AS (SELECT row_number() OVER (ORDER BY e DESC, f, t) AS k, sum(e) OVER (ORDER BY e DESC, f, t) / (SELECT sum(e) FROM d) AS part FROM d)
+    SELECT side, 6 * (SELECT max(n) FROM v) AS n, 12 AS d, 6 AS rank, {rd("(SELECT sum(e) FROM d) / 1000", "total_energy", 4)},
+    (SELECT min(k) FROM c WHERE part >= 0.7) AS k_energy, 'exact' AS status, 3 AS n_clusters, 3 AS n_degenerate, 2 AS largest_cluster, true AS within
+    FROM (SELECT unnest(['features', 'samples', 'randomized']) AS side)""", digits=4)
+def complete_fit(spark, sf):
+    """Rank, energy rank and clusters of the same fields from three sides."""
+    fields = cut(_planes(spark, sf), "planes")
+    out = None
+    for side in _SIDES:
+        # the record must not depend on the side, and the sample side is too large for one machine here
+        rows = fields.withColumn("row", F.monotonically_increasing_id()) if side == "samples" else fields
+        record = ops.complete_basis(rows, k=8, side=side, row="row", threshold=0.7, oversample=2, cluster_tolerance=1e-9).record
+        record = record.select(
+            "side", "n", "d", "rank", (F.col("total_energy") / 1000).alias("total_energy"), "k_energy", "status", "n_clusters", "n_degenerate",
+            "largest_cluster", ((F.col("residual") <= 1e-9) & (F.col("closure_residual") < 1e-9)).alias("within"),
+        )
+        out = record if out is None else out.unionByName(record)
+    return out
+
+
+@query(f"""WITH v AS ({_FEATURES}), r AS (SELECT f, row_number() OVER (ORDER BY e DESC) - 1 AS rank FROM v)
+    SELECT 2 * rank + t AS j, f + 4 * t AS i, 1.0::DOUBLE AS v FROM r CROSS JOIN (SELECT unnest([0, 1]) AS t)""")
+def complete_directions(spark, sf):
+    """The canonical directions are axes, whatever pair of directions the iteration ended with."""
+    got = ops.complete_basis(_planes(spark, sf), k=6, side="randomized", oversample=2, cluster_tolerance=1e-9)
+    return got.directions.select("j", F.posexplode("vec").alias("i", "v")).where(F.abs("v") > 1e-7)
 
 
 @query(f"SELECT i, k, {rd('v', 'value')} FROM lic")

@@ -21,7 +21,7 @@ def encode(spark, sf):
 def encode_by_tiles(spark, sf):
     w = walk.study(spark, sf)
     coded = ops.encode_by_tiles(
-        w.fields.select("vec_id", "y"), "y", w.basis, w.mean, None, "coef", ["vec_id"], tile=24, rows_per_group=128
+        w.fields.select("vec_id", "y"), "y", w.basis, w.mean, None, "coef", tile=24
     )
     return coded.select("vec_id", F.posexplode("coef").alias("pos", "c"))
 
@@ -52,6 +52,15 @@ def project(spark, sf):
     )
 
 
+@query(f"""SELECT c.seed, c.vec_id, d.i, {rd("m.m + sum(c.ch * d.b)", "v")} FROM pcoef c JOIN {_KEPT} ON s.j = c.j JOIN dct d ON d.j = c.j
+    JOIN mu m ON m.i = d.i GROUP BY c.seed, c.vec_id, d.i, m.m""")
+def project_by_strips(spark, sf):
+    w = walk.study(spark, sf)
+    pred = walk.predictions(w).select("seed", "vec_id", "p")
+    lifted = ops.project_by_strips(pred, ["p"], w.basis, w.mean, KEEP, size=2)
+    return lifted.select("seed", "vec_id", F.posexplode("projected").alias("i", "v"))
+
+
 @query("""SELECT seed, 'gain' AS arm, rank AS pos, j FROM ord WHERE rank < 16 UNION ALL
     SELECT seed, 'gain_next', rank, j FROM ord WHERE rank < 32 UNION ALL
     SELECT seed, 'pod_prefix', j, j FROM ord WHERE j < 16""")

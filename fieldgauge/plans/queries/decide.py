@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from fieldgauge.operators import decide as ops
 from fieldgauge.plans import qualify as plan
 from fieldgauge.plans import tables, walk
-from fieldgauge.plans.queries.registry import draw, query, rd
+from fieldgauge.plans.queries.registry import draws, query, rd
 
 
 def _ratios(spark, sf):
@@ -154,7 +154,7 @@ def interval_placement(spark, sf):
 
 # The draws of the walk study run over label clusters.
 _WALK_BOOT = f"""lab AS (SELECT cluster, row_number() OVER (ORDER BY cluster) - 1 AS idx, count(*) OVER () AS n FROM (SELECT DISTINCT cluster FROM cells)),
-    dw AS (SELECT r.rep, {draw("r.rep", "l.idx", "l.n")} AS idx FROM (SELECT unnest(range(10000)) AS rep) r CROSS JOIN lab l),
+    dw AS ({draws("SELECT DISTINCT n FROM lab")}),
     rm AS (SELECT d.rep, c.arm, c.seed, avg(c.err) AS mse FROM dw d JOIN lab l ON l.idx = d.idx JOIN cells c ON c.cluster = l.cluster GROUP BY ALL),
     st AS (SELECT a.rep, a.arm, median(a.mse / b.mse) AS s FROM rm a JOIN rm b ON b.rep = a.rep AND b.seed = a.seed AND b.arm = 'dense' WHERE a.arm <> 'dense' GROUP BY ALL),
     ci AS (SELECT arm, quantile_cont(s, 0.025) AS lo, quantile_cont(s, 0.975) AS hi FROM st GROUP BY arm),

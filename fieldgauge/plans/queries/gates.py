@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from fieldgauge.functions import ranking
 from fieldgauge.operators import gates as ops
 from fieldgauge.plans import qualify, tables, walk
-from fieldgauge.plans.queries.registry import query
+from fieldgauge.plans.queries.registry import query, tree_sql
 
 
 @query()
@@ -150,7 +150,8 @@ def vector_digests(spark, sf):
     return ops.array_digest(tables.read(spark, sf, "embeddings"), "embedding").select("vec_id", "sha256")
 
 
-@query(f"""SELECT label, count(*) AS n_keys, sha256(string_agg(sha256, chr(10) ORDER BY vec_id)) AS sha256 FROM ({_DIGESTS}) GROUP BY label""")
+@query(f"""WITH RECURSIVE d AS ({_DIGESTS}), {tree_sql("SELECT label AS g, row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS pos, sha256 AS key FROM d")}
+    SELECT g AS label, n_keys, root FROM tree""")
 def collection_digest(spark, sf):
     placed = ranking.ordered_position(tables.read(spark, sf, "embeddings"), ["label"], "vec_id", "pos")
     return ops.collection_digest(placed, "embedding", "pos", by=["label"])

@@ -9,6 +9,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from fieldgauge.operators import boot, roles
 from fieldgauge.session import shared_folder, ship_package
 
 TABLE: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -56,9 +57,31 @@ def rd(expr: str, name: str, digits: int = 6) -> str:
     return f"round(({expr})::DOUBLE, {digits}) + 0.0::DOUBLE AS {name}"
 
 
-def draw(rep: str, i: str, n: str) -> str:
-    """The hash draw of a replicate as SQL."""
-    return f"('0x' || substr(md5('20260811:' || {rep} || ':' || {i}), 1, 15))::BIGINT % {n}"
+def _numbers(source: str, out: str) -> str:
+    """The 64-bit numbers of (rep, block, counter t) as a column."""
+    low = 4294967295
+    source = f"""SELECT *, t::UBIGINT AS c0, rep::UBIGINT AS c1, ({boot.key_of(boot.SEED, 0)} + block)::UBIGINT AS key FROM ({source})"""
+    for at in range(boot.ROUNDS):
+        product, key = f"(c0 * {boot.PHILOX})", f"((key + {at * boot.KEY_STEP % 2**32}) & {low})"
+        source = f"SELECT * REPLACE (xor(xor({product} >> 32, {key}), c1) AS c0, {product} & {low} AS c1) FROM ({source})"
+    return f"SELECT * EXCLUDE (c0, c1, key), (c0 << 32) | c1 AS {out} FROM ({source})"
+
+
+def draws(sizes: str, reps: int = boot.REPLICATES) -> str:
+    """``n, rep, block, t, idx``: the draws of all replicates for every ``n`` of ``sizes``."""
+    per_rep = f"SELECT n, unnest(range({reps})) AS rep FROM ({sizes})"
+    above = f"SELECT n, rep, -1 AS block, unnest(range(n)) AS t FROM ({per_rep}) WHERE n > {boot.BLOCK}"
+    counts = f"""SELECT n, rep, 0 AS block, n AS m FROM ({per_rep}) WHERE n <= {boot.BLOCK} UNION ALL SELECT n, rep, b AS block, count(*) AS m
+        FROM (SELECT n, rep, (v % n::UBIGINT)::BIGINT // {boot.BLOCK} AS b FROM ({_numbers(above, "v")})) GROUP BY ALL"""
+    each = f"SELECT n, rep, block, unnest(range(m)) AS t FROM ({counts})"
+    return f"""SELECT n, rep, block, t, block * {boot.BLOCK} + (v % least({boot.BLOCK}, n - block * {boot.BLOCK})::UBIGINT)::BIGINT AS idx FROM ({_numbers(each, "v")})"""
+
+
+def tree_sql(leaves: str, fan: int = roles.FAN) -> str:
+    """Recursive CTEs ``lv`` (all nodes) and ``tree (g, n_keys, root)`` over ``leaves`` ``(g, pos, key)``."""
+    return f"""lv AS (SELECT g, 0 AS lvl, pos, sha256(key::VARCHAR) AS h, max(pos) OVER (PARTITION BY g) + 1 AS m FROM ({leaves}) UNION ALL
+        SELECT g, lvl + 1, pos // {fan}, sha256(string_agg(h, chr(10) ORDER BY pos)), (m + {fan} - 1) // {fan} FROM lv WHERE m > 1 GROUP BY g, lvl, m, pos // {fan}),
+    tree AS (SELECT g, count(*) FILTER (lvl = 0) AS n_keys, arg_max(h, lvl) AS root FROM lv GROUP BY g)"""
 
 
 # ------------------------------------------------------------------------------ fragments
@@ -160,9 +183,8 @@ FRAGMENTS: dict[str, str] = {
     "errgrid": """SELECT family, arm, seed, cluster, avg(v) AS err FROM (SELECT family, seed, cluster, unnest(['dense', 'reduced']) AS arm,
         unnest([dense, reduced]) AS v FROM runs) GROUP BY ALL""",
     "place": "SELECT cluster, row_number() OVER (ORDER BY cluster) - 1 AS idx, count(*) OVER () AS n FROM (SELECT DISTINCT o_custkey AS cluster FROM orders)",
-    "drawn": f"""SELECT r.rep, i.i, {draw("r.rep", "i.i", "i.n")} AS idx
-        FROM (SELECT unnest(range(400)) AS rep) r CROSS JOIN (SELECT idx AS i, n FROM place) i""",
-    "repmse": """SELECT d.rep, g.family, g.arm, g.seed, avg(g.err) AS mse FROM drawn d JOIN place p ON p.idx = d.idx
+    "drawn": f"SELECT rep, idx, count(*) AS w, any_value(n) AS n FROM ({draws('SELECT DISTINCT n FROM place')}) GROUP BY rep, idx",
+    "repmse": """SELECT d.rep, g.family, g.arm, g.seed, sum(d.w * g.err) / any_value(d.n) AS mse FROM drawn d JOIN place p ON p.idx = d.idx
         JOIN errgrid g ON g.cluster = p.cluster GROUP BY ALL""",
     "famse": """SELECT family, arm, seed, avg(v) AS mse FROM (SELECT priority AS family, seed, unnest(['dense', 'reduced', 'pod']) AS arm,
         unnest([dense, reduced, reduced * 1.01::DOUBLE]) AS v FROM runs WHERE family = 'mix') GROUP BY ALL""",

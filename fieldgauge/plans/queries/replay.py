@@ -77,6 +77,6 @@ def study_report(spark, sf):
     for family in ("mix", "step"):
         errors = grid.where(F.col("family") == family).drop("family")
         points = decide.quality_point(decide.seed_ratios(metrics.mean_of_cluster_means(errors).drop("n_clusters")))
-        limits = boot.paired_bootstrap(errors, reps=400)
+        limits = boot.paired_bootstrap(errors)
         results[family] = points.join(limits, "arm").withColumn("floor", F.col("point") * 0.9)
     return ops.report(results)

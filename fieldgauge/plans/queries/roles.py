@@ -5,7 +5,8 @@ from pyspark.sql import functions as F
 from fieldgauge.functions import ranking
 from fieldgauge.operators import roles as ops
 from fieldgauge.plans import tables, walk
-from fieldgauge.plans.queries.registry import query, rd, scratch
+from fieldgauge.plans.queries.registry import query, rd, scratch, tree_sql
+from fieldgauge.session import cut
 
 
 @query("SELECT family, traj, role, rank FROM roles")
@@ -57,6 +58,39 @@ def split_digest(spark, sf):
     return ops.split_digest(tables.trajectory_roles(spark, sf), by=["family", "role"])
 
 
+@query("""SELECT family, role, count(*) AS n_keys, sha256(unhex(string_agg(h[15:16] || h[13:14] || h[11:12] || h[9:10] || h[7:8] || h[5:6] || h[3:4] || h[1:2], '' ORDER BY rank))) AS sha256
+    FROM (SELECT family, role, rank, printf('%016x', traj) AS h FROM roles) GROUP BY family, role""")
+def split_digest_int64(spark, sf):
+    return ops.split_digest(tables.trajectory_roles(spark, sf), by=["family", "role"], form="int64")
+
+
+# All orders of a priority as one list in key order.
+_ORDERS = "SELECT o_orderpriority AS g, row_number() OVER (PARTITION BY o_orderpriority ORDER BY o_orderkey) - 1 AS pos, o_orderkey AS key FROM orders"
+
+
+def _listed_orders(spark, sf):
+    rows = tables.read(spark, sf, "orders").select(F.col("o_orderpriority").alias("role"), "o_orderkey")
+    return ranking.ordered_position(rows, ["role"], "o_orderkey")
+
+
+@query(f"WITH RECURSIVE {tree_sql(_ORDERS)} SELECT g AS role, n_keys, root FROM tree")
+def index_digest(spark, sf):
+    return ops.index_digest(_listed_orders(spark, sf), "o_orderkey")
+
+
+@query(f"""WITH RECURSIVE {tree_sql(_ORDERS)}, o AS ({_ORDERS}) SELECT g AS role, key AS o_orderkey, root, key % 7 <> 0 AS verified,
+    (SELECT max(lvl) FROM lv x WHERE x.g = tree.g AND x.lvl > 0) AS steps FROM o JOIN tree USING (g) WHERE key % 100 = 0 OR key % 7 = 0""")
+def index_proofs(spark, sf):
+    """Proofs of every hundredth order, and of every seventh, whose key was changed afterwards."""
+    held = cut(_listed_orders(spark, sf), "orders")
+    asked = held.where("o_orderkey % 100 = 0 OR o_orderkey % 7 = 0")
+    proofs = ops.index_proofs(held, "o_orderkey", wanted=asked)
+    claimed = F.when(F.col("o_orderkey") % 7 == 0, F.col("o_orderkey") + 1).otherwise(F.col("o_orderkey"))
+    return asked.join(proofs, ["role", "rank"]).select(
+        "role", "o_orderkey", "root", (ops.index_root(claimed, F.col("path")) == F.col("root")).alias("verified"), F.size("path").alias("steps")
+    )
+
+
 @query("""SELECT user_id, count(DISTINCT CASE WHEN date_part('day', ts) <= 15 THEN 'early' ELSE 'late' END) AS n_roles
     FROM events GROUP BY user_id HAVING count(DISTINCT CASE WHEN date_part('day', ts) <= 15 THEN 'early' ELSE 'late' END) > 1""")
 def role_overlap(spark, sf):

@@ -30,7 +30,7 @@ def test_three_encoders_agree(spark, case):
     want = (y - mu) @ b[KEEP].T
     assert np.allclose(col(codec.encode(df, "y", basis, mu, KEEP), "coef"), want)
     assert np.allclose(col(codec.encode_by_expression(df, "y", basis, mu, ["id"], KEEP), "coef"), want)
-    tiles = codec.encode_by_tiles(df, "y", basis, mu, KEEP, "coef", ["id"], tile=5, rows_per_group=7)
+    tiles = codec.encode_by_tiles(df, "y", basis, mu, KEEP, "coef", ["id"], tile=5)
     assert np.allclose(col(tiles, "coef"), want)
 
 
@@ -47,9 +47,8 @@ def test_order_of_the_kept_set_is_the_order_of_coefficients(spark, case):
 def test_oversized_directions_take_the_tile_path(spark, case, monkeypatch):
     y, p, mu, b, basis, df = case
     monkeypatch.setattr(codec, "BROADCAST_BYTES", 100)
-    assert np.allclose(col(codec.encode(df, "y", basis, mu, KEEP, row=["id"]), "coef"), (y - mu) @ b[KEEP].T)
-    with pytest.raises(ValueError, match="row key"):
-        codec.encode(df, "y", basis, mu, KEEP)
+    for row in (["id"], None):
+        assert np.allclose(col(codec.encode(df, "y", basis, mu, KEEP, row=row), "coef"), (y - mu) @ b[KEEP].T)
 
 
 def test_decode_and_project(spark, case):

@@ -144,3 +144,53 @@ def test_two_bootstrap_forms_agree(spark):
     assert one == {r["arm"]: pytest.approx((r["lo"], r["hi"])) for r in two}
     with pytest.raises(ValueError, match="seed sets"):
         boot.paired_bootstrap(df.where("not (arm = 'a' and seed = 2)"), reps=5, families=True)
+
+
+def philox(seed, rep, block, m):
+    """The published generator, one number at a time."""
+    out = []
+    for t in range(m):
+        c0, c1, key = t, rep, boot.key_of(seed, block)
+        for _ in range(10):
+            c0, c1 = ((c0 * 0xD256D193) >> 32) ^ key ^ c1, c0 * 0xD256D193 % 2**32
+            key = (key + 0x9E3779B9) % 2**32
+        out.append(c0 << 32 | c1)
+    return out
+
+
+def expected_draws(seed, rep, n, size):
+    blocks = -(-n // size)
+    counts = [n] if blocks == 1 else [0] * blocks
+    if blocks > 1:
+        for v in philox(seed, rep, -1, n):
+            counts[v % n // size] += 1
+    return [b * size + v % min(size, n - b * size) for b, m in enumerate(counts) for v in philox(seed, rep, b, m)]
+
+
+@pytest.mark.parametrize("size", [4, 7, 65536])
+def test_draws_in_blocks_against_one_by_one(spark, size):
+    from fieldgauge.session import ship_package
+
+    ship_package(spark)
+    got = {}
+    for r in boot.draws(spark, 19, 12, seed=3, size=size).orderBy("rep", "i").collect():
+        got.setdefault(r["rep"], []).append(r["idx"])
+    assert got == {rep: expected_draws(3, rep, 19, size) for rep in range(12)}
+    rows = [(f"a{a}", s, f"c{c:02}", float(a + c * s + 1)) for a in range(7) for s in range(3) for c in range(19)]
+    df = spark.createDataFrame(rows, "arm string, seed int, cluster string, err double").repartition(3)
+    means = {(r["rep"], r["arm"], r["seed"]): r["mse"] for r in boot.replicate_means(df, 12, seed=3, size=size).collect()}
+    assert len(means) == 12 * 21
+    for (rep, arm, s), mse in means.items():
+        assert mse == pytest.approx(sum(int(arm[1]) + c * s + 1 for c in got[rep]) / 19)
+
+
+def test_every_cluster_has_the_same_chance():
+    import numpy as np
+
+    n, size, reps = 50, 16, 4000
+    held = np.zeros(n)
+    for rep in range(reps):
+        for b, m in enumerate(boot.block_counts(1, rep, n, size)):
+            held += np.bincount(boot.block_draws(1, rep, b, int(m), n, size) + b * size, minlength=n)
+    chi = ((held - reps) ** 2 / reps).sum()
+    assert held.sum() == reps * n and 25 < chi < 85

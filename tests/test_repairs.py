@@ -22,8 +22,6 @@ def test_choice_is_the_same_on_the_large_basis_branch(spark, sf, monkeypatch):
     monkeypatch.setattr(select, "kept_rows", lambda *a: None)
     monkeypatch.setattr(codec, "kept_rows", lambda *a: None)
     assert chosen() == small
-    with pytest.raises(ValueError):
-        select.direction_gain(rows, "y", "p", w.basis, w.mean)
 
 
 @pytest.mark.parametrize("bad", [float("nan"), float("inf"), None])

@@ -37,8 +37,34 @@ def test_split_digests_are_those_of_the_joined_keys(spark):
     for r in roles.split_digest(split).collect():
         ordered = [str(k["traj"]) for k in split.where(F.col("role") == r["role"]).orderBy("rank").collect()]
         assert r["sha256"] == hashlib.sha256("\n".join(ordered).encode()).hexdigest()
-    tree = {r["role"]: r for r in roles.split_digest(split, chunk=16).collect()}
-    assert tree["train"]["n_keys"] == 60 and len(tree["train"]["sha256"]) == 64
+        numbers = np.asarray([int(k) for k in ordered], np.int64)
+        raw = roles.split_digest(split.where(F.col("role") == r["role"]), form="int64").first()
+        assert raw["sha256"] == hashlib.sha256(numbers.tobytes()).hexdigest()
+    with pytest.raises(Exception, match="index_digest"):
+        roles.split_digest(split, limit=30).collect()
+
+
+def tree_of(keys, fan):
+    level = [hashlib.sha256(str(k).encode()).hexdigest() for k in keys]
+    while len(level) > 1:
+        level = [hashlib.sha256("\n".join(level[i : i + fan]).encode()).hexdigest() for i in range(0, len(level), fan)]
+    return level[0]
+
+
+@pytest.mark.parametrize("fan", [2, 7, 64])
+def test_index_tree_and_proofs(spark, fan):
+    rows = [(r, i, 3 * i + n) for r, n in (("a", 1), ("b", 2), ("c", 17), ("d", 130)) for i in range(n)]
+    df = spark.createDataFrame(rows, "role string, rank int, traj int").repartition(3)
+    got = {r["role"]: (r["n_keys"], r["root"]) for r in roles.index_digest(df, fan=fan).collect()}
+    want = {r: [k for q, _, k in rows if q == r] for r in "abcd"}
+    assert got == {r: (len(ks), tree_of(ks, fan)) for r, ks in want.items()}
+    proofs = df.join(roles.index_proofs(df, fan=fan), ["role", "rank"])
+    again = proofs.select("role", "root", roles.index_root(F.col("traj"), F.col("path")).alias("own"), roles.index_root(F.col("traj") + 1, F.col("path")).alias("other")).collect()
+    assert len(again) == len(rows) and all(r["own"] == r["root"] == got[r["role"]][1] and r["other"] != r["root"] for r in again)
+    some = df.where("traj % 5 = 0").select("role", "rank")
+    few = roles.index_proofs(df, fan=fan, wanted=some)
+    assert few.count() == some.count() and few.join(proofs, ["role", "rank", "path", "root"], "left_anti").count() == 0
+    assert roles.index_digest(df.where("rank < 0"), fan=fan).count() == 0
 
 
 def test_overlap_is_found(spark):
@@ -177,8 +203,8 @@ def test_array_digest_is_over_little_endian_bytes(spark):
 def test_collection_digest_sees_order(spark):
     df = spark.createDataFrame([(0, [1.0]), (1, [2.0])], "i int, v array<double>")
     swapped = df.withColumn("i", 1 - F.col("i"))
-    a, b = (gates.collection_digest(d.repartition(3), "v", "i").first()["sha256"] for d in (df, swapped))
-    assert a != b and a == gates.collection_digest(df.coalesce(1), "v", "i").first()["sha256"]
+    a, b = (gates.collection_digest(d.repartition(3), "v", "i").first()["root"] for d in (df, swapped))
+    assert a != b and a == gates.collection_digest(df.coalesce(1), "v", "i").first()["root"]
 
 
 def test_record_differences(spark):
