@@ -6,6 +6,7 @@ import hashlib
 from collections.abc import Sequence
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
@@ -120,12 +121,43 @@ def incomplete_families(found: DataFrame, needed: Sequence[str]) -> DataFrame:
     return every.join(have, "family", "left").na.fill(0, ["n_roles"]).where(F.col("n_roles") < len(needed))
 
 
-def reconcile_status(violations: DataFrame) -> DataFrame:
-    """One row: violations per kind and the overall status."""
+def nominal_sizes(found: DataFrame, nominal: DataFrame, key: str = "name") -> DataFrame:
+    """Files whose size is not the one that was fixed beforehand; ``nominal`` is ``(name, bytes)``."""
+    fixed = nominal.select(key, F.col("bytes").alias("nominal"))
+    return found.join(fixed, key).where(~F.col("bytes").eqNullSafe(F.col("nominal"))).select(key, "bytes", "nominal")
+
+
+def role_counts(found: DataFrame, counts: DataFrame) -> DataFrame:
+    """Roles that do not have the expected number of files; ``counts`` is ``(role, n_files)``."""
+    held = found.groupBy("role").agg(F.count(F.lit(1)).alias("n_found"))
+    both = counts.join(held, "role", "full_outer").na.fill(0, ["n_found"])
+    return both.where(~F.col("n_files").eqNullSafe(F.col("n_found"))).select("role", "n_files", "n_found")
+
+
+def reconcile_status(
+    violations: DataFrame, found: DataFrame | None = None, needed: Sequence[str] = (),
+    nominal: DataFrame | None = None, counts: DataFrame | None = None, key: str = "name",
+) -> DataFrame:
+    """One row: violations per kind and the overall status.
+
+    With ``found`` repeated digests count, with ``needed`` roles families that lack one, with ``nominal``
+    sizes other than those fixed beforehand, and with ``counts`` roles with another number of files.
+    """
     kinds = ["missing", "unexpected", "digest_differs", "size_differs", "zero_bytes"]
-    counts = violations.agg(*[F.count_if(F.col("kind") == k).alias(f"n_{k}") for k in kinds])
-    total = sum((F.col(f"n_{k}") for k in kinds), F.lit(0))
-    return counts.withColumn("status", F.when(total == 0, "MATCH").otherwise("MISMATCH"))
+    row = violations.agg(*[F.count_if(F.col("kind") == k).alias(f"n_{k}") for k in kinds])
+    more = {}
+    if found is not None:
+        more["duplicate_digest"] = duplicate_digests(found, key)
+        if needed:
+            more["incomplete_family"] = incomplete_families(found, needed)
+        if nominal is not None:
+            more["nominal_differs"] = nominal_sizes(found, nominal, key)
+        if counts is not None:
+            more["role_count_differs"] = role_counts(found, counts)
+    for kind, rows in more.items():
+        row = row.crossJoin(rows.agg(F.count(F.lit(1)).alias(f"n_{kind}")))  # one row each
+    total = sum((F.col(f"n_{k}") for k in [*kinds, *more]), F.lit(0))
+    return row.withColumn("status", F.when(total == 0, "MATCH").otherwise("MISMATCH"))
 
 
 def verify_bound(found: DataFrame, sealed: DataFrame, root: str | None = None) -> DataFrame:

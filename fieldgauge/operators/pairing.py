@@ -165,8 +165,16 @@ def bad_scalers(scaler: DataFrame) -> DataFrame:
     return scaler.where(~finite | (F.col("sd") <= 0) | (F.col("sd") == float("inf")))
 
 
+def checked_scalers(scaler: DataFrame) -> DataFrame:
+    """The scalers, or a failure that names the first series whose deviation is not positive and finite."""
+    good = ~F.isnan("mu") & ~F.isnan("sd") & (F.abs("mu") != float("inf")) & (F.col("sd") > 0) & (F.col("sd") != float("inf"))
+    refuse = F.raise_error(F.concat(F.lit("bad scaler of series "), F.col("series_id").cast("string"))).cast("double")
+    return scaler.withColumn("sd", F.when(F.coalesce(good, F.lit(False)), F.col("sd")).otherwise(refuse))
+
+
 def apply_scaler(series: DataFrame, scaler: DataFrame) -> DataFrame:
-    joined = series.join(scaler, "series_id")
+    """Scaled values; a scaler that is not finite and positive fails, whatever its series holds."""
+    joined = series.join(checked_scalers(scaler), "series_id")
     return joined.withColumn("value", (F.col("value") - F.col("mu")) / F.col("sd")).drop("mu", "sd")
 
 

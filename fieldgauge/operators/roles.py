@@ -156,10 +156,10 @@ def split_digest(
     )
 
 
-def little_endian(number) -> Column:
-    """The 8 bytes of a long, lowest first, as hex."""
+def little_endian(number, size: int = 8) -> Column:
+    """The lowest ``size`` bytes of a long, lowest first, as hex."""
     digits = F.lpad(F.hex(number.cast("long")), 16, "0")
-    return F.concat(*[F.substring(digits, 2 * i + 1, 2) for i in range(7, -1, -1)])
+    return F.concat(*[F.substring(digits, 2 * i + 1, 2) for i in range(7, 7 - size, -1)])
 
 
 def _levels(roles: DataFrame, key: str, by: list[str], rank: str, fan: int) -> list[DataFrame]:

@@ -6,7 +6,7 @@ from collections.abc import Mapping, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
@@ -17,6 +17,7 @@ from fieldgauge.functions.vectors import doubles
 from fieldgauge.operators import codec
 from fieldgauge.operators.codec import kept_rows
 from fieldgauge.operators.metrics import overall_mse
+from fieldgauge.operators.roles import little_endian
 
 # Fixed values the results depend on.
 BASE_LADDER = (2, 4, 8, 16, 32, 48, 64, 96, 128, 256, 512, 1024, 2048, 4096)
@@ -267,19 +268,31 @@ def gain_width(gains: DataFrame, rank: int, by: Sequence[str] = ("seed",)) -> Da
     ).where("width <> rank")
 
 
+def index_sha256(index: Column) -> Column:
+    """Digest of an index set: its 4-byte little-endian integers in order."""
+    return F.sha2(F.unhex(F.array_join(F.transform(index, lambda j: little_endian(j, 4)), "")), 256)
+
+
 def ranks_from_calibration(records: DataFrame) -> DataFrame:
     """Check stored selections and derive their index sets.
 
-    ``records`` is ``(target, k_pred, k_oracle, gain_order array, kept_idx array)``; one row per
-    target with ``status`` and the first failed rule.
+    ``records`` is ``(target, k_pred, k_oracle, gain_order array, gain_order_sha256, kept_idx array,
+    kept_idx_sha256)``, the digests over 4-byte little-endian integers; one row per target with ``status``
+    and the first failed rule. A null digest fails its rule.
     """
     order = F.col("gain_order")
+
+    def differs(name):
+        return ~F.coalesce(index_sha256(F.col(name)) == F.col(f"{name}_sha256"), F.lit(False))
+
     rule = (
         F.when(F.size(order) <= 0, "empty_order")
         .when(F.size(F.array_distinct(order)) != F.size(order), "repeated_direction")
         .when(F.array_min(order) < 0, "negative_direction")
         .when(~F.col("k_pred").between(1, F.size(order)), "k_pred_out_of_range")
         .when(~F.col("k_oracle").between(1, F.size(order)), "k_oracle_out_of_range")
+        .when(differs("gain_order"), "order_digest_differs")
+        .when(differs("kept_idx"), "kept_digest_differs")
         .when(F.col("kept_idx") != F.slice(order, 1, F.col("k_pred")), "kept_is_not_the_order_head")
     )
     return records.withColumn("failed_rule", rule).withColumn(

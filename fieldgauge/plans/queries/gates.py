@@ -6,6 +6,7 @@ from fieldgauge.functions import ranking
 from fieldgauge.operators import gates as ops
 from fieldgauge.plans import qualify, tables, walk
 from fieldgauge.plans.queries.registry import query, tree_sql
+from fieldgauge.session import cut
 
 
 @query()
@@ -47,10 +48,27 @@ def manifest_reconcile(spark, sf):
     return ops.reconcile(tables.files(spark, sf), _published(spark, sf))
 
 
-@query(f"""SELECT {", ".join(f"count(*) FILTER (hit AND kind = '{k}') AS n_{k}" for k in ("missing", "unexpected", "digest_differs", "size_differs", "zero_bytes"))},
-    CASE WHEN count(*) FILTER (hit) = 0 THEN 'MATCH' ELSE 'MISMATCH' END AS status FROM ({_KINDS})""")
+_COUNTS = ", ".join(f"count(*) FILTER (hit AND kind = '{k}') AS n_{k}" for k in ("missing", "unexpected", "digest_differs", "size_differs", "zero_bytes"))
+
+
+@query(f"""SELECT 'published' AS list, {_COUNTS}, (SELECT count(*) FROM (SELECT sha256 FROM file GROUP BY sha256 HAVING count(*) > 1)) AS n_duplicate_digest,
+    (SELECT count(*) FROM (SELECT family FROM file GROUP BY family HAVING count(DISTINCT role) < (SELECT count(DISTINCT lang) FROM documents))) AS n_incomplete_family,
+    (SELECT count(*) FROM documents WHERE doc_id % 97 = 0) AS n_nominal_differs, 1 AS n_role_count_differs, 'MISMATCH' AS status FROM ({_KINDS})
+    UNION ALL SELECT 'itself', 0, 0, 0, 0, (SELECT count(*) FROM file WHERE bytes = 0), 0, 0, 0, 0, CASE WHEN (SELECT count(*) FROM file WHERE bytes = 0) = 0 THEN 'MATCH' ELSE 'MISMATCH' END""")
 def manifest_status(spark, sf):
-    return ops.reconcile_status(ops.reconcile(tables.files(spark, sf), _published(spark, sf)))
+    """The published list with every kind of fault, and the files against themselves, first ones of a digest only."""
+    files = cut(tables.files(spark, sf), "files")
+    needed = [r[0] for r in files.select("role").distinct().collect()]
+    number = F.regexp_extract("name", r"^(\d+)", 1).cast("long")
+    nominal = files.select("name", (F.col("bytes") + F.when(number % 97 == 0, 1).otherwise(0)).alias("bytes"))
+    counts = files.groupBy("role").agg(F.count(F.lit(1)).alias("n_files"))
+    wrong = counts.withColumn("n_files", F.col("n_files") + F.when(F.col("role") == "en", 1).otherwise(0))
+    bad = ops.reconcile_status(ops.reconcile(files, _published(spark, sf)), files, needed, nominal, wrong)
+    first = files.groupBy("sha256").agg(F.min_by(F.struct("name", "bytes"), "name").alias("f")).select("f.*", "sha256").withColumns({"family": F.lit("f"), "role": F.lit("r")})
+    own = ops.reconcile_status(
+        ops.reconcile(files, files), first, ["r"], files.select("name", "bytes"), first.groupBy("role").agg(F.count(F.lit(1)).alias("n_files"))
+    )
+    return bad.select(F.lit("published").alias("list"), "*").unionByName(own.select(F.lit("itself").alias("list"), "*"))
 
 
 @query("SELECT sha256, count(*) AS n_files, min(name) AS first_name FROM file GROUP BY sha256 HAVING count(*) > 1")

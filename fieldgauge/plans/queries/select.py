@@ -118,9 +118,13 @@ _CALIBRATION = """SELECT label AS target, list(j ORDER BY s DESC, j) AS gain_ord
     SELECT label, i AS j, avg(y * y) AS s FROM walk GROUP BY label, i) GROUP BY label"""
 
 
-@query(f"""SELECT target, CASE WHEN target = 7 THEN 'REJECTED' WHEN target = 3 THEN 'REJECTED' ELSE 'OK' END AS status,
-    CASE WHEN target = 7 THEN 'repeated_direction' WHEN target = 3 THEN 'kept_is_not_the_order_head' END AS failed_rule,
-    gain_order[1] AS first_direction FROM ({_CALIBRATION})""")
+def _index_sha(index: str) -> str:
+    return f"sha256(unhex(array_to_string([h[7:8] || h[5:6] || h[3:4] || h[1:2] FOR h IN [printf('%08x', j) FOR j IN {index}]], '')))"
+
+
+@query(f"""SELECT target, CASE WHEN target IN (2, 3, 5, 7) THEN 'REJECTED' ELSE 'OK' END AS status,
+    CASE target WHEN 7 THEN 'repeated_direction' WHEN 3 THEN 'kept_is_not_the_order_head' WHEN 2 THEN 'order_digest_differs' WHEN 5 THEN 'kept_digest_differs' END AS failed_rule,
+    gain_order[1] AS first_direction, {_index_sha("gain_order[1:8]")} AS head_sha256 FROM ({_CALIBRATION})""")
 def calibration_ranks(spark, sf):
     from fieldgauge.functions.sums import vector_sums
 
@@ -131,10 +135,15 @@ def calibration_ranks(spark, sf):
     spoiled = F.when(F.col("target") == 7, F.concat(F.slice("o", 1, 63), F.slice("o", 1, 1))).otherwise(F.col("o"))
     kept = F.when(F.col("target") == 3, F.slice("o", 2, 8)).otherwise(F.slice(spoiled, 1, 8))
     records = records.select(
-        "target", F.lit(8).alias("k_pred"), F.lit(16).alias("k_oracle"), spoiled.alias("gain_order"), kept.alias("kept_idx")
+        "target", F.lit(8).alias("k_pred"), F.lit(16).alias("k_oracle"), spoiled.alias("gain_order"), kept.alias("kept_idx"), F.slice("o", 1, 8).alias("head")
     )
-    return ops.ranks_from_calibration(records).select(
-        "target", "status", "failed_rule", F.col("gain_order")[0].alias("first_direction")
+    # the digest of target 2's order and of target 5's kept set belong to something else
+    signed = records.withColumns({
+        "gain_order_sha256": ops.index_sha256(F.when(F.col("target") == 2, F.reverse("gain_order")).otherwise(F.col("gain_order"))),
+        "kept_idx_sha256": ops.index_sha256(F.when(F.col("target") == 5, F.reverse("kept_idx")).otherwise(F.col("kept_idx"))),
+    })
+    return ops.ranks_from_calibration(signed).select(
+        "target", "status", "failed_rule", F.col("gain_order")[0].alias("first_direction"), ops.index_sha256(F.col("head")).alias("head_sha256")
     )
 
 

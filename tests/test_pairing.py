@@ -62,6 +62,8 @@ def test_scaler_is_population_and_flags_bad_values(spark):
     got = {r["series_id"]: r for r in ops.fit_scaler(df, (0, 2)).collect()}
     assert got["a"]["mu"] == 2.0 and got["a"]["sd"] == pytest.approx(1.0 + 1e-8)
     assert [r["series_id"] for r in ops.bad_scalers(ops.fit_scaler(df, (0, 2))).collect()] == ["b"]
+    with pytest.raises(Exception, match="bad scaler of series b"):
+        ops.apply_scaler(df, ops.fit_scaler(df, (0, 2))).collect()
 
 
 def test_centring_gate(spark):

@@ -94,10 +94,15 @@ def test_calibration_rules(spark):
         ("ok", 2, 3, [4, 1, 0], [4, 1]), ("empty", 1, 1, [], []), ("twice", 1, 1, [1, 1], [1]),
         ("negative", 1, 1, [0, -1], [0]), ("range", 4, 1, [0, 1], [0, 1]), ("head", 2, 2, [0, 1], [1, 0]),
     ]
-    df = spark.createDataFrame(rows, "target string, k_pred int, k_oracle int, gain_order array<int>, kept_idx array<int>")
+    import hashlib
+
+    sha = lambda v: hashlib.sha256(np.asarray(v, "<i4").tobytes()).hexdigest()
+    rows = [(*r, sha(r[3]), sha(r[4])) for r in rows]
+    rows += [("order", 1, 1, [2, 0], [2], sha([0, 2]), sha([2])), ("kept", 1, 1, [2, 0], [2], sha([2, 0]), None)]
+    df = spark.createDataFrame(rows, "target string, k_pred int, k_oracle int, gain_order array<int>, kept_idx array<int>, gain_order_sha256 string, kept_idx_sha256 string")
     got = {r["target"]: r["failed_rule"] for r in ops.ranks_from_calibration(df).collect()}
     assert got == {
-        "ok": None, "empty": "empty_order", "twice": "repeated_direction", "negative": "negative_direction",
+        "order": "order_digest_differs", "kept": "kept_digest_differs", "ok": None, "empty": "empty_order", "twice": "repeated_direction", "negative": "negative_direction",
         "range": "k_pred_out_of_range", "head": "kept_is_not_the_order_head",
     }
 
