@@ -1,20 +1,24 @@
 """Exact near-duplicate vectors by a dual traversal of cover trees.
 
-Equal vectors are counted and kept once. Distinct vectors are dealt to the nearest of a bounded
-number of pivots (the top level of the tree), and each cell to blocks of bounded size. In each block
-nested levels with halving radii are built: a vector belongs at every level to a centre within that
-level's radius. Two blocks meet only if their balls come nearer than the threshold. Then their trees
-are walked together: a pair of nodes is dropped if the distance of the centres exceeds the sum of
-both covering radii and the threshold, taken whole if even the farthest members are near enough, and
-opened otherwise. A task gives, per vector, the number of links and the root of a spanning star; no
-pair leaves it.
+Equal vectors are counted and kept once. The upper tree divides the distinct vectors: a cell above the
+size of a block is dealt to the nearest of a few pivots of its own, level by level, until every cell is a
+block. In each block nested levels with halving radii are built: a vector belongs at every level to a
+centre within that level's radius. The upper tree is walked against itself from the top; a pair of
+nodes is followed only if their balls come nearer than the threshold, so blocks that are far apart never
+meet. Then the trees of two near blocks are walked together: a pair of nodes is dropped if the distance
+of the centres exceeds the sum of both covering radii and the threshold, taken whole if even the farthest
+members are near enough, and opened otherwise. A task gives, per vector, the number of links and the
+root of a spanning star; no pair leaves it.
 
 The work between blocks is exact and therefore, on vectors without any structure, quadratic in the
 number of distinct vectors; it falls with the share of node pairs the bounds can drop.
 
 Defined cases: vectors that are null, empty, zero, or hold null or non-finite components link with
-nothing; vectors of different length do not link; repeated rows are counted as vectors of their own;
-an empty table gives no rows; other columns are ignored.
+nothing; vectors of different length do not link; repeated rows are counted as vectors of their own; rows
+of one id with different vectors have the links and the component of their own vector; a row without an
+id is a vector like any, counted by its neighbours, but never names a component, so that a component
+without any id has a null name and keeps all its rows; an empty table gives no rows; other columns are
+ignored.
 """
 
 from __future__ import annotations
@@ -28,8 +32,7 @@ from fieldgauge.llm.components import components, hook
 from fieldgauge.session import cut
 
 BLOCK = 4096
-PIVOTS = 1024
-PIVOT_SAMPLE = 4096
+FAN = 16
 SLACK = 1e-9
 TILE = 256
 
@@ -215,87 +218,142 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.9, key: str = "vec_
     rows = vectors.select(
         F.col(key).cast("bigint").alias("id"), F.when(good, v).alias("embedding"),
     ).withColumns({"h1": F.xxhash64("embedding"), "h2": F.xxhash64(F.lit(1), "embedding")})
-    valid = rows.where("embedding IS NOT NULL AND id IS NOT NULL")
-    distinct = cut(
-        valid.groupBy("h1", "h2").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("n"), F.min_by("embedding", "id").alias("embedding"))
-        .withColumn("width", F.size("embedding")), "vectors",
+    # a class of equal vectors goes by a number of its own, whatever ids its rows have
+    classes = rows.where("embedding IS NOT NULL").groupBy("h1", "h2").agg(
+        F.min("id").alias("least"), F.count(F.lit(1)).alias("n"), F.first("embedding").alias("embedding")
     )
+    distinct = cut(classes.select(F.monotonically_increasing_id().alias("id"), "*", F.size("embedding").alias("width")), "vectors")
     per_width = {r["width"]: r["n"] for r in distinct.groupBy("width").agg(F.count(F.lit(1)).alias("n")).collect()}
     found = None
     for width, n in sorted(per_width.items()):
-        part = _links(distinct.where(F.col("width") == width), n, threshold)
+        part = _links(distinct.where(F.col("width") == width).select("id", "n", "embedding"), n, threshold)
         found = part if found is None else found.unionByName(part)
     if found is None:
         found = spark.createDataFrame([], "id bigint, links bigint, root bigint")
     found = cut(found, "links")
     counts = found.groupBy("id").agg(F.sum("links").alias("links"))
     named = components(found, "id", "root").withColumnRenamed("node", "id")
-    per_class = (
-        distinct.select("h1", "h2", "id", "n").join(counts, "id", "left").join(named, "id", "left")
-        .select(
-            "h1", "h2",
-            (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"),
-            F.coalesce("component", "id").alias("component_id"),
-        ).where("n_links > 0")
-    )
+    joined = distinct.select("h1", "h2", "id", "n", "least").join(counts, "id", "left").join(named, "id", "left")
+    joined = cut(joined.withColumn("component", F.coalesce("component", "id")), "classes")
+    # the name of a component is the smallest id of any of its rows
+    smallest = joined.groupBy("component").agg(F.min("least").alias("component_id"))
+    per_class = joined.join(smallest, "component").select(
+        "h1", "h2", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), "component_id"
+    ).where("n_links > 0")
     out = rows.select("id", "h1", "h2", F.col("embedding").isNull().alias("bad")).join(per_class, ["h1", "h2"], "left")
     component = F.when(F.col("bad"), F.col("id")).otherwise(F.coalesce("component_id", "id"))
     return out.select(
         F.col("id").alias(key), F.when(F.col("bad"), 0).otherwise(F.coalesce("n_links", F.lit(0))).cast("bigint").alias("n_links"),
-        component.alias("component_id"), F.coalesce(component == F.col("id"), F.lit(True)).alias("kept"),
+        component.alias("component_id"), F.coalesce(component == F.col("id"), component.isNull()).alias("kept"),
     )
 
 
-def _links(distinct: DataFrame, n: int, threshold: float) -> DataFrame:
+def _upper_levels(distinct: DataFrame, n: int, block: int, fan: int) -> DataFrame:
+    """``distinct`` with its ``cell``: vectors go to the nearest pivot of their cell, level by level, until no cell is above ``block``.
+
+    A level samples every cell that is too large, by hash, takes up to ``fan`` pivots of it, half of them
+    each the farthest from those before, and moves each vector to the nearest pivot of its own cell; pivots
+    meet vectors by a join on the cell, so a task holds those of the cells it meets only. A cell of which
+    nine tenths stay together holds vectors that are about equally far apart and stays as it is.
+    """
+    placed = cut(distinct.select("id", "n", "embedding", F.lit("").alias("cell"), F.lit(n).cast("bigint").alias("m"), F.lit(0).alias("still")), "cells")
+    while True:
+        large = placed.where((F.col("m") > block) & (F.col("still") == 0))
+        sizes = large.groupBy("cell").agg(F.max("m").alias("m"))
+        if sizes.limit(1).count() == 0:
+            return placed
+        ranked = large.where(F.pmod(F.xxhash64("id"), F.greatest(F.lit(1), F.floor(F.col("m") / (4 * fan)))) == 0)
+
+        def choose(pdf: pd.DataFrame) -> pd.DataFrame:
+            pdf = pdf.sort_values("id").iloc[: 16 * fan]  # a sample of about 4·fan vectors
+            x = unit(np.stack(pdf["embedding"].to_numpy()))
+            m = int(pdf["m"].iloc[0])
+            k = min(fan, m // block + 1)
+            at = sorted({*spread_points(x, -(-k // 2)), *range(min(k // 2, len(x)))})
+            return pd.DataFrame({"cell": [pdf["cell"].iloc[0]], "pivots": [x[at].ravel()]})
+
+        pivots = ranked.groupBy("cell").applyInPandas(choose, "cell string, pivots array<double>")
+
+        def move(batches):
+            for b in batches:
+                if not len(b):
+                    continue
+                cell = b["cell"].to_numpy().astype(object)
+                x = unit(np.stack(b["embedding"].to_numpy()))
+                for name, at in b.groupby("cell").indices.items():
+                    p = b["pivots"].iloc[at[0]]
+                    if p is None:  # no vector of the cell was sampled
+                        continue
+                    near = distances(x[at], np.asarray(p).reshape(-1, x.shape[1])).argmin(axis=1)
+                    cell[at] = [f"{name}/{c}" for c in near]
+                yield b[["id", "n", "embedding"]].assign(cell=cell, old=b["cell"], was=b["m"])
+
+        moved = large.join(pivots, "cell", "left").select("id", "n", "embedding", "cell", "m", "pivots").mapInPandas(
+            move, "id bigint, n bigint, embedding array<double>, cell string, old string, was bigint"
+        )
+        moved = cut(moved, "moved")
+        counts = moved.groupBy("cell").agg(F.count(F.lit(1)).alias("m"))
+        fresh = moved.join(counts, "cell").select("id", "n", "embedding", "cell", "m", (F.col("m") > 0.9 * F.col("was")).cast("int").alias("still"))
+        rest = placed.where(~((F.col("m") > block) & (F.col("still") == 0)))
+        placed = cut(rest.unionByName(fresh), "cells")
+
+
+def _near_blocks(roots: DataFrame, far: float, fan: int) -> DataFrame:
+    """``(a, b)`` with a <= b: the blocks whose balls come within ``far``, by walking the upper tree against itself.
+
+    A node of the tree is a prefix of a cell's path; its ball is about one of its blocks and covers all of
+    them. From the top down a pair of nodes stays if its balls come near, and only then meets its children.
+    """
+    dot = lambda p, q: F.aggregate(F.zip_with(p, q, lambda s, t: s * t), F.lit(0.0), lambda acc, e: acc + e)
+
+    def gap(p, q):
+        cosine = dot(p, q) / F.sqrt(dot(p, p) * dot(q, q))
+        return F.sqrt(F.greatest(F.lit(2.0) - F.lit(2.0) * cosine, F.lit(0.0)))
+
+    steps = F.split("cell", "/")  # the first step is empty: the root
+    depth = roots.agg(F.max(F.size(steps))).first()[0] or 1
+    prefix = [F.concat_ws("/", F.slice(steps, 1, at)) for at in range(1, depth + 1)]
+    names = [*prefix, F.concat(F.col("cell"), F.lit("#"), F.col("block").cast("string"))]
+    pairs = None
+    for at, name in enumerate(names):
+        tagged = roots.select(name.alias("node"), (names[at - 1] if at else F.lit("")).alias("up"), "block", "embedding", "ball")
+        centre = tagged.groupBy("node", "up").agg(F.min_by("embedding", "block").alias("centre"))
+        reach = tagged.join(centre.select("node", "centre"), "node").groupBy("node").agg(F.max(gap(F.col("embedding"), F.col("centre")) + F.col("ball")).alias("radius"))
+        nodes = cut(centre.join(reach, "node"), "nodes")
+        side = lambda s: nodes.select(F.col("node").alias(s), F.col("up").alias(f"up_{s}"), F.col("centre").alias(f"x{s}"), F.col("radius").alias(f"r{s}"))  # noqa: E731, B023
+        if pairs is None:
+            pairs = side("a").join(side("b"), F.col("up_a") == F.col("up_b"))  # the one root with itself
+        else:
+            both = pairs.select(F.col("a").alias("up_a"), F.col("b").alias("up_b"))
+            pairs = both.join(side("a"), "up_a").join(side("b"), "up_b")
+        near = gap(F.col("xa"), F.col("xb")) <= F.col("ra") + F.col("rb") + far + 1e-6
+        # a pair of one parent with itself meets its children both ways round: keep one
+        pairs = cut(pairs.where(near).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
+    number = lambda c: F.element_at(F.split(c, "#"), -1).cast("long")
+    one, two = number("a"), number("b")
+    return pairs.select(F.least(one, two).alias("a"), F.greatest(one, two).alias("b")).distinct()
+
+
+def _links(distinct: DataFrame, n: int, threshold: float, block: int = BLOCK, fan: int = FAN) -> DataFrame:
     """``id, links, root`` partial sums over all pairs of blocks that may hold a link."""
     far = radius_of(threshold)
-    cells = max(1, min(PIVOTS, n // BLOCK + 1))
-    sample = distinct.select("id", "embedding").where(F.pmod(F.xxhash64("id"), F.lit(max(1, n // PIVOT_SAMPLE))) == 0)
-    drawn = sample.orderBy(F.xxhash64("id"), "id").limit(PIVOT_SAMPLE).select("embedding").toPandas()["embedding"]
-    if not len(drawn):
-        drawn = distinct.orderBy("id").limit(1).select("embedding").toPandas()["embedding"]
-    x = unit(np.stack(drawn.to_numpy()))
-    pivots = x[spread_points(x, cells)]
-
-    def assign(batches):
-        for b in batches:
-            if not len(b):
-                continue
-            gap = distances(unit(np.stack(b["embedding"].to_numpy())), pivots)
-            cell = gap.argmin(axis=1)
-            yield b.assign(cell=cell.astype(np.int64), gap=gap[np.arange(len(b)), cell])
-
-    placed = cut(distinct.select("id", "n", "embedding").mapInPandas(assign, "id bigint, n bigint, embedding array<double>, cell bigint, gap double"), "cells")
-    sizes = placed.groupBy("cell").agg(F.count(F.lit(1)).alias("m"), F.max("gap").alias("ball")).toPandas().set_index("cell")  # at most PIVOTS rows
-    parts = F.lit(1)
-    for cell, m in sizes["m"].items():
-        if m > BLOCK:
-            parts = F.when(F.col("cell") == int(cell), F.lit(int(-(-m // BLOCK)))).otherwise(parts)
-    placed = placed.withColumn("block", F.col("cell") * F.lit(1 << 32) + F.pmod(F.xxhash64("id"), parts.cast("bigint")))
-    balls, centres = sizes["ball"].to_numpy(), pivots[sizes.index.to_numpy()]
+    placed = _upper_levels(distinct, n, block, fan)
+    # a cell that no pivot could divide is dealt by hash
+    part = F.pmod(F.xxhash64("id"), F.ceil(F.col("m") / block))
+    placed = placed.select("id", "n", "embedding", F.xxhash64("cell", part).alias("block"), F.col("cell"))
 
     def build(b: pd.DataFrame) -> pd.DataFrame:
         b = b.sort_values("id").reset_index(drop=True)
         x = unit(np.stack(b["embedding"].to_numpy()))
         near = levels(x, far / 8)
-        # cells whose ball the block's ball comes near
-        reach = distances(x[:1], centres)[0] <= float(distances(x, x[:1]).max()) + balls + far + SLACK
-        cells = sizes.index.to_numpy()[reach].tolist()
         return pd.DataFrame({
             "block": b["block"], "place": np.arange(len(b)), "id": b["id"], "n": b["n"], "embedding": b["embedding"],
-            "near": list(near), "reach": [cells if i == 0 else None for i in range(len(b))],
-            "ball": float(distances(x, x[:1]).max()),
+            "near": list(near), "ball": float(distances(x, x[:1]).max()), "cell": b["cell"],
         })
 
-    schema = "block bigint, place int, id bigint, n bigint, embedding array<double>, near array<bigint>, reach array<bigint>, ball double"
+    schema = "block bigint, place int, id bigint, n bigint, embedding array<double>, near array<bigint>, ball double, cell string"
     trees = cut(placed.groupBy("block").applyInPandas(build, schema), "trees")
-    roots = trees.where("place = 0").select("block", "embedding", "ball", "reach", F.shiftright("block", 32).alias("cell"))
-    a = roots.select(F.col("block").alias("a"), F.col("embedding").alias("xa"), F.col("ball").alias("ra"), F.explode("reach").alias("cell"))
-    b = roots.select(F.col("block").alias("b"), F.col("embedding").alias("xb"), F.col("ball").alias("rb"), "cell")
-    dot = lambda p, q: F.aggregate(F.zip_with(p, q, lambda s, t: s * t), F.lit(0.0), lambda acc, e: acc + e)
-    cosine = dot(F.col("xa"), F.col("xb")) / F.sqrt(dot(F.col("xa"), F.col("xa")) * dot(F.col("xb"), F.col("xb")))
-    gap = F.sqrt(F.greatest(F.lit(2.0) - F.lit(2.0) * cosine, F.lit(0.0)))
-    pairs = a.join(b, "cell").where("a <= b").where(gap <= F.col("ra") + F.col("rb") + far + 1e-6).select("a", "b")
+    pairs = _near_blocks(cut(trees.where("place = 0").select("block", "embedding", "ball", "cell"), "roots"), far, fan)
     sides = pairs.select("a", "b", F.explode(F.array_distinct(F.array("a", "b"))).alias("block"))
     held = sides.join(trees.select("block", "place", "id", "n", "embedding", "near"), "block")
     return held.groupBy("a", "b").applyInPandas(lambda rows: block_links(rows, threshold), "id bigint, links bigint, root bigint")
