@@ -18,7 +18,8 @@ element, else a container named as content holds at least half of a page's conte
 slots on fewer than three pages do not count against it.
 
 Defined cases: null or empty html gives an empty text; broken or cut markup is read as far as it goes;
-repeated rows give repeated rows; a null or unreadable url is a host of its own name; an empty table
+a drawing inside a paragraph ends it; a heading that an article keeps in a header element of its own is
+not read; very long pages are read whole; repeated rows give repeated rows; a null or unreadable url is a host of its own name; an empty table
 gives no rows; other columns are ignored.
 """
 
@@ -34,6 +35,7 @@ from difflib import SequenceMatcher
 from hashlib import blake2b
 from itertools import accumulate
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
@@ -67,11 +69,17 @@ COMMENT_WORDS = set("comment comments reply replies related teaser promo ad ads
 TALK_WORDS = set("comment comments disqus reply replies respond discussion".split())
 CONTENT_WORDS = set("content main article post entry story articlebody maincontent".split())
 
-TOKEN = re.compile(r"<!--(?:.*?-->|.*\Z)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)|[^<]+|<", re.S)
+# A tag's attributes by the states of the HTML tokenizer: a quote opens a value only straight after ``=``; elsewhere it is
+# part of a name or of an unquoted value. A quote that never closes opens nothing, so that no text is lost to it.
+TOKEN = re.compile(
+    r"<!--(?:.*?-->|.*\Z)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*(?:>|\Z)"
+    r"|<(/?)([a-zA-Z][^\s/>]*)((?:[\s/]+|[^\s/>][^\s/>=]*(?:\s*=\s*(?:\"[^\"]*\"|'[^']*'|[^\s>]*))?)*)(?:>|\Z)"
+    r"|[^<]+|<",
+    re.S,
+)
 NAMES = re.compile(r"\b(class|id|role|itemprop|hidden|style|aria-hidden)\b(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?", re.I)
 VETOES = ("!", "~", "^")  # by element or hidden; by a class word or form; by a word for comments
 FEW = 6
-REPEAT = 4
 
 
 def _step(tag: str, attributes: str) -> str:
@@ -180,26 +188,33 @@ def keys(found: list[tuple[str, str, int]]) -> tuple[int, int]:
 
 
 def fold(names: list[str]) -> list[tuple[tuple[str, ...], str]]:
-    """Names with runs of up to ``REPEAT`` names that stand again and again made into groups with ``+``."""
+    """Names with runs that stand again and again made into groups with ``+``, whatever the length of the run.
+
+    At each place the run that covers most names is taken, of equal ones the shortest. For every length the
+    names are compared with those that many places further, as whole arrays.
+    """
+    code = {name: i for i, name in enumerate(dict.fromkeys(names))}
+    x = np.array([code[name] for name in names], np.int64)
+    size = len(x)
+    best = np.zeros(size, np.int64), np.ones(size, np.int64)  # names covered and length of the run
+    for n in range(1, size // 2 + 1):
+        differs = np.flatnonzero(x[:-n] != x[n:])
+        if len(differs) > size - 2 * n:  # fewer than n names equal those n places further
+            continue
+        ahead = np.append(differs, size - n)
+        same = ahead[np.searchsorted(ahead, np.arange(size - n))] - np.arange(size - n)
+        covered = np.where(same >= n, same // n * n + n, 0)
+        more = covered > best[0][: size - n]
+        best[0][: size - n][more], best[1][: size - n][more] = covered[more], n
     out: list[tuple[tuple[str, ...], str]] = []
     i = 0
-    while i < len(names):
-        for n in range(1, REPEAT + 1):
-            group = names[i : i + n]
-            j = i + n
-            while len(group) == n and names[j : j + n] == group:
-                j += n
-            if j > i + n:
-                out.append((tuple(group), "+"))
-                i = j
-                break
-        else:
-            out.append(((names[i],), "1"))
-            i += 1
+    while i < size:
+        covered, n = int(best[0][i]), int(best[1][i])
+        out.append((tuple(names[i : i + n]), "+") if covered else ((names[i],), "1"))
+        i += covered or 1
     return out
 
 
-
 def _loose(q: str, r: str) -> str:
     """The quantifier that allows both; ``?`` and ``*`` also allow none."""
     many = "+" in (q, r) or "*" in (q, r)
@@ -515,7 +530,7 @@ def extract(pages: DataFrame) -> DataFrame:
     wrappers = cut(exprs.join(statistics(streams, exprs), "host"), "wrappers")
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[str, Reader] = {}
+        held: dict[str, tuple[Reader, str]] = {}
         for batch in batches:
             host, names, texts, expr, counts = (batch.column(i).to_pylist() for i in range(2, 7))
             out, made = [], []
@@ -523,9 +538,10 @@ def extract(pages: DataFrame) -> DataFrame:
                 if h not in held:
                     if len(held) > 5_000:
                         held.clear()
-                    held[h] = Reader(x, c)
-                out.append(held[h].pick(n, t))
-                made.append(regex(load(x)))
+                    held[h] = Reader(x, c), regex(load(x))
+                reader, shown = held[h]
+                out.append(reader.pick(n, t))
+                made.append(shown)
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns[:2], pa.array(out, pa.string()), pa.array(made, pa.string())], names=["page_id", "url", "text", "wrapper"]
             )

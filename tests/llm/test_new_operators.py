@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from fieldgauge.llm import leaks, merkle, queries, whitening
+from fieldgauge.llm import covertree, leaks, merkle, queries, whitening, wrapper
 from fieldgauge.session import ship_package
 
 WORDS = re.compile(leaks.WORD)
@@ -236,3 +236,89 @@ def test_tampered_rows_do_not_verify(spark, sf):
     for r in found:
         tampered = zlib.crc32(str(r["doc_id"]).encode()) % 7 == 0
         assert r["verified"] is not tampered
+
+
+# ------------------------------------------------------------------- wrappers and cover trees
+
+
+def test_attributes_by_state():
+    seen = lambda page: [t for _, t, _ in wrapper.blocks(page)]
+    assert seen("<p>Hello <a href=x title=don't>link</a> world, it's fine</p>") == ["Hello link world, it's fine"]
+    assert seen('<p>a<img alt="5" tall" src=x>b</p>') == ["ab"]
+    assert seen('<p a = "x>y" b=\'<i>\' c=d/e>t</p><p "odd>z</p>') == ["t", "z"]
+    assert seen('<p title="never closed>rest</p> tail') == ["rest", "tail"]
+    assert seen("<p a" * 5) == [] and seen("<p " + "a=b " * 1000 + ">x") == ["x"]
+
+
+def expected_fold(names):
+    out, i = [], 0
+    while i < len(names):
+        best = (0, 1)
+        for n in range(1, (len(names) - i) // 2 + 1):
+            j = i + n
+            while names[j : j + n] == names[i : i + n] and j + n <= len(names):
+                j += n
+            if j > i + n and j - i > best[0]:
+                best = (j - i, n)
+        out.append((tuple(names[i : i + best[1]]), "+") if best[0] else ((names[i],), "1"))
+        i += best[0] or 1
+    return out
+
+
+def test_runs_of_any_length_fold():
+    r = random.Random(9)
+    for _ in range(300):
+        names = [r.choice("ab") for _ in range(r.randint(0, 12))]
+        item = [r.choice("abcdef") for _ in range(r.randint(1, 9))]
+        names += item * r.randint(1, 4) + [r.choice("abc") for _ in range(r.randint(0, 5))]
+        assert wrapper.fold(names) == expected_fold(names)
+    assert wrapper.fold(list("x" + "abcdef" * 5 + "y")) == [(("x",), "1"), (tuple("abcdef"), "+"), (("y",), "1")]
+
+
+def test_every_page_matches_its_hosts_expression():
+    r = random.Random(10)
+    for _ in range(100):
+        item = [r.choice("abcdef") for _ in range(r.randint(1, 7))]
+        pages = [["h"] + item * r.randint(0, 4) + [r.choice("pq") for _ in range(r.randint(0, 4))] for _ in range(6)]
+        expr = []
+        for names in pages:
+            expr = wrapper.align(expr, wrapper.fold(names))
+        matcher = wrapper.Matcher(expr)
+        for names in pages:
+            assert [matcher.slots[s] for s in matcher.match(names)] == names
+
+
+def expected_components(ids, v, threshold=0.9):
+    near = np.zeros((len(v), len(v)), bool)
+    fine = [i for i, x in enumerate(v) if x and all(e is not None and np.isfinite(e) for e in x) and any(x)]
+    for i in fine:
+        for j in fine:
+            if i != j and len(v[i]) == len(v[j]):
+                a, b = np.array(v[i]), np.array(v[j])
+                near[i, j] = a @ b / np.sqrt(a @ a * (b @ b)) >= threshold
+    part = list(range(len(v)))
+    for _ in range(len(v)):
+        part = [min([part[i]] + [part[j] for j in np.flatnonzero(near[i])]) for i in range(len(v))]
+    names = {c: min((ids[i] for i in range(len(v)) if part[i] == c and ids[i] is not None), default=None) for c in set(part)}
+    return [(ids[i], int(near[i].sum()), names[part[i]], ids[i] == names[part[i]]) for i in range(len(v))]
+
+
+def test_ids_that_repeat_or_lack(spark):
+    ship_package(spark)
+    rows = [(1, [1.0, 0.0]), (1, [0.0, 1.0]), (2, [1.0, 0.0]), (3, [0.01, 1.0]), (None, [1.0, 0.0]), (None, [-1.0, 0.0]), (None, [-1.0, 0.0]), (4, None), (5, [0.0, 0.0])]
+    df = spark.createDataFrame([(*r, "x", "y") for r in rows], "vec_id bigint, embedding array<double>, n_links string, id string")
+    got = sorted(map(tuple, covertree.near_duplicates(df).collect()), key=str)
+    assert got == sorted(expected_components(*zip(*rows)), key=str)
+
+
+def test_cells_divided_level_by_level(spark, monkeypatch):
+    ship_package(spark)
+    r = np.random.default_rng(11)
+    base = r.normal(size=(12, 8))
+    v = np.vstack([base[r.integers(0, 12, 300)] + 0.2 * r.normal(size=(300, 8)), r.normal(size=(60, 8))])
+    rows = [(i, x.tolist()) for i, x in enumerate(v)]
+    links = covertree._links
+    monkeypatch.setattr(covertree, "_links", lambda d, n, t: links(d, n, t, 40, 4))
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>").repartition(3)
+    got = sorted(map(tuple, covertree.near_duplicates(df).collect()))
+    assert got == sorted(expected_components(*zip(*rows)))
