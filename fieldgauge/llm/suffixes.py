@@ -1,15 +1,20 @@
 """Suffix arrays by induced sorting, and permuted common prefixes, over arrays.
 
-The symbols of one bucket are moved together: a bucket is emptied in waves, and a wave sends the
-predecessors of all its suffixes to their buckets at once. The number of waves is the alphabet plus
-the longest run of one symbol.
+Suffixes are classified, the leftmost smaller ones are sorted by their substrings, which are named and
+sorted in the same way as a shorter text until all names differ, and from their order all others are
+induced in one pass each way.
+
+Induction moves the suffixes of one bucket together where buckets are full, as in texts of bytes: a bucket
+is emptied in waves, and a wave sends the predecessors of all its suffixes to their buckets at once; the
+number of waves is the alphabet plus the longest run of one symbol. In the shorter texts of many names
+buckets hold few suffixes, and a wave goes over as many buckets as it does not fill itself.
 """
 
 from __future__ import annotations
 
 import numpy as np
 
-SMALL = 1024  # alphabets up to this size are sorted by buckets
+CROWDED = 64  # suffixes a bucket has on average from which on it is worth moving them together
 
 
 def types(t: np.ndarray) -> np.ndarray:
@@ -35,9 +40,55 @@ def _append(at: np.ndarray, t: np.ndarray, sa: np.ndarray, place: np.ndarray, st
     place[symbol[first]] += step * size
 
 
+def _sweep(sa: np.ndarray, heads: np.ndarray, to: np.ndarray) -> None:
+    """Send the predecessors of all suffixes in ``sa`` to their buckets, from the first place to the last.
+
+    ``to`` names the bucket of a suffix's predecessor, -1 for none and for an empty place. A wave takes as
+    many places as come before the first one that it fills itself.
+    """
+    n, p, wide = len(sa), 0, 256
+    while p < n:
+        some = sa[p : p + wide]
+        c = to[some]
+        at = np.flatnonzero(c >= 0)
+        stop = len(some)
+        if len(at):
+            order = at[np.argsort(c[at], kind="stable")]
+            c = c[order]
+            first = np.flatnonzero(np.append(True, c[1:] != c[:-1]))
+            place = heads[c] + np.arange(len(c)) - np.repeat(first, np.diff(np.append(first, len(c))))
+            lowest = int(place.min())
+            if lowest < p + stop:
+                stop = lowest - p
+                keep = order < stop
+                order, c, place = order[keep], c[keep], place[keep]
+            sa[place] = some[order] - 1
+            heads[c] = place + 1  # of equal buckets the last one stays
+        p += stop
+        wide = min(8192, 2 * wide) if stop == len(some) else max(64, stop)
+
+
+def induce_sparse(t: np.ndarray, up: np.ndarray, marked: np.ndarray, k: int) -> np.ndarray:
+    """``induce`` for buckets of few suffixes: a wave goes over many buckets."""
+    n = len(t)
+    end = np.cumsum(np.bincount(t, minlength=k))
+    larger, smaller = np.full(n + 1, -1, np.int64), np.full(n + 1, -1, np.int64)
+    larger[1:n] = np.where(up[:-1], -1, t[:-1])
+    smaller[1:n] = np.where(up[:-1], t[:-1], -1)
+    sa = np.full(n, -1, np.int64)
+    _append(marked[::-1], t, sa, end - 1, -1)
+    heads = end - np.bincount(t, minlength=k)
+    _append(np.array([n - 1]), t, sa, heads, 1)
+    _sweep(sa, heads, larger)
+    _sweep(sa[::-1], n - end, smaller)
+    return sa
+
+
 def induce(t: np.ndarray, up: np.ndarray, marked: np.ndarray, k: int) -> np.ndarray:
     """All suffixes in order, given the marked ones (leftmost smaller) in order."""
     n = len(t)
+    if n < CROWDED * k:
+        return induce_sparse(t, up, marked, k)
     size = np.bincount(t, minlength=k)
     end = np.cumsum(size)
     begin = end - size
@@ -99,36 +150,10 @@ def names(t: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, int]:
     return out[place], int(number[-1]) + 1 if len(at) else 0
 
 
-def double(t: np.ndarray) -> np.ndarray:
-    """Order of the suffixes by doubling ranks; only suffixes that still share a rank are sorted again."""
-    n = len(t)
-    order = np.argsort(t, kind="stable")
-    fresh = np.append(True, t[order][1:] != t[order][:-1])
-    rank = np.empty(n, np.int64)
-    rank[order] = np.maximum.accumulate(np.where(fresh, np.arange(n), 0))
-    h = 1
-    while True:
-        lone = fresh & np.append(fresh[1:], True)
-        open_ = np.flatnonzero(~lone)
-        if not len(open_):
-            return order
-        at = order[open_]
-        behind = np.where(at + h < n, rank[np.minimum(at + h, n - 1)], -1)
-        again = np.lexsort((behind, rank[at]))
-        order[open_] = at = at[again]
-        behind = behind[again]
-        group = rank[at]
-        fresh[open_] = np.append(True, (group[1:] != group[:-1]) | (behind[1:] != behind[:-1]))
-        rank[order] = np.maximum.accumulate(np.where(fresh, np.arange(n), 0))
-        h *= 2
-
-
 def suffix_array(t: np.ndarray, k: int) -> np.ndarray:
     """Suffixes of ``t`` (symbols below ``k``) in order."""
     if len(t) < 2:
         return np.arange(len(t))
-    if k > SMALL:
-        return double(t)
     up = types(t)
     marked = np.flatnonzero(up[1:] & ~up[:-1]) + 1
     if not len(marked):
