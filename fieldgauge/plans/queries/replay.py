@@ -7,6 +7,7 @@ from fieldgauge.operators import metrics
 from fieldgauge.operators import replay as ops
 from fieldgauge.plans import tables, walk
 from fieldgauge.plans.queries.registry import query, rd, scratch
+from fieldgauge.session import cut
 from fieldgauge.sources import store
 
 
@@ -35,6 +36,75 @@ def replay_result(spark, sf):
     return ops.replay_result(stored, again)
 
 
+# The run grid with half of the dense errors as a floor. Somebody changes what is stored for the reduced arm of one family
+# and makes everything after it anew: 1.5 times the means, the ratios, the quality or the lower end, or another verdict.
+_TAMPER = ("mse", "ratio", "quality", "lo", "verdict")
+_GRID = "SELECT family, arm, seed, cluster, err FROM errgrid UNION ALL SELECT family, 'floor', seed, cluster, err / 2 FROM errgrid WHERE arm = 'dense'"
+
+
+def _graph_errors(spark, sf):
+    grid = tables.run_grid(spark, sf).select("family", "arm", "seed", "cluster", "err")
+    floor = grid.where("arm = 'dense'").select("family", F.lit("floor").alias("arm"), "seed", "cluster", (F.col("err") / 2).alias("err"))
+    path = scratch(spark, "errors")
+    store.write_errors(grid.unionByName(floor), path)
+    return spark.read.parquet(path).select("family", "arm", "seed", "cluster", "err")
+
+
+def _tampered(true, entry):
+    hit = (F.col("entry") == entry) & (F.col("family") == "mix") & (F.col("arm") == "reduced")
+    changed = true.withColumn("value", F.when(hit, F.col("value") * 1.5).otherwise(F.col("value")))
+    changed = changed.withColumn("text", F.when(hit & F.col("text").isNotNull(), "REPRESENTATIONAL_SHORTFALL").otherwise(F.col("text")))
+    return ops.derive(changed, entry)
+
+
+def _replayed(spark, sf):
+    errors = _graph_errors(spark, sf)
+    true = cut(ops.record(errors), "record")
+    out = ops.replay_graph(true, true).withColumn("kind", F.lit("none"))
+    for entry in _TAMPER:
+        path = scratch(spark, "record")
+        store.write_once(_tampered(true, entry), path)
+        # the record as somebody hands it over, against what the errors give
+        out = out.unionByName(ops.replay_graph(spark.read.parquet(path), true).withColumn("kind", F.lit(entry)))
+    return out
+
+
+_CHAIN = f"""g AS MATERIALIZED ({_GRID}), k AS (SELECT unnest(['none', 'mse', 'ratio', 'quality', 'lo', 'verdict']) AS kind),
+    m AS (SELECT family, arm, seed, avg(err) AS v FROM g GROUP BY ALL),
+    hit AS (SELECT kind, 'mix' AS family, 'reduced' AS arm FROM k),
+    mk AS (SELECT k.kind, m.family, m.arm, m.seed, m.v AS again, m.v * CASE WHEN k.kind = 'mse' AND m.family = 'mix' AND m.arm = 'reduced' THEN 1.5::DOUBLE ELSE 1 END AS stored FROM m CROSS JOIN k),
+    rk AS (SELECT a.kind, a.family, a.arm, a.seed, a.again / b.again AS again, a.stored / b.stored * CASE WHEN a.kind = 'ratio' AND a.family = 'mix' AND a.arm = 'reduced' THEN 1.5::DOUBLE ELSE 1 END AS stored
+        FROM mk a JOIN mk b ON b.kind = a.kind AND b.family = a.family AND b.seed = a.seed AND b.arm = 'dense' WHERE a.arm <> 'dense'),
+    qk AS (SELECT kind, family, arm, median(again) AS again, median(stored) * CASE WHEN kind = 'quality' AND family = 'mix' AND arm = 'reduced' THEN 1.5::DOUBLE ELSE 1 END AS stored FROM rk GROUP BY kind, family, arm),
+    pk AS (SELECT kind, arm, max(again) AS again, max(stored) AS stored FROM qk GROUP BY kind, arm),
+    dm AS (SELECT d.rep, g.family, g.arm, g.seed, sum(d.w * g.err) / any_value(d.n) AS mse FROM drawn d JOIN place p ON p.idx = d.idx JOIN g ON g.cluster = p.cluster GROUP BY ALL),
+    ds AS (SELECT a.rep, a.family, a.arm, median(a.mse / b.mse) AS s FROM dm a JOIN dm b ON b.rep = a.rep AND b.family = a.family AND b.seed = a.seed AND b.arm = 'dense' WHERE a.arm <> 'dense' GROUP BY ALL),
+    ek AS (SELECT k.kind, e.family, e.arm, e.lo, e.hi, e.lo * CASE WHEN k.kind = 'lo' AND e.family = 'mix' AND e.arm = 'reduced' THEN 1.5::DOUBLE ELSE 1 END AS slo
+        FROM (SELECT family, arm, quantile_cont(s, 0.025) AS lo, quantile_cont(s, 0.975) AS hi FROM ds GROUP BY ALL) e CROSS JOIN k),
+    ik AS (SELECT kind, family, arm, CASE WHEN hi < 1.05 THEN 'BELOW' WHEN lo > 1.05 THEN 'ABOVE' ELSE 'CONTAINS' END AS av, CASE WHEN hi < 1.05 THEN 'BELOW' WHEN slo > 1.05 THEN 'ABOVE' ELSE 'CONTAINS' END AS sv FROM ek),
+    vk AS (SELECT a.kind, a.family, a.arm, {{true}} AS av, CASE WHEN a.kind = 'verdict' AND a.family = 'mix' THEN 'REPRESENTATIONAL_SHORTFALL' ELSE {{stored}} END AS sv
+        FROM qk a JOIN qk f ON f.kind = a.kind AND f.family = a.family AND f.arm = 'floor' WHERE a.arm <> 'floor'),
+    e AS (SELECT kind, 'mse' AS entry, family, arm, seed, stored, again, NULL AS stored_text, NULL AS again_text FROM mk UNION ALL SELECT kind, 'ratio', family, arm, seed, stored, again, NULL, NULL FROM rk
+        UNION ALL SELECT kind, 'quality', family, arm, NULL, stored, again, NULL, NULL FROM qk UNION ALL SELECT kind, 'q_port', NULL, arm, NULL, stored, again, NULL, NULL FROM pk
+        UNION ALL SELECT kind, 'lo', family, arm, NULL, slo, lo, NULL, NULL FROM ek UNION ALL SELECT kind, 'hi', family, arm, NULL, hi, hi, NULL, NULL FROM ek
+        UNION ALL SELECT kind, 'interval', family, arm, NULL, NULL, NULL, sv, av FROM ik UNION ALL SELECT kind, 'verdict', family, arm, NULL, NULL, NULL, sv, av FROM vk),
+    s AS (SELECT *, CASE WHEN coalesce(abs(stored - again) <= 1e-9 * abs(again), true) AND stored_text IS NOT DISTINCT FROM again_text THEN 'OK' WHEN kind = entry THEN 'ENTERS_HERE' ELSE 'INHERITED' END AS status FROM e)"""
+_JUDGE = "CASE WHEN f.{0} >= 1.05 THEN 'REPRESENTATIONAL_SHORTFALL' WHEN a.{0} > 1.05 THEN 'OPTIMISATION_OR_GENERALISATION_SHORTFALL' ELSE 'TOLERANCE_MET_UNDER_CONVERGENCE' END"
+_CHAIN = _CHAIN.format(true=_JUDGE.format("again"), stored=_JUDGE.format("stored"))
+
+
+@query(f"""WITH {_CHAIN} SELECT kind, entry, family, arm, seed, {rd("stored", "stored")}, {rd("again", "again")}, stored_text, again_text, status FROM s""")
+def replay_entries(spark, sf):
+    """Every entry of six records, five of them changed somewhere, with what it should be and where the change came from."""
+    return _replayed(spark, sf).select("kind", "entry", "family", "arm", "seed", "stored", "again", "stored_text", "again_text", "status")
+
+
+@query(f"""WITH {_CHAIN} SELECT k.kind, f.entry, f.family, f.arm, f.seed, count(*) FILTER (s.status = 'ENTERS_HERE') AS n_enter, count(*) FILTER (s.status = 'INHERITED') AS n_inherited
+    FROM k JOIN s USING (kind) LEFT JOIN (SELECT DISTINCT ON (kind) kind, entry, family, arm, seed FROM s WHERE status = 'ENTERS_HERE' ORDER BY kind, seed) f USING (kind) GROUP BY ALL""")
+def replay_first_wrong(spark, sf):
+    return ops.first_wrong(_replayed(spark, sf), ["kind"])
+
+
 @query("SELECT 5 * count(*) AS n_values, 0 AS n_disagree FROM embeddings")
 def implementations_agree(spark, sf):
     w = walk.study(spark, sf)

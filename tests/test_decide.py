@@ -194,3 +194,21 @@ def test_every_cluster_has_the_same_chance():
             held += np.bincount(boot.block_draws(1, rep, b, int(m), n, size) + b * size, minlength=n)
     chi = ((held - reps) ** 2 / reps).sum()
     assert held.sum() == reps * n and 25 < chi < 85
+
+
+def test_replay_names_the_entry_where_a_value_enters(spark):
+    from fieldgauge.session import ship_package
+
+    ship_package(spark)
+    rows = [(f, a, s, c, k * (1.0 + c % 4 + s)) for f, m in (("x", 1.0), ("y", 1.02)) for a, k in (("dense", 1.0), ("a", 0.9 * m), ("floor", 0.3)) for s in range(3) for c in range(8)]
+    errors_ = spark.createDataFrame(rows, "family string, arm string, seed int, cluster int, err double")
+    again = replay.record(errors_, reps=20).cache()
+    assert replay.replay_graph(again, again).where("status <> 'OK'").count() == 0
+    hit = (F.col("entry") == "ratio") & (F.col("family") == "y") & (F.col("arm") == "a")
+    changed = again.withColumn("value", F.when(hit, F.col("value") * 2).otherwise(F.col("value")))
+    got = {(r["entry"], r["family"], r["seed"]): r["status"] for r in replay.replay_graph(replay.derive(changed, "ratio"), again).where("status <> 'OK'").collect()}
+    assert got == {**{("ratio", "y", s): "ENTERS_HERE" for s in range(3)}, ("quality", "y", None): "INHERITED", ("q_port", None, None): "INHERITED", ("verdict", "y", None): "INHERITED"}
+    first = replay.first_wrong(replay.replay_graph(changed, again)).first()
+    assert (first["entry"], first["family"], first["arm"], first["seed"], first["n_enter"], first["n_inherited"]) == ("ratio", "y", "a", 0, 3, 0)
+    fewer = replay.replay_graph(again.where("entry <> 'verdict'"), again).where("status <> 'OK'").collect()
+    assert [r["status"] for r in fewer] == ["MISSING"] * 2
