@@ -55,8 +55,10 @@ def _sweep(sa: np.ndarray, heads: np.ndarray, to: np.ndarray) -> None:
         if len(at):
             order = at[np.argsort(c[at], kind="stable")]
             c = c[order]
-            first = np.flatnonzero(np.append(True, c[1:] != c[:-1]))
-            place = heads[c] + np.arange(len(c)) - np.repeat(first, np.diff(np.append(first, len(c))))
+            rank = np.arange(len(c))
+            first = np.zeros(len(c), np.int64)
+            first[1:] = np.where(c[1:] != c[:-1], rank[1:], 0)
+            place = heads[c] + rank - np.maximum.accumulate(first)
             lowest = int(place.min())
             if lowest < p + stop:
                 stop = lowest - p
