@@ -45,12 +45,15 @@ def quality_point(ratios: DataFrame, by: Sequence[str] = ("arm",)) -> DataFrame:
 
 
 def floor_point(floors: DataFrame, dense: DataFrame, by: Sequence[str] = ("arm",)) -> DataFrame:
-    """Median over seeds of floor / dense; ``floors`` is ``(arm, floor)``, ``dense`` is ``(seed, mse)``."""
-    held = [r["mse"] for r in dense.select("mse").limit(10_001).collect()]
-    if not held or len(held) > 10_000:
-        raise ValueError("the dense table must hold one row per seed")
-    spread = floors.withColumn("_base", F.explode(F.array(*[F.lit(float(v)) for v in held])))
-    return spread.groupBy(*by).agg(F.median(F.col("floor") / F.col("_base")).alias("point"))
+    """Median over seeds of floor / dense; ``floors`` is ``(arm, floor)``, ``dense`` is ``(seed, mse)``.
+
+    A floor does not depend on the seed, so the median of its ratios is the floor times the median of the
+    reciprocals, one number however many seeds there are. A dense table without a row fails.
+    """
+    middle = dense.agg(F.median(1 / F.col("mse")).alias("_inverse"))  # one row
+    none = F.raise_error(F.lit("the dense table must hold one row per seed")).cast("double")
+    ratio = F.col("floor") * F.coalesce("_inverse", none)
+    return floors.crossJoin(F.broadcast(middle)).groupBy(*by).agg(F.median(ratio).alias("point"))
 
 
 def portability(ratios: DataFrame, by: Sequence[str] = ("arm",), family: str = "family") -> DataFrame:

@@ -9,12 +9,11 @@ from __future__ import annotations
 from typing import NamedTuple
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from fieldgauge.functions import ranking
+from fieldgauge.functions.arrow import to_lists, to_matrix
 from fieldgauge.functions.vectors import doubles
 from fieldgauge.operators import basis as bases
 from fieldgauge.operators.roles import role_of_rank
@@ -32,9 +31,16 @@ class Walk(NamedTuple):
     width: int
 
 
-@F.pandas_udf(T.ArrayType(T.DoubleType()))
-def running_sum(vectors: pd.Series) -> pd.Series:
-    return vectors.map(np.cumsum)
+def running_sums(df: DataFrame, col: str) -> DataFrame:
+    """Replace a vector by its running sums, a batch at a time."""
+
+    def run(batches):
+        for batch in batches:
+            if batch.num_rows:
+                at = batch.schema.get_field_index(col)
+                yield batch.set_column(at, col, to_lists(np.cumsum(to_matrix(batch.column(at)), axis=1)))
+
+    return df.mapInArrow(run, df.schema)
 
 
 def fields(spark: SparkSession, sf: str, holdout: bool = False) -> tuple[DataFrame, int]:
@@ -49,11 +55,8 @@ def fields(spark: SparkSession, sf: str, holdout: bool = False) -> tuple[DataFra
     ranges = {"train": (0, a), "holdout": (a, n)} if holdout else {
         "train": (0, a), "selection": (a, b), "test": (b, n)
     }
-    rows = placed.select(
-        "vec_id", "label", "pos", role_of_rank(ranges, F.col("pos")).alias("role"),
-        running_sum(doubles("embedding")).alias("y"),
-    )
-    return rows, n
+    rows = placed.select("vec_id", "label", "pos", role_of_rank(ranges, F.col("pos")).alias("role"), doubles("embedding").alias("y"))
+    return running_sums(rows, "y"), n
 
 
 def study(spark: SparkSession, sf: str, holdout: bool = False) -> Walk:
